@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 
 from tidelog.shipping import shipped
 
-from . import bpe, langid
-from .runtime import documents, fold
+from . import bpe, langid, llr, quality
+from .runtime import documents, fold, join_checked, labels
+
+
+def op5_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold("doc_id", 4) == 2
+    model = quality.train(quality.with_statistics, docs, labels(spark, sf_dir).where(~held_out))
+    scored = quality.with_statistics(docs).select("doc_id", quality.compile_score(model).alias("score"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    trusted = labels(spark, sf_dir).where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    return llr.score(docs, llr.train(join_checked(docs, trusted, "doc_id", "left"), "trusted"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +41,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op9_byte_bpe, op10_language_id)}
+    return {f.__name__: shipped(f) for f in (op5_quality_rules_ensemble, op6_ngram_llr, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
