@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 
 from tidelog.shipping import shipped
 
-from . import bpe, langid, llr, quality
-from .runtime import documents, fold, join_checked, labels
+from . import bpe, langid, llr, minhash, pii, quality, toxicity, warc
+from .runtime import documents, fold, join_checked, labels, stage_path
+
+
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold("doc_id", 3) == 1
+    model = toxicity.train(docs, labels(spark, sf_dir).where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_toxic_tokens", "spans")
+
+
+def op3_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs))
 
 
 def op5_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +39,28 @@ def op6_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr.score(docs, llr.train(join_checked(docs, trusted, "doc_id", "left"), "trusted"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=4)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = '''
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
+f AS (SELECT x, min(page_id) AS head FROM d GROUP BY x)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM d JOIN f USING (x)
+'''
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,8 +75,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op5_quality_rules_ensemble, op6_ngram_llr, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: shipped(f) for f in (op1_toxicity_crf, op3_pii_bilstm_crf, op5_quality_rules_ensemble, op6_ngram_llr, op7_minhash, op8_warc, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
