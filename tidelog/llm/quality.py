@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .llr import rule_counts
@@ -72,18 +73,24 @@ def text_statistics(t: K.Texts) -> np.ndarray:
     ]).astype(np.float64).round(6)
 
 
-def with_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, STATS)."""
+#: Statistics stand in columns of these names, which no table is expected to have.
+_COLUMNS = tuple(f"stat__{s}" for s in STATS)
+
+
+def with_statistics(docs: DataFrame, columns: list[str] | None = None, text_column: str = "text") -> DataFrame:
+    """``columns`` of the documents (the id by default), and a column for each of STATS."""
+    columns = columns or ["doc_id"]
+    kept = docs.select(F.col(text_column).alias("text__"), *columns)
+    schema = T.StructType([*kept.schema.fields[1:], *(T.StructField(c, T.DoubleType()) for c in _COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = K.texts(batch.column(1))
+            t = K.texts(batch.column(0))
             for a, b in K.slices(t):
                 x = text_statistics(t.part(a, b))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS)))], names=["id", *STATS])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[1:], *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS)))], names=[*batch.schema.names[1:], *_COLUMNS])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, " + ", ".join(f"{s} double" for s in STATS)).withColumnRenamed("id", id_column)
+    return kept.mapInArrow(run, schema)
 
 
 def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, path: tuple, out: set) -> None:
@@ -172,14 +179,14 @@ def compile_score(model: tuple[float, list[tuple[float, tuple]]]) -> Column:
     for weight, rule in rules:
         test = F.lit(True)
         for k, below, at in rule:
-            c = F.col(STATS[k])
+            c = F.col(_COLUMNS[k])
             test = test & (c <= F.lit(at) if below else c > F.lit(at))
         total = total + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def train(stats_of, docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", sample: int = SAMPLE) -> tuple[float, list[tuple[float, tuple]]]:
-    """Fits on at most ``sample`` labelled rows. ``stats_of``: documents to (id, STATS)."""
+def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", sample: int = SAMPLE) -> tuple[float, list[tuple[float, tuple]]]:
+    """Fits on at most ``sample`` labelled rows."""
     chosen = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column), F.col(label_column).cast("int").alias("y__")).orderBy(F.xxhash64(id_column), id_column).limit(sample)
-    rows = stats_of(docs.join(F.broadcast(chosen.select(id_column)), id_column, "left_semi")).join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), *STATS[:2]).limit(sample).toPandas()
-    return fit(rows[list(STATS)].to_numpy(float), rows["y__"].to_numpy(float))
+    rows = with_statistics(docs.join(F.broadcast(chosen.select(id_column)), id_column, "left_semi"), [id_column]).join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), *_COLUMNS[:2]).limit(sample).toPandas()
+    return fit(rows[list(_COLUMNS)].to_numpy(float), rows["y__"].to_numpy(float))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.shipping import shipped
 
-from . import bpe, langid, llr, minhash, pii, quality, toxicity, warc
+from . import bpe, decontam, langid, llr, minhash, pii, quality, suffix, toxicity, warc
 from .runtime import documents, fold, join_checked, labels, stage_path
 
 
@@ -20,15 +20,23 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_toxic_tokens", "spans")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.train(docs))
 
 
+def op4_suffix_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir), keep_bytes=False)
+
+
 def op5_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold("doc_id", 4) == 2
-    model = quality.train(quality.with_statistics, docs, labels(spark, sf_dir).where(~held_out))
+    model = quality.train(docs, labels(spark, sf_dir).where(~held_out))
     scored = quality.with_statistics(docs).select("doc_id", quality.compile_score(model).alias("score"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -74,8 +82,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "n_langs", "langs")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_toxicity_crf, op3_pii_bilstm_crf, op5_quality_rules_ensemble, op6_ngram_llr, op7_minhash, op8_warc, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: shipped(f) for f in (op1_toxicity_crf, op2_decontamination, op3_pii_bilstm_crf, op4_suffix_index_dedup, op5_quality_rules_ensemble, op6_ngram_llr, op7_minhash, op8_warc, op9_byte_bpe, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
