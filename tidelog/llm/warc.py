@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import BROADCAST_ROWS, written
+
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
 #: RFC 4648's alphabet.
@@ -46,9 +48,13 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """(record): one text for each page. Payloads of under ``least`` bytes are never revisits."""
     p = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
-    heads = p.groupBy("digest").agg(F.min("id").alias("head"))
-    p = p.join(heads, "digest")
-    revisit = (F.col("size") >= least) & F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))
+    # payloads aren't shuffled: ids and digests tell which pages are revisits, and those are looked up by page
+    slim = p.select("id", "digest", "size")
+    heads = slim.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("head"))
+    again = written(slim.join(heads, "digest").where(F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))).select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "head").distinct(), "revisits")
+    small = again.count() <= BROADCAST_ROWS
+    p = p.join(F.broadcast(again) if small else again.hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    revisit = F.col("head").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     head = F.concat(
