@@ -9,7 +9,9 @@ from the start, by a 128-bit fingerprint of the set; the smallest id stands for
 2. In each bucket of a band, all are paired with one hub: the document that meets most others in
    buckets (a text that copies were made from, rather than a copy).
 3. Packed signatures are compared by counting equal B-bit fields; the share m of them estimates the
-   similarity as (m - 2**-B) / (1 - 2**-B). Pairs far below the threshold go.
+   similarity as (m - 2**-B) / (1 - 2**-B). Pairs far below the threshold go. So do pairs that a second
+   packed row excludes for certain: it holds for each of PARITIES cells whether the number of shingles in it is odd,
+   and two sets differ in at least as many shingles as their rows differ in bits.
 4. The others are confirmed on full sets.
 5. In buckets that still hold several components, the documents outside the hub's component are
    compared by signature with all of the bucket outside their own component, and confirmed alike.
@@ -40,7 +42,10 @@ ROWS, BANDS, B = 4, 32, 2
 PERMUTATIONS = ROWS * BANDS
 #: Estimates below the threshold by this much are not confirmed: over four standard deviations.
 SLACK = 0.18
-_LONGS = PERMUTATIONS * B // 64
+#: Bits of the parity row.
+PARITIES = 2048
+_LONGS, _ODD = PERMUTATIONS * B // 64, PARITIES // 64
+_SIG = ["n_shingles", *(f"s{k}" for k in range(_LONGS)), *(f"o{k}" for k in range(_ODD))]
 _MULTIPLY = np.random.default_rng(20240611).integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(K.U64) * K.U64(2) + K.U64(1)
 _FIELD = 0x5555555555555555
 
@@ -78,7 +83,7 @@ def _minima(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, fp_a, fp_b, keys array<bigint>, s0.. bigint); keys and longs are null for empty sets."""
+    """(id, n_shingles, fp_a, fp_b, keys array<bigint>, s0.., o0.. bigint); keys are empty and longs null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,13 +106,16 @@ def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) ->
                 valid = n > 0
                 row_of = np.cumsum(valid) - 1
                 offsets = np.concatenate([[0], np.cumsum(np.where(valid, BANDS, 0))]).astype(np.int32)
+                cells = (h >> K.U64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+                odd = np.bincount(np.repeat(np.arange(b - a), n) * PARITIES + cells, minlength=(b - a) * PARITIES).reshape(b - a, PARITIES) & 1
+                odd = np.packbits(odd.astype(bool), axis=1, bitorder="little").view(np.int64)
                 longs = [pa.array(packed[np.maximum(row_of, 0), k].view(np.int64) if len(some) else np.zeros(b - a, np.int64), mask=~valid) for k in range(_LONGS)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), *longs],
-                    names=["id", "n_shingles", "fp_a", "fp_b", "keys", *(f"s{k}" for k in range(_LONGS))],
+                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), *longs, *(pa.array(np.ascontiguousarray(odd[:, k]), mask=~valid) for k in range(_ODD))],
+                    names=["id", "n_shingles", "fp_a", "fp_b", "keys", *_SIG[1:]],
                 )
 
-    schema = "id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, keys array<bigint>, " + ", ".join(f"s{k} bigint" for k in range(_LONGS))
+    schema = "id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in _SIG[1:])
     return docs.select(F.col(id_column).cast("bigint").alias("id"), text_column).mapInArrow(run, schema)
 
 
@@ -137,9 +145,19 @@ def estimate(left: str, right: str) -> Column:
     return (equal / F.lit(float(PERMUTATIONS)) - F.lit(chance)) / F.lit(1 - chance)
 
 
+def possible(left: str, right: str, percent: int) -> Column:
+    """Whether the estimate is near the threshold or above, and parities don't exclude that the pair reaches it."""
+    differ = None
+    for k in range(_ODD):
+        n = F.bit_count(F.col(f"{left}o{k}").bitwiseXOR(F.col(f"{right}o{k}")))
+        differ = n if differ is None else differ + n
+    sizes = F.col(f"{left}n_shingles") + F.col(f"{right}n_shingles")
+    return (estimate(left, right) >= F.lit(percent / 100 - SLACK)) & (differ * F.lit(100 + percent) <= sizes * F.lit(100 - percent))
+
+
 def _with_signatures(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(sig.select(F.col("id").alias(side), *(F.col(f"s{k}").alias(f"{side}s{k}") for k in range(_LONGS))).hint("shuffle_merge"), side)
+        pairs = pairs.join(sig.select(F.col("id").alias(side), *(F.col(k).alias(f"{side}{k}") for k in _SIG)).hint("shuffle_merge"), side)
     return pairs
 
 
@@ -163,7 +181,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     full = sig.where("n_shingles > 0 AND id IS NOT NULL")
     heads = written(full.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("id").alias("head")), "heads")
     reps = written(full.join(heads.select(F.col("head").alias("id")).hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]), "representatives")
-    floor = percent / 100 - SLACK
 
     entries = reps.select("id", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -172,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     hubs = entries.join(degree.hint("shuffle_merge"), "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("other"))).alias("h")).select("key", (-F.col("h.other")).alias("hub"))
     hubs = written(hubs, "hubs")
     stars = entries.join(hubs.hint("shuffle_merge"), "key").where("id <> hub").select(*_ordered("id", "hub")).distinct()
-    tried = written(_with_signatures(stars, reps).where(estimate("a", "b") >= floor).select("a", "b"), "pairs")
+    tried = written(_with_signatures(stars, reps).where(possible("a", "b", percent)).select("a", "b"), "pairs")
     links = written(confirmed(tried, docs, words, percent, id_column, text_column), "links")
     found = components(links)
 
@@ -181,11 +198,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     label = written(label.join(mixed.hint("shuffle_merge"), "key"), "mixed")
     hub_of = hubs.join(label.select("key", F.col("id").alias("hub"), F.col("c").alias("hub_c")).hint("shuffle_merge"), ["key", "hub"])
-    signed = written(label.join(hub_of.select("key", "hub_c").hint("shuffle_merge"), "key").join(reps.select("id", *(f"s{k}" for k in range(_LONGS))).hint("shuffle_merge"), "id"), "signed")
-    cols = ["key", "id", "c", *(f"s{k}" for k in range(_LONGS))]
+    signed = written(label.join(hub_of.select("key", "hub_c").hint("shuffle_merge"), "key").join(reps.select("id", *_SIG).hint("shuffle_merge"), "id"), "signed")
+    cols = ["key", "id", "c", *_SIG]
     apart = signed.where("c <> hub_c").select("key", *(F.col(x).alias(f"x{x}") for x in cols[1:]))
     rest = signed.select("key", "hub_c", *(F.col(x).alias(f"y{x}") for x in cols[1:]))
-    cross = apart.join(rest.hint("shuffle_merge"), "key").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("hub_c")) | (F.col("xid") < F.col("yid"))) & (estimate("x", "y") >= floor))
+    cross = apart.join(rest.hint("shuffle_merge"), "key").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("hub_c")) | (F.col("xid") < F.col("yid"))) & possible("x", "y", percent))
     cross = cross.select(*_ordered("xid", "yid")).distinct().join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
     more = written(cross, "cross")
     if not more.isEmpty():
