@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import merges
 from .operators import scan, stats
 from .operators.resolve import resolve
 from .sources import files
@@ -17,13 +18,18 @@ def _typed(spark: SparkSession, log: DataFrame, key: str):
     return F.lit(key).cast(log.schema["key"].dataType)
 
 
-def dump(log: DataFrame, delimiter: str | None, bucket: int | None, start: int = 0, end: int = 0) -> DataFrame:
+def _state(log: DataFrame, snapshot: int | None, merge: str | None) -> DataFrame:
+    """Numbers add up and texts are appended, unless another merge operator is named."""
+    merge = merge or ("stringappend" if log.schema["value"].dataType.simpleString() == "string" else None)
+    return resolve(log, snapshot, fold=merges.get(merge) if merge else None)
+
+
+def dump(log: DataFrame, state: DataFrame, delimiter: str | None, bucket: int | None, start: int = 0, end: int = 0) -> DataFrame:
     """All state; or counts and sizes by the key's part before a delimiter; or counts by bucket of write time."""
     if bucket:
         n = -(-(end - start) // bucket)
         at = F.floor((F.col("write_time") - start) / bucket)
         return log.where((F.col("write_time") >= start) & (F.col("write_time") < end)).groupBy(F.least(at, F.lit(n - 1)).alias("bucket")).agg(F.count("*").alias("n"))
-    state = resolve(log)
     if delimiter:
         return state.groupBy(F.substring_index(F.col("key").cast("string"), delimiter, 1).alias("prefix")).agg(F.count("*").alias("n"), F.sum(F.length(F.col("value").cast("string"))).alias("bytes"))
     return state.orderBy("key")
@@ -33,6 +39,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     p = argparse.ArgumentParser(prog="tidelog")
     p.add_argument("--log", required=True, help="Parquet folder of a log")
     p.add_argument("--snapshot", type=int)
+    p.add_argument("--merge", help="a registered merge operator")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("get", "approxsize", "scan", "delete", "singledelete", "put", "deleterange", "dump", "idump", "get_property", "checkpoint", "list_file_range_deletes", "dump_wal"):
         c = sub.add_parser(name)
@@ -55,7 +62,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
             c.add_argument("path")
     a = p.parse_args(argv)
     log = spark.read.parquet(a.log)
-    state = lambda: resolve(log, a.snapshot)
+    state = lambda: _state(log, a.snapshot, a.merge)
     if a.command == "get":
         return state().where(F.col("key") == _typed(spark, log, a.key)).select("key", "value")
     if a.command == "scan":
@@ -66,7 +73,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         rows = state().where((F.col("key") >= _typed(spark, log, a.lo)) & (F.col("key") < _typed(spark, log, a.hi)))
         return rows.agg(F.count("*").alias("n"), F.sum(F.length(F.col("key").cast("string")) + F.length(F.col("value").cast("string"))).alias("bytes"))
     if a.command == "dump":
-        return dump(log, a.count_delim, a.bucket, a.start, a.end)
+        return dump(log, state(), a.count_delim, a.bucket, a.start, a.end)
     if a.command in ("idump", "dump_wal"):
         return log.orderBy("seq") if a.command == "dump_wal" else log.orderBy("key", F.col("seq").desc())
     if a.command == "list_file_range_deletes":

@@ -15,9 +15,21 @@ def tail(spark: SparkSession, path: str, schema, files_per_batch: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Feeds all that is there to ``each`` batch by batch, and stops; a rerun goes on where this ended."""
-    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timers: bool = False) -> None:
+    """Feeds all that is there to ``each`` batch by batch, and stops; a rerun goes on where this ended.
+
+    State with timers of processing time asks for batches without data for ever, so that such a query (``timers``)
+    is started with those switched off.
+    """
+    conf, switch = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(switch)
+    if timers:
+        conf.set(switch, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(switch, before)
+    query.awaitTermination()
 
 
 def capture(stream: DataFrame, out: str, checkpoint: str) -> None:
