@@ -96,3 +96,14 @@ def sequence_times(probes: DataFrame, pairs: DataFrame, to_time: bool) -> DataFr
     found = F.filter("pairs", ok)
     answer = F.when(F.size(found) > 0, F.element_at(found, -1)["time" if to_time else "seq"])
     return probes.crossJoin(rows).withColumn("answer", answer).drop("pairs")
+
+
+def windowed(rows: DataFrame, time: str, value: str, width: int) -> DataFrame:
+    """(slot, n, least, most, total, squares): all parts add up, so wider windows are merged from them."""
+    return rows.groupBy(F.floor(F.col(time) / width).alias("slot")).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
+
+
+def advise(properties_: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Each row with the names of the rules, SQL conditions over its columns, that it triggers."""
+    names = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items())))
+    return properties_.withColumn("rule", F.explode(names))

@@ -59,3 +59,45 @@ def correlation(trace: DataFrame) -> DataFrame:
 def coverage(keyspace: DataFrame, trace: DataFrame) -> DataFrame:
     """Every key of the key space with its accesses, 0 if it had none."""
     return keyspace.join(trace.groupBy("key").agg(F.count("*").alias("accesses")), "key", "left").select("key", F.coalesce("accesses", F.lit(0)).alias("accesses"))
+
+
+def skewness(counts: DataFrame, parts: int) -> DataFrame:
+    """(decile, keys, accesses) of keys (key, n) in ``parts`` equal runs, the most accessed first.
+
+    Keys with equal counts are numbered within their count, and counts are few, so that no task ranks all keys.
+    """
+    w = Window.partitionBy("n").orderBy("key")
+    sizes = counts.groupBy("n").agg(F.count("*").alias("c"))
+    before = sizes.select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("total"))
+    at = counts.withColumn("place", F.row_number().over(w) - 1).join(before, "n").withColumn("rank", F.col("before") + F.col("place"))
+    small, extra = F.floor(F.col("total") / parts), F.col("total") % parts
+    part = F.when(F.col("rank") < extra * (small + 1), F.floor(F.col("rank") / (small + 1))).otherwise(extra + F.floor((F.col("rank") - extra * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    return at.groupBy(part.cast("int").alias("decile")).agg(F.count("*").alias("keys"), F.sum("n").alias("accesses"))
+
+
+def locality(trace: DataFrame, width: int) -> DataFrame:
+    """(block, distinct_keys, gets, share_of_block) of blocks of ``width`` neighbouring keys."""
+    per = trace.groupBy(F.floor(F.col("key") / width).alias("block"), "key").agg(F.count("*").alias("n"))
+    return per.groupBy("block").agg(F.count("*").alias("distinct_keys"), F.sum("n").alias("gets"), F.round(F.count("*") / width, 6).alias("share_of_block"))
+
+
+def reuse_timeline(trace: DataFrame, unit: int) -> DataFrame:
+    slot = F.floor(F.col("access_time") / unit)
+    rows = trace.select(slot.alias("to_day"), F.lag(slot).over(Window.partitionBy("key").orderBy("access_time", "seq")).alias("from_day"))
+    return rows.where("from_day IS NOT NULL").groupBy("from_day", "to_day").agg(F.count("*").alias("n"))
+
+
+def correlation_features(trace: DataFrame) -> DataFrame:
+    w = Window.partitionBy("key").orderBy("access_time", "seq")
+    rows = trace.select((F.col("access_time") - F.lag("access_time").over(w)).alias("past"), (F.lead("access_time").over(w) - F.col("access_time")).alias("next"), (F.row_number().over(w) - 1).alias("seen")).where("past IS NOT NULL AND next IS NOT NULL")
+    return rows.agg(F.count("*").alias("n"), F.round(F.corr("past", "next"), 6).alias("past_interval"), F.round(F.corr("seen", "next"), 6).alias("past_accesses"))
+
+
+def sampled(trace: DataFrame, frequency: int, without: list[str]) -> DataFrame:
+    """Every ``frequency``-th record, without some kinds."""
+    return trace.where((F.pmod(F.col("seq"), F.lit(frequency)) == 0) & ~F.col("type").isin(*without))
+
+
+def as_log(trace: DataFrame) -> DataFrame:
+    """The writes of a trace as a log, so that a replay is a read of it."""
+    return trace.where(F.col("type").isin("PUT", "DELETE", "MERGE")).select(F.lit("trace").alias("cf"), "key", "seq", F.col("type").alias("op"), F.col("value_size").alias("value"), F.col("access_time").alias("ts")).where("op <> 'MERGE'")

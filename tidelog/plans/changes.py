@@ -52,26 +52,26 @@ def savepoint_rollback(spark, sf):
     return txn.rolled_back(L.op_events(spark, sf).withColumn("ordinal", F.col("seq") % 100), 60).select("key", "seq", "op")
 
 
-_WS = "w AS (SELECT DISTINCT event_id // 50 AS txn, user_id AS key, (event_id // 50) * 50 - (event_id // 50) % 40 AS snap_seq FROM events WHERE event_id % 5 = 0)"
+_WS = "w AS (SELECT DISTINCT event_id // 50 AS txn, user_id AS key, (event_id // 50) * 50 - (event_id // 50) % 40 AS snap_seq FROM events)"
 
 
-@query(f"WITH {EV}, {_WS}, l AS (SELECT key, max(seq) AS c FROM ev WHERE seq % 3 = 0 AND seq < 7000 GROUP BY key), j AS (SELECT w.txn, coalesce(l.c > w.snap_seq, FALSE) AS late FROM w LEFT JOIN l ON l.key = w.key) SELECT txn, CASE WHEN bool_or(late) THEN 'Busy' ELSE 'OK' END AS status, count(*) FILTER (late) AS n_conflicts FROM j GROUP BY txn")
+@query(f"WITH {EV}, {_WS}, l AS (SELECT key, max(seq) AS c FROM ev WHERE op IN ('PUT', 'DELETE') GROUP BY key), j AS (SELECT w.txn, coalesce(l.c > w.snap_seq, FALSE) AS late FROM w LEFT JOIN l ON l.key = w.key) SELECT txn, CASE WHEN bool_or(late) THEN 'Busy' ELSE 'OK' END AS status, count(*) FILTER (late) AS n_conflicts FROM j GROUP BY txn")
 def occ_conflicts(spark, sf):
-    e = L.table(spark, sf, "events").where("event_id % 5 = 0")
+    """Every fifty events are a transaction that writes its users; puts and deletions are the commits."""
     t = F.floor(F.col("event_id") / 50)
-    writes = e.select(t.alias("txn"), F.col("user_id").alias("key"), (t * 50 - t % 40).alias("snap_seq")).distinct()
-    return txn.conflicts(writes, L.op_events(spark, sf).where("seq % 3 = 0 AND seq < 7000"))
+    writes = L.table(spark, sf, "events").select(t.alias("txn"), F.col("user_id").alias("key"), (t * 50 - t % 40).alias("snap_seq")).distinct()
+    return txn.conflicts(writes, L.op_events(spark, sf).where(F.col("op").isin(L.PUT, L.DELETE)))
 
 
 @query(
-    "WITH h AS (SELECT event_id AS owner, user_id AS lo, user_id + event_id % 3 AS hi FROM events WHERE event_id % 97 = 0), w AS (SELECT event_id AS waiter, user_id AS lo, user_id + 1 AS hi FROM events WHERE event_id % 89 = 0) "
+    "WITH h AS (SELECT max(event_id) AS owner, user_id AS lo, user_id + count(*) % 3 AS hi FROM events GROUP BY user_id), w AS (SELECT min(event_id) AS waiter, user_id AS lo, user_id + 1 AS hi FROM events GROUP BY user_id) "
     "SELECT DISTINCT waiter, owner AS holder FROM w JOIN h ON h.lo <= w.hi AND w.lo <= h.hi AND owner <> waiter"
 )
 def range_lock_overlap(spark, sf):
-    e = L.table(spark, sf, "events")
-    held = e.where("event_id % 97 = 0").select(F.col("event_id").alias("owner"), F.col("user_id").alias("lo"), (F.col("user_id") + F.col("event_id") % 3).alias("hi"))
-    wanted = e.where("event_id % 89 = 0").select(F.col("event_id").alias("waiter"), F.col("user_id").alias("w_lo"), (F.col("user_id") + 1).alias("w_hi"))
-    return txn.lock_overlaps(held, wanted)
+    """Each user's last event holds a range that its first one of a neighbour may want."""
+    e = L.table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("owner"), F.min("event_id").alias("waiter"), F.count("*").alias("n"))
+    held = e.select("owner", F.col("user_id").alias("lo"), (F.col("user_id") + F.col("n") % 3).alias("hi"))
+    return txn.lock_overlaps(held, e.select("waiter", F.col("user_id").alias("w_lo"), (F.col("user_id") + 1).alias("w_hi")))
 
 
 @query("WITH c AS (SELECT event_id // 100 AS txn_id, max(event_id) + 50 AS commit_seq FROM events WHERE (event_id // 100) % 4 <> 3 GROUP BY 1) SELECT e.event_id, c.txn_id, c.commit_seq AS seq FROM events e JOIN c ON c.txn_id = e.event_id // 100 WHERE c.commit_seq <= 6000")
@@ -175,3 +175,29 @@ def get_for_update(spark, sf):
     tracked = L.op_orders(spark, sf).groupBy("key").agg(F.max("seq").alias("tracked_seq"))
     read = multi_get(resolve(L.op_events(spark, sf)).select("key", "value"), L.probe_keys(spark, sf)).drop("status")
     return read.join(tracked, "key", "left").select("key", "value", "tracked_seq")
+
+
+@query(f"WITH {ORD} SELECT key % 8 AS part, count(*) AS n, max(seq) AS last_seq FROM o GROUP BY 1")
+def partitioned_output(spark, sf):
+    """A partitioner's files: records by the partition of their key."""
+    return L.op_orders(spark, sf).groupBy((F.col("key") % 8).alias("part")).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+
+
+@query("SELECT c_custkey AS pk, 'new' AS change FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'gone' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")
+def backup_diff(spark, sf):
+    """What two backups don't share: rows of the newer one alone, and of the older one alone."""
+    c = L.table(spark, sf, "customer").select(F.col("c_custkey").alias("pk"), "c_mktsegment", "c_acctbal")
+    older, newer = c.where("c_acctbal >= 0").select("pk"), c.where("c_acctbal < 0 OR c_mktsegment <> 'BUILDING'").select("pk")
+    return newer.exceptAll(older).withColumn("change", F.lit("new")).union(older.exceptAll(newer).withColumn("change", F.lit("gone")))
+
+
+@query(f"WITH {EV}, {resolved()} SELECT key, value, CAST(1700000000 AS BIGINT) AS write_time FROM res WHERE n_operands > 0")
+def merge_ttl(spark, sf):
+    """Merges of values with write times: the result is stamped with the time of the merge."""
+    return resolve(L.op_events(spark, sf)).where("n_operands > 0").select("key", "value", F.lit(1_700_000_000).cast("bigint").alias("write_time"))
+
+
+@query(f"WITH {EV} SELECT key, seq, op, CAST(1234 AS BIGINT) AS ts FROM ev WHERE seq // 100 = 3")
+def batch_timestamps(spark, sf):
+    """A batch whose records all get one commit time."""
+    return L.op_events(spark, sf).where(F.floor(F.col("seq") / 100) == 3).select("key", "seq", "op", F.lit(1234).cast("bigint").alias("ts"))

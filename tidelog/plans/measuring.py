@@ -128,19 +128,19 @@ def reuse_lifetime(spark, sf):
     return cache.lifetimes(L.trace(spark, sf))
 
 
-_REUSE = f"""WITH {TR}, w AS (SELECT key, seq, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nxt FROM tr WHERE seq < 4000),
-d AS (SELECT w.key, w.seq, CASE WHEN w.prev IS NOT NULL THEN (SELECT count(*) FROM w o WHERE o.seq > w.prev AND o.seq < w.seq AND (o.nxt IS NULL OR o.nxt > w.seq)) END AS distance FROM w)"""
+_REUSE = f"""WITH {TR}, w AS (SELECT key, seq, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nxt FROM tr),
+c AS (SELECT w.seq, count(*) AS n FROM w JOIN w o ON o.seq > w.prev AND o.seq < w.seq AND coalesce(o.nxt, 9223372036854775807) > w.seq GROUP BY w.seq),
+d AS (SELECT w.key, w.seq, CASE WHEN w.prev IS NOT NULL THEN coalesce(c.n, 0) END AS distance FROM w LEFT JOIN c ON c.seq = w.seq)"""
 
 
 @query(_REUSE + " SELECT key, seq, distance FROM d")
 def reuse_distance(spark, sf):
-    """Over the first part of the trace's time: distances need all that lies between two accesses."""
-    return cache.reuse_distances(L.trace(spark, sf).where("seq < 4000"))
+    return cache.reuse_distances(L.trace(spark, sf))
 
 
 @query(_REUSE + " SELECT CAST(c.c AS INT) AS capacity, count(*) AS n, count(*) FILTER (distance < c.c) AS hits FROM d, (VALUES (10), (50), (100), (140)) c(c) GROUP BY 1")
 def lru_sim(spark, sf):
-    return cache.lru_curve(cache.reuse_distances(L.trace(spark, sf).where("seq < 4000")), [10, 50, 100, 140])
+    return cache.lru_curve(cache.reuse_distances(L.trace(spark, sf)), [10, 50, 100, 140])
 
 
 @query()
@@ -153,3 +153,100 @@ def cache_policies(spark, sf):
 def io_trace_summary(spark, sf):
     b = L.table(spark, sf, "events").select(F.col("event_type").alias("op"), F.floor("value").alias("latency"))
     return b.groupBy("op").agg(F.count("*").alias("n"), F.min("latency").alias("fastest"), F.max("latency").alias("slowest"), F.sum("latency").alias("total"))
+
+
+@query(
+    f"""WITH {TR}, k AS (SELECT key, count(*) AS n FROM tr GROUP BY 1), r AS (SELECT key, n, ntile(10) OVER (ORDER BY n DESC, key) AS decile FROM k)
+SELECT CAST(decile AS INT) AS decile, count(*) AS keys, CAST(sum(n) AS BIGINT) AS accesses FROM r GROUP BY 1"""
+)
+def cache_skewness(spark, sf):
+    """How accesses spread over tenths of the keys, the most accessed first. Keys' counts are ranked, not accesses."""
+    k = L.trace(spark, sf).groupBy("key").agg(F.count("*").alias("n"))
+    return trace.skewness(k, 10)
+
+
+@query(f"WITH {TR}, g AS (SELECT key // 10 AS block, key, count(*) AS n FROM tr WHERE type = 'GET' GROUP BY 1, 2) SELECT block, count(*) AS distinct_keys, CAST(sum(n) AS BIGINT) AS gets, CAST(round(count(*) / 10.0, 6) AS DOUBLE) AS share_of_block FROM g GROUP BY 1")
+def get_spatial_locality(spark, sf):
+    """Of each block of ten keys, how many are read."""
+    return trace.locality(L.trace(spark, sf).where("type = 'GET'"), 10)
+
+
+@query(f"WITH {TR} SELECT CAST(access_time // 86400000000 AS BIGINT) AS slot, key // 50 AS label, count(*) AS n FROM tr GROUP BY 1, 2")
+def cache_access_timeline(spark, sf):
+    t = L.trace(spark, sf)
+    return t.groupBy(F.floor(F.col("access_time") / 86_400_000_000).alias("slot"), F.floor(F.col("key") / 50).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {TR}, l AS (SELECT access_time // 86400000000 AS day, lag(access_time // 86400000000) OVER (PARTITION BY key ORDER BY access_time, seq) AS before FROM tr)
+SELECT CAST(before AS BIGINT) AS from_day, CAST(day AS BIGINT) AS to_day, count(*) AS n FROM l WHERE before IS NOT NULL GROUP BY 1, 2"""
+)
+def block_reuse_timeline(spark, sf):
+    """Reuses by the day of an access and of the one before it."""
+    return trace.reuse_timeline(L.trace(spark, sf), 86_400_000_000)
+
+
+@query(
+    f"""WITH {TR}, i AS (SELECT key, access_time, seq, access_time - lag(access_time) OVER w AS past, lead(access_time) OVER w - access_time AS next FROM tr WINDOW w AS (PARTITION BY key ORDER BY access_time, seq)),
+r AS (SELECT past, next, row_number() OVER (PARTITION BY key ORDER BY access_time, seq) AS past_accesses FROM i WHERE past IS NOT NULL AND next IS NOT NULL)
+SELECT count(*) AS n, round(corr(past, next), 6) AS past_interval, round(corr(past_accesses, next), 6) AS past_accesses FROM r"""
+)
+def cache_correlation_features(spark, sf):
+    """How the past interval and the number of past accesses go with the interval that follows."""
+    return trace.correlation_features(L.trace(spark, sf))
+
+
+@query(f"WITH {TR} SELECT type, key, seq FROM tr WHERE seq % 10 = 0 AND type <> 'DELETE'")
+def trace_sampled(spark, sf):
+    """A trace taken with a sampling frequency of ten and a filter on kinds: sampling is what is asked for here."""
+    return trace.sampled(L.trace(spark, sf), 10, ["DELETE"]).select("type", "key", "seq")
+
+
+@query(f"WITH {TR}, p AS (SELECT key, seq, type, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM tr WHERE type IN ('PUT', 'DELETE')) SELECT key, seq FROM p WHERE n = 1 AND type = 'PUT'")
+def trace_replay(spark, sf):
+    """The state after a trace's writes are done again."""
+    from ..operators.resolve import latest
+
+    return latest(trace.as_log(L.trace(spark, sf))).select("key", "seq")
+
+
+@query(f"WITH {EV} SELECT CAST(floor(ts / 86400000000.0) AS BIGINT) AS slot, count(value) AS n, min(value) AS least, max(value) AS most, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * value) AS BIGINT) AS squares FROM ev GROUP BY 1")
+def histogram_windows(spark, sf):
+    """Statistics of each window, from sums that windows can be merged by."""
+    return stats.windowed(L.op_events(spark, sf), "ts", "value", 86_400_000_000)
+
+
+@query(f"WITH {EV} SELECT round(avg(value), 6) AS average, round(stddev_pop(value), 6) AS deviation, min(value) AS least, max(value) AS most, count(value) AS n FROM ev")
+def histogram_moments(spark, sf):
+    return L.op_events(spark, sf).agg(F.round(F.avg("value"), 6).alias("average"), F.round(F.stddev_pop("value"), 6).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+
+
+@query(
+    f"""WITH {EV}, f AS (SELECT seq // 1000 AS file, count(*) AS entries, count(*) FILTER (op IN ('DELETE', 'RANGE_DELETE')) AS deletes, count(*) FILTER (op = 'MERGE') AS merges FROM ev GROUP BY 1)
+SELECT file, 'many-deletes' AS rule FROM f WHERE deletes * 10 > entries UNION ALL SELECT file, 'many-merges' FROM f WHERE merges * 10 > entries * 6 UNION ALL SELECT file, 'small-file' FROM f WHERE entries < 1000"""
+)
+def advisor_rules(spark, sf):
+    """Rules over properties of files: each file with each rule that it triggers."""
+    f = L.op_events(spark, sf).groupBy(F.floor(F.col("seq") / 1000).alias("file")).agg(F.count("*").alias("entries"), F.count_if(F.col("op").isin(L.DELETE, L.RANGE_DELETE)).alias("deletes"), F.count_if(F.col("op") == L.MERGE).alias("merges"))
+    return stats.advise(f, {"many-deletes": "deletes * 10 > entries", "many-merges": "merges * 10 > entries * 6", "small-file": "entries < 1000"}).select("file", "rule")
+
+
+@query("SELECT source AS file, min(doc_id) AS smallest_key, max(doc_id) AS largest_key, count(*) AS n, CAST(bit_xor(doc_id * 31 + length(text)) AS BIGINT) AS checksum FROM documents GROUP BY 1")
+def file_checksums(spark, sf):
+    """A checksum of each file's rows that doesn't depend on their order."""
+    d = L.table(spark, sf, "documents")
+    return d.groupBy(F.col("source").alias("file")).agg(F.min("doc_id").alias("smallest_key"), F.max("doc_id").alias("largest_key"), F.count("*").alias("n"), F.bit_xor(F.col("doc_id") * 31 + F.length("text")).alias("checksum"))
+
+
+@query("WITH m AS (SELECT CAST(date_diff('month', TIMESTAMP '1970-01-01', l_shipdate) AS BIGINT) AS create_time, count(*) AS size FROM lineitem GROUP BY 1) SELECT min(create_time) AS oldest, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size FROM m")
+def oldest_file(spark, sf):
+    from .rewriting import _files
+
+    return _files(spark, sf).agg(F.min("create_time").alias("oldest"), F.count("*").alias("files"), F.sum("size").alias("total_size"))
+
+
+@query(f"WITH {EV} SELECT key // 25 AS range_id, count(*) AS n, CAST(sum(length(CAST(key AS VARCHAR)) + coalesce(length(CAST(value AS VARCHAR)), 0)) AS BIGINT) AS bytes FROM ev GROUP BY 1")
+def memtable_range_stats(spark, sf):
+    """Entries and bytes of unresolved records by range of keys."""
+    size = F.length(F.col("key").cast("string")) + F.coalesce(F.length(F.col("value").cast("string")), F.lit(0))
+    return L.op_events(spark, sf).groupBy(F.floor(F.col("key") / 25).alias("range_id")).agg(F.count("*").alias("n"), F.sum(size).cast("bigint").alias("bytes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import oplog as L
 from ..functions import prefixes
 from ..operators import scan
-from ..operators.resolve import latest, live_records, operands, resolve, uncovered, visible
+from ..operators.resolve import latest, live_records, operands, resolve, uncovered
 from .registry import DKV, EV, ORD, PROBE, query, resolved
 
 SNAPSHOT, READ_TS = 5000, 852076800000000  # the latter is 1997-01-01
@@ -162,9 +162,9 @@ def should_merge_last_n(spark, sf):
     return resolve(L.op_events(spark, sf), fold=last_n(3)).where("n_operands > 0").select("key", "value")
 
 
-@query(f"WITH {EV} SELECT key, seq, op, value FROM ev WHERE seq <= 200")
+@query(f"WITH {EV} SELECT key, seq, op, value FROM ev")
 def raw_version_scan(spark, sf):
-    return visible(L.op_events(spark, sf), snapshot=200).select("key", "seq", "op", "value").orderBy("key", F.col("seq").desc())
+    return L.op_events(spark, sf).select("key", "seq", "op", "value").orderBy("key", F.col("seq").desc())
 
 
 @query(f"WITH {EV}, {resolved()}, a AS (SELECT key, count(*) AS n FROM ev WHERE op <> 'RANGE_DELETE' GROUP BY key), b AS (SELECT key, count(*) AS n FROM res_live GROUP BY key) SELECT a.key, a.n - coalesce(b.n, 0) AS hidden FROM a LEFT JOIN b USING (key)")
