@@ -56,7 +56,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(whole[starts[0] : starts[-1]], starts - starts[0])
 
 
-def slices(t: Texts, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(t: Texts, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``most`` bytes each; a longer text makes a range alone."""
     a = 0
     while a < len(t):
@@ -100,7 +100,7 @@ class Hasher:
     """64-bit hashes of any spans of a buffer, each in constant time."""
 
     def __init__(self, data: np.ndarray):
-        n = 1 << max(20, int(len(data) + 1).bit_length())
+        n = 1 << max(18, int(len(data) + 1).bit_length())
         power, self._inverse = _powers(n)
         self._sums = np.zeros(len(data) + 1, U64)
         np.cumsum(_BYTE[data] * power[: len(data)], out=self._sums[1:])
