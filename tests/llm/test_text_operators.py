@@ -117,7 +117,7 @@ def test_patterns_match_plain_expressions():
 def test_windows_agree_with_one_long_window(monkeypatch):
     """Windows decode as one window of the whole text, but for what they can't see; skipping the algorithm changes nothing."""
     texts = [f"word more {'text ' * k}mail{k}@host{k}.example.com then 10.20.30.{k} and +1 (555) 010-{1000 + k} end" for k in range(40)]
-    model = pii.fit(texts, epochs=12)
+    model = pii.fit(texts, epochs=100)
     text = " ".join(texts)
     c, starts = pii.classes(text), np.array([0, len(text)])
     decoder = pii.Decoder(model)

@@ -48,7 +48,8 @@ def rule_counts(t: K.Texts, hasher: K.Hasher, h: np.ndarray, first: np.ndarray,
     out = {"n_words": np.diff(first), "word_chars": K.per_text(plain & K.code_points(t.data), t.starts), "n_symbols": K.per_text(_SYMBOL[t.data], t.starts)}
 
     breaks = np.flatnonzero(t.data == 10)
-    s = np.sort(np.concatenate([t.starts[:-1], breaks + 1]))
+    # a text's last line is empty if it ends with a break; that place is the next text's first line, and counts once
+    s = np.unique(np.concatenate([t.starts[:-1], breaks + 1]))
     text_of = np.searchsorted(t.starts[1:], s, "right") if n else s
     cut = np.searchsorted(breaks, s)
     e = np.minimum(np.append(breaks, len(t.data))[cut], t.starts[1:][np.minimum(text_of, n - 1)]) if n else s

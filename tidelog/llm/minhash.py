@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .runtime import join_checked, written
+from .runtime import join_apart, join_checked, written
 
 ROWS, BANDS, B = 4, 32, 2
 PERMUTATIONS = ROWS * BANDS
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
 
     entries = reps.select("id", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = written(entries.join(crowded.hint("shuffle_merge"), "key"), "buckets")
+    entries = written(join_apart(entries, crowded, "key"), "buckets")
     degree = entries.groupBy("id").agg(F.sum("n").alias("degree"))
     hubs = entries.join(degree.hint("shuffle_merge"), "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("other"))).alias("h")).select("key", (-F.col("h.other")).alias("hub"))
     hubs = written(hubs, "hubs")
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     # buckets of several components
     label = entries.select("key", "id").join(found.hint("shuffle_merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    label = written(label.join(mixed.hint("shuffle_merge"), "key"), "mixed")
+    label = written(join_apart(label, mixed, "key"), "mixed")
     hub_of = hubs.join(label.select("key", F.col("id").alias("hub"), F.col("c").alias("hub_c")).hint("shuffle_merge"), ["key", "hub"])
     signed = written(label.join(hub_of.select("key", "hub_c").hint("shuffle_merge"), "key").join(reps.select("id", *_SIG).hint("shuffle_merge"), "id"), "signed")
     cols = ["key", "id", "c", *_SIG]

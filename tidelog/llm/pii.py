@@ -4,7 +4,8 @@ The network is trained in numpy from labelled spans, which the fixed patterns gi
 bounded sample of texts, and reads every character of every text. Texts are cut into
 overlapping windows; each is decoded by the Viterbi algorithm, and each character takes its
 label from the window in which it lies farther from an edge, so that a text has one labelling.
-Runs of a label that touch no span of a pattern are added to the spans; those of patterns stay.
+Runs of a label that touch no span of a pattern, and aren't refuted by a pattern's check, are added to the spans;
+those of patterns stay.
 
 The cells use piecewise linear activations (hard sigmoid and hard tangent): the same
 recurrences with no exponentials. A window whose emissions prefer "none" everywhere by more than any
@@ -361,8 +362,16 @@ class Decoder:
         return out
 
 
+def _refuted(kind: str, piece: str) -> bool:
+    """Whether a fixed pattern of the kind matches here: as its span was not kept, it failed the pattern's own check."""
+    return bool({"ip": _IP, "card": _CARD, "phone": _PHONE}[kind].search(piece)) if kind != "email" else False
+
+
 def _added(tags: np.ndarray, base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
-    """Runs of a label that touch no span of a pattern, without space at their ends."""
+    """Runs of a label that touch no span of a pattern, without space at their ends.
+
+    A number that has a card's form but not its check digit, for one, is known to be none.
+    """
     at = np.flatnonzero(tags)
     if not len(at):
         return []
@@ -374,7 +383,7 @@ def _added(tags: np.ndarray, base: list[tuple[str, int, int]], text: str) -> lis
     for s, e in zip(at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + 1):
         piece = text[s:e]
         s, e = int(s + len(piece) - len(piece.lstrip())), int(e - len(piece) + len(piece.rstrip()))
-        if e - s >= SHORTEST and not taken[s:e].any():
+        if e - s >= SHORTEST and not taken[s:e].any() and not _refuted(KINDS[tags[s] - 1], text[s:e]):
             out.append((KINDS[tags[s] - 1], s, e))
     return out
 
@@ -388,12 +397,15 @@ def _sorted(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Tagger | None:
-    """From at most ``sample`` texts of at most SAMPLE_CHARS characters: those that hash lowest."""
-    short = docs.select(text_column).where(F.col(text_column).isNotNull() & (F.length(text_column) <= SAMPLE_CHARS))
-    order = (F.xxhash64(text_column), text_column)
-    likely = short.where(F.col(text_column).rlike("@|[0-9]{2}")).orderBy(*order).limit(sample // 2)
-    other = short.orderBy(*order).limit(sample - sample // 2)
-    texts = sorted({r[0] for r in likely.union(other).collect()})
+    """From at most ``sample`` different texts of at most SAMPLE_CHARS characters: those that hash lowest."""
+    short = docs.select(F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h")).where(F.col(text_column).isNotNull() & (F.length(text_column) <= SAMPLE_CHARS))
+    texts: set[str] = set()
+    for some, n in ((short.where(F.col("t").rlike("@|[0-9]{2}")), sample // 2), (short, sample - sample // 2)):
+        # hashes alone are ordered; equal texts are one
+        last = some.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+        if last is not None:
+            texts |= {r[0] for r in some.where(F.col("h") <= last).groupBy("h").agg(F.min("t")).select("min(t)").collect()}
+    texts = sorted(texts)
     return fit(texts)
 
 

@@ -54,6 +54,17 @@ def join_checked(left: DataFrame, right: DataFrame, on: str, how: str, rows: int
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("shuffle_merge"), on, how)
 
 
+def join_apart(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A shuffled join on a BIGINT, whose right side was aggregated by it.
+
+    Spark can split the hot keys of a join only if both sides come straight from a shuffle. It would take the
+    aggregate as it lies; joining by the complement of the key makes it shuffle the small side once more.
+    """
+    key = F.bitwise_not(F.col(on)).alias("apart__")
+    joined = left.withColumn("apart__", key).join(right.withColumn("apart__", key).drop(on).hint("shuffle_merge"), "apart__", how)
+    return joined.drop("apart__")
+
+
 def fold(column: str, m: int):
     """crc32 of the id's text, modulo m."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))

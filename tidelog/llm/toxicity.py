@@ -66,8 +66,9 @@ def marginals(e: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
         at = begin[:k] + t
         a1 = p[:k]
         a0 = 1 - a1
-        one = (a0 * m[0, 1] + a1 * m[1, 1]) * odds[at]
-        p = one / (one + a0 * m[0, 0] + a1 * m[1, 0])
+        one, zero = (a0 * m[0, 1] + a1 * m[1, 1], a0 * m[0, 0] + a1 * m[1, 0]) if t else (0.5, 0.5)
+        one = one * odds[at]
+        p = one / (one + zero)
         ahead[at] = p
     b = np.full(len(size), 0.5)  # backward messages, as the share of state 1
     for t in range(len(active) - 1, -1, -1):
