@@ -16,10 +16,11 @@ def test_resolve_matches_the_fold(spark, seed):
     log = spark.createDataFrame(rows, golden.SCHEMA)
     for snapshot, read_ts, ranges in [(None, None, True), (90, None, True), (None, 1200, True), (150, None, False)]:
         want = {k: (v[0], v[1], len(v[2])) for k, v in golden.state(rows, snapshot, read_ts, ranges).items()}
-        got = {r.key: (r.value, r.seq, r.n_operands) for r in resolve(log, snapshot, read_ts, ranges=ranges).collect()}
-        assert got == want
+        for span in (1 << 20, 17):
+            got = {r.key: (r.value, r.seq, r.n_operands) for r in resolve(log, snapshot, read_ts, ranges=ranges, span=span).collect()}
+            assert got == want
     want = {k: v for k, v in golden.state(rows).items()}
-    folded = {r.key: r.value for r in resolve(log, fold=lambda b, o: F.concat_ws(",", b.cast("string"), F.array_join(merges.values(o).cast("array<string>"), ","))).collect()}
+    folded = {r.key: r.value for r in resolve(log.withColumn("value", F.col("value").cast("string")), fold=merges.string_append(",")).collect()}
     assert {k: folded[k] for k in want if want[k][2]} == {k: ",".join(str(x) for x in ([] if v[3] is None else [v[3]]) + v[2]) for k, v in want.items() if v[2]}
 
 
@@ -141,6 +142,22 @@ def test_named_aggregates_of_golden_cases(spark):
         assert got.failed == failed and (failed or (got.func, got.value) == (func, value))
 
 
+def test_user_merges_in_python(spark):
+    from tidelog.functions.user import python_merge
+
+    rows = golden.random_log(5)
+    log = spark.createDataFrame(rows, golden.SCHEMA)
+
+    def rolling(base, operands):
+        a = -1 if base is None else base
+        for x in operands:
+            a = (a * 3 + x) % 1009
+        return a
+
+    want = {k: (rolling(v[3], v[2]) if v[2] else v[3]) for k, v in golden.state(rows).items()}
+    assert {r.key: r.value for r in python_merge(log, rolling).collect()} == want
+
+
 def test_latest_and_history(spark):
     rows = [r for r in golden.random_log(9) if r[3] in ("PUT", "DELETE")]
     log = spark.createDataFrame(rows, golden.SCHEMA)

@@ -42,24 +42,39 @@ def live_records(log: DataFrame, ranges: bool = True) -> DataFrame:
     return points.withColumn("base_seq", base).where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1)))
 
 
-def resolve(log: DataFrame, snapshot: int | None = None, read_ts: int | None = None, fold: Fold | None = None, ranges: bool = True) -> DataFrame:
+#: A key's history is folded in spans of so many sequence numbers first, so that a hot key is no single task's.
+SPAN = 1 << 20
+
+
+def resolve(log: DataFrame, snapshot: int | None = None, read_ts: int | None = None, fold: Fold | None = None, ranges: bool = True, span: int = SPAN) -> DataFrame:
     """(cf, key, value, seq, ts, n_operands) of live keys.
 
-    ``fold`` may be any function of the base and the ordered operands; without it, operands add up, which
-    Spark does with partial sums. ``seq`` and ``ts`` are the newest record's.
+    Without ``fold``, operands add up: spans of a key's history are summed up apart and then put together, so any
+    number of records may share a key. ``fold`` may be any function of the base and the ordered operands; as it
+    needs a key's operands in one row, histories must fit one. ``seq`` and ``ts`` are the newest record's.
     """
-    live = live_records(visible(log, snapshot, read_ts), ranges)
-    merge, put = F.col("op") == MERGE, F.col("op").isin(*VALUES)
-    aggs = [
-        F.max("seq").alias("seq"), F.max_by("ts", "seq").alias("ts") if "ts" in log.columns else F.lit(None).cast("bigint").alias("ts"),
-        F.count_if(merge).alias("n_operands"), F.bool_or(~F.col("op").isin(*DELETIONS)).alias("live"), F.max(F.when(put, F.col("value"))).alias("base"),
-    ]
-    if fold is None:
-        got = live.groupBy("cf", "key").agg(*aggs, F.sum(F.when(merge, F.col("value"))).alias("folded"))
-        value = F.when(F.col("n_operands") == 0, F.col("base")).otherwise(F.coalesce("base", F.lit(0)) + F.col("folded"))
-    else:
-        got = live.groupBy("cf", "key").agg(*aggs, F.array_sort(F.collect_list(F.when(merge, F.struct("seq", "value")))).alias("operands"))
+    log = visible(log, snapshot, read_ts)
+    if "ts" not in log.columns:
+        log = log.withColumn("ts", F.lit(None).cast("bigint"))
+    merge, put, newest = F.col("op") == MERGE, F.col("op").isin(*VALUES), F.max_by("ts", "seq").alias("ts")
+    if fold is not None:
+        got = live_records(log, ranges).groupBy("cf", "key").agg(
+            F.max("seq").alias("seq"), newest, F.count_if(merge).alias("n_operands"), F.bool_or(~F.col("op").isin(*DELETIONS)).alias("live"), F.max(F.when(put, F.col("value"))).alias("base"),
+            F.array_sort(F.collect_list(F.when(merge, F.struct("seq", "value")))).alias("operands"),
+        )
         value = F.when(F.col("n_operands") == 0, F.col("base")).otherwise(fold(F.col("base"), F.col("operands")))
+        return got.where("live").select("cf", "key", value.alias("value"), "seq", "ts", "n_operands")
+    points = (uncovered(log) if ranges else log.where(F.col("op").isin(*POINTS))).withColumn("span__", F.floor(F.col("seq") / span))
+    base_seq = F.max(F.when(F.col("op").isin(*BASES), F.col("seq"))).over(Window.partitionBy("cf", "key", "span__"))
+    parts = points.withColumn("base_seq", base_seq).where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1))).groupBy("cf", "key", "span__").agg(
+        F.max("seq").alias("seq"), newest, F.count_if(merge).alias("n_operands"), F.sum(F.when(merge, F.col("value"))).alias("folded"), F.max("base_seq").alias("base_seq"),
+        F.bool_or(~F.col("op").isin(*DELETIONS)).alias("live"), F.max(F.when(put, F.col("value"))).alias("base"),
+    )
+    top = F.max(F.when(F.col("base_seq").isNotNull(), F.col("span__"))).over(Window.partitionBy("cf", "key"))
+    got = parts.withColumn("top__", top).where(F.col("span__") >= F.coalesce("top__", F.lit(-1))).groupBy("cf", "key").agg(
+        F.max("seq").alias("seq"), newest, F.sum("n_operands").alias("n_operands"), F.sum("folded").alias("folded"), F.bool_or("live").alias("live"), F.max("base").alias("base")
+    )
+    value = F.when(F.col("n_operands") == 0, F.col("base")).otherwise(F.coalesce("base", F.lit(0)) + F.col("folded"))
     return got.where("live").select("cf", "key", value.alias("value"), "seq", "ts", "n_operands")
 
 

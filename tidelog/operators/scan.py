@@ -47,16 +47,17 @@ def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "
     """
     cuts = _cuts(state, key, buckets)
     place = lambda c: F.size(F.filter(F.lit(cuts), lambda x: x <= c)) if cuts else F.lit(0)
-    both = state.select(F.col(key).alias("k"), F.lit(None).cast(probes.schema[probe].dataType).alias("p")).union(probes.select(F.col(probe).cast(state.schema[key].dataType), F.col(probe))).withColumn("b", place(F.col("k")))
-    own = F.when(F.col("p").isNull(), F.col("k"))
+    kind = state.schema[key].dataType
+    both = state.select(F.col(key).alias("k"), F.lit(False).alias("asked")).union(probes.select(F.col(probe).cast(kind).alias("k"), F.lit(True).alias("asked"))).withColumn("b", place(F.col("k")))
+    own = F.when(~F.col("asked"), F.col("k"))
     edge = both.groupBy("b").agg((F.min(own) if forward else F.max(own)).alias("edge"))
     rows = Window.orderBy("b")
     rows = rows.rowsBetween(1, Window.unboundedFollowing) if forward else rows.rowsBetween(Window.unboundedPreceding, -1)
     beyond = edge.select("b", (F.min("edge") if forward else F.max("edge")).over(rows).alias("beyond"))
     inner = Window.partitionBy("b").orderBy("k")
     frame = inner.rangeBetween(Window.currentRow, Window.unboundedFollowing) if forward else inner.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = both.withColumn("near", (F.min(own) if forward else F.max(own)).over(frame)).where("p IS NOT NULL")
-    return near.join(F.broadcast(beyond), "b", "left").select(F.col("p").alias(probe), F.coalesce("near", "beyond").alias(key))
+    near = both.withColumn("near", (F.min(own) if forward else F.max(own)).over(frame)).where("asked")
+    return near.join(F.broadcast(beyond), "b", "left").select(F.col("k").cast(probes.schema[probe].dataType).alias(probe), F.coalesce("near", "beyond").alias(key))
 
 
 def _cuts(state: DataFrame, key: str, buckets: int) -> list:

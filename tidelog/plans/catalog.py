@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, measuring, merging, reads, rewriting, streams  # noqa: F401
+from . import changes, measuring, merging, more, reads, rewriting, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
