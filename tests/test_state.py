@@ -55,8 +55,8 @@ def test_range_joins_agree_beyond_the_broadcast(spark, few):
     ranges = [(a, a + a % 7, a) for a in range(0, 90, 3)]
     r = spark.createDataFrame(ranges, "begin_key bigint, end_key bigint, n bigint")
     covered = {k for k in range(100) if any(a <= k < b for a, b, _ in ranges)}
-    assert {x.key for x in range_join(points, r, F.lit(True), "left_anti", few=few).collect()} == set(range(100)) - covered
-    assert sorted((x.key, x.n) for x in range_join(points, r, F.lit(True), "inner", few=few).collect()) == sorted((k, n) for k in range(100) for a, b, n in ranges if a <= k < b)
+    assert {x.key for x in range_join(points, r, F.lit(True), "left_anti", few=few, buckets=4).collect()} == set(range(100)) - covered
+    assert sorted((x.key, x.n) for x in range_join(points, r, F.lit(True), "inner", few=few, buckets=4).collect()) == sorted((k, n) for k in range(100) for a, b, n in ranges if a <= k < b)
 
 
 def test_fragments_of_golden_cases(spark):

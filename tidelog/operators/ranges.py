@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 FEW = 2000
 
 
+def cut_points(rows: DataFrame, key: str, buckets: int) -> list:
+    """Bounds between runs of keys of about equal size, from the keys of a bounded sample: those that hash lowest."""
+    sample = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(40 * buckets).collect())
+    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if len(sample) >= buckets else []
+
+
 def range_join(points: DataFrame, ranges: DataFrame, on: Column, how: str, key: str = "key", begin: str = "begin_key", end: str = "end_key", few: int = FEW, buckets: int = 64) -> DataFrame:
     """``how`` is inner, left_anti, left_semi or left; ``on`` is what must hold besides the range."""
     within = (F.col(key) >= F.col(begin)) & (F.col(key) < F.col(end)) & on
     n = ranges.count()
     if n <= few:
         return points.join(F.broadcast(ranges), within, how)
-    rank = F.ntile(buckets).over(_window(begin))
-    cuts = [r[0] for r in ranges.select(begin).distinct().sample(1.0 if n < 100_000 else 100_000 / n, 7).withColumn("r", rank).groupBy("r").agg(F.max(begin).alias("b")).orderBy("b").select("b").collect()]
+    cuts = cut_points(ranges, begin, buckets)
+    if not cuts:
+        return points.join(F.broadcast(ranges), within, how)
     place = lambda c: F.size(F.filter(F.lit(cuts), lambda x: x <= c))
     spread = ranges.withColumn("bucket__", F.explode(F.sequence(place(F.col(begin)), place(F.col(end)))))
     keyed = points.withColumn("bucket__", place(F.col(key)))
@@ -29,12 +36,6 @@ def range_join(points: DataFrame, ranges: DataFrame, on: Column, how: str, key:
     return keyed.join(dup, (F.col("bucket__") == F.col("range_bucket__")) & within, how).drop("bucket__", "range_bucket__")
 
 
-def _window(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def fragments(tombs: DataFrame, begin: str = "begin_key", end: str = "end_key", group: list[str] | None = None) -> DataFrame:
     """(group, begin_key, end_key, seqs): disjoint ranges with the sequence numbers that cover each, newest first."""
     from pyspark.sql import Window

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import cut_points
+
 #: Probe tables of more rows are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -45,7 +47,7 @@ def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "
     Keys and probes are dealt into ranges; each range is sorted on its own, and a summary of one row for each
     range tells what lies beyond its edge. No single task orders all keys.
     """
-    cuts = _cuts(state, key, buckets)
+    cuts = cut_points(state, key, buckets)
     place = lambda c: F.size(F.filter(F.lit(cuts), lambda x: x <= c)) if cuts else F.lit(0)
     kind = state.schema[key].dataType
     both = state.select(F.col(key).alias("k"), F.lit(False).alias("asked")).union(probes.select(F.col(probe).cast(kind).alias("k"), F.lit(True).alias("asked"))).withColumn("b", place(F.col("k")))
@@ -60,12 +62,6 @@ def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "
     return near.join(F.broadcast(beyond), "b", "left").select(F.col("k").cast(probes.schema[probe].dataType).alias(probe), F.coalesce("near", "beyond").alias(key))
 
 
-def _cuts(state: DataFrame, key: str, buckets: int) -> list:
-    """Bounds between ranges of about equal size, from a bounded sample of keys."""
-    sample = sorted(r[0] for r in state.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(40 * buckets).collect())
-    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if len(sample) >= buckets else []
-
-
 def as_of(events: DataFrame, versions: DataFrame, by: str, event_time: str, version_time: str, value: str, strict: bool = False) -> DataFrame:
     """Each event with the latest version of its key at or before (``strict``: before) its time.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oplog import DELETIONS, MERGE, RANGE_DELETE, VALUES
-from .ranges import range_join
+from .ranges import cut_points, range_join
 
 
 def range_sizes(rows: DataFrame, ranges: DataFrame, key: str = "key", size: str = "size") -> DataFrame:
@@ -15,15 +15,14 @@ def range_sizes(rows: DataFrame, ranges: DataFrame, key: str = "key", size: str
     return ranges.select("range_id").join(hit, "range_id", "left").select("range_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def key_anchors(rows: DataFrame, n: int, key: str = "key") -> DataFrame:
+def key_anchors(rows: DataFrame, n: int, key: str = "key", buckets: int = 64) -> DataFrame:
     """(anchor, first_key, n): first keys of n runs of about equal size.
 
-    Exact ranks without one task that sorts all: rows are range-partitioned and sorted, partitions' counts
-    give each one its first rank, and a row's rank is that plus its place.
+    Exact ranks without one task that sorts all: rows are dealt into ranges of keys and sorted there, ranges'
+    counts give each one its first rank, and a row's rank is that plus its place.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select(key).repartitionByRange(parts, key).withColumn("p", F.spark_partition_id())
+    cuts = cut_points(rows, key, buckets)
+    ordered = rows.select(key).withColumn("p", F.size(F.filter(F.lit(cuts), lambda x: x <= F.col(key))) if cuts else F.lit(0))
     counts = ordered.groupBy("p").agg(F.count("*").alias("c"))
     before = counts.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("total"))
     ranked = ordered.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1).join(F.broadcast(before), "p").withColumn("rank", F.col("before") + F.col("at"))
