@@ -363,8 +363,11 @@ class Decoder:
 
 
 def _refuted(kind: str, piece: str) -> bool:
-    """Whether a fixed pattern of the kind matches here: as its span was not kept, it failed the pattern's own check."""
-    return bool({"ip": _IP, "card": _CARD, "phone": _PHONE}[kind].search(piece)) if kind != "email" else False
+    """Whether the text itself speaks against a label.
+
+    An address needs its at sign. Where a pattern of another kind matches, its span failed the pattern's own check.
+    """
+    return "@" not in piece if kind == "email" else bool({"ip": _IP, "card": _CARD, "phone": _PHONE}[kind].search(piece))
 
 
 def _added(tags: np.ndarray, base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
