@@ -64,7 +64,7 @@ def resolve(log: DataFrame, snapshot: int | None = None, read_ts: int | None = N
         )
         value = F.when(F.col("n_operands") == 0, F.col("base")).otherwise(fold(F.col("base"), F.col("operands")))
         return got.where("live").select("cf", "key", value.alias("value"), "seq", "ts", "n_operands")
-    points = (uncovered(log) if ranges else log.where(F.col("op").isin(*POINTS))).withColumn("span__", F.floor(F.col("seq") / span))
+    points = (uncovered(log) if ranges else log.where(F.col("op").isin(*POINTS))).withColumn("span__", F.expr(f"seq div {span}"))
     base_seq = F.max(F.when(F.col("op").isin(*BASES), F.col("seq"))).over(Window.partitionBy("cf", "key", "span__"))
     parts = points.withColumn("base_seq", base_seq).where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1))).groupBy("cf", "key", "span__").agg(
         F.max("seq").alias("seq"), newest, F.count_if(merge).alias("n_operands"), F.sum(F.when(merge, F.col("value"))).alias("folded"), F.max("base_seq").alias("base_seq"),
@@ -80,8 +80,9 @@ def resolve(log: DataFrame, snapshot: int | None = None, read_ts: int | None = N
 
 def latest(log: DataFrame, snapshot: int | None = None, read_ts: int | None = None) -> DataFrame:
     """(cf, key, value, seq, ts) for logs of puts and point deletes only: one aggregation, no window, combined before the shuffle."""
-    got = visible(log, snapshot, read_ts).groupBy("cf", "key").agg(F.max_by(F.struct("op", "value", "ts"), "seq").alias("r"), F.max("seq").alias("seq"))
-    return got.where(~F.col("r.op").isin(*DELETIONS)).select("cf", "key", F.col("r.value").alias("value"), "seq", F.col("r.ts").alias("ts"))
+    newest = lambda c: F.max_by(c, "seq")  # noqa: E731  each of fixed width, where values are: the aggregate hashes, and doesn't sort
+    got = visible(log, snapshot, read_ts).groupBy("cf", "key").agg(newest("value").alias("value"), newest("ts").alias("ts"), newest(F.col("op").isin(*DELETIONS)).alias("gone"), F.max("seq").alias("seq"))
+    return got.where("NOT gone").select("cf", "key", "value", "seq", "ts")
 
 
 def operands(log: DataFrame, snapshot: int | None = None, expected: int | None = None) -> DataFrame:

@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts) if isinstance(ts, str) else ts)
+    ts = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    day = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = day * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
 def cents(x: str) -> Column:
