@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontam, minhash, pii, quality
-from tidelog.llm.runtime import fold, join_checked, labels, written
-from tidelog.shipping import ship
+from tidelog.llm.runtime import fold, join_checked, labels, prepare, written
 
 #: The score under which the quality classifier rejects a document.
 QUALITY = 0.7
@@ -19,27 +18,27 @@ QUALITY = 0.7
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, trained as in the query of its own, doesn't reject."""
-    ship(spark)
+    prepare(spark)
     model = quality.train(docs, labels(spark, sf_dir).where(fold("doc_id", 4) != 2))
     return quality.with_statistics(docs, docs.columns).where(quality.compile_score(model) >= QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates over five-word shingles: that of the smallest id."""
-    ship(spark)
+    prepare(spark)
     gone = written(minhash.near_duplicates(docs, words=5).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
     return join_checked(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship(spark)
+    prepare(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets; n_chars follows the text."""
-    ship(spark)
+    prepare(spark)
     return pii.redact(docs, pii.train(docs), count_column="n_chars")
 
 
@@ -47,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): ids are little-endian unsigned 32-bit integers."""
     import public_tokenizers
 
-    ship(spark)
+    prepare(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.shipping import shipped
-
 from . import bpe, decontam, langid, llr, minhash, pii, quality, suffix, toxicity, warc
-from .runtime import documents, fold, join_checked, labels, stage_path
+from .runtime import documents, fold, join_checked, labels, prepared, stage_path
 
 
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_toxicity_crf, op2_decontamination, op3_pii_bilstm_crf, op4_suffix_index_dedup, op5_quality_rules_ensemble, op6_ngram_llr, op7_minhash, op8_warc, op9_byte_bpe, op10_language_id, pipeline)}
+    return {f.__name__: prepared(f) for f in (op1_toxicity_crf, op2_decontamination, op3_pii_bilstm_crf, op4_suffix_index_dedup, op5_quality_rules_ensemble, op6_ngram_llr, op7_minhash, op8_warc, op9_byte_bpe, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

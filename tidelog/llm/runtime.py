@@ -4,15 +4,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.shipping import ship
+
 #: A table of more rows is never broadcast.
 BROADCAST_ROWS = 4_000_000
 
 
+#: Documents in an Arrow batch, where the session doesn't say: texts are long, and a batch is held in the JVM and in Python.
+BATCH_RECORDS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before these operators run in it: the package on its workers, and smaller batches than Spark's default."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_RECORDS)
+
+
+def prepared(query):
+    """A query ``(spark, sf_dir)`` that prepares the session first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that all executors see. Only where none is set, as in tests, one is made here."""
     sc = spark.sparkContext

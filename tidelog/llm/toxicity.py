@@ -28,6 +28,8 @@ from . import kernels as K
 #: The most labelled rows that are fitted on, and the longest text among them in bytes.
 SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
 TABLE = 1 << 18
+#: Bytes of texts whose chains are run together, as each step serves all of them.
+TOGETHER = 24 << 20
 #: Feature templates: whole word, prefixes of so many bytes, a suffix of so many.
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
 
@@ -199,45 +201,38 @@ def _spans(part: K.Texts, ws: np.ndarray, we: np.ndarray, first: np.ndarray, hot
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, score, predicted, n_toxic_tokens, spans): spans are start:end in code points, comma-joined."""
 
+    def scored(pending: list[tuple]) -> Iterator[pa.RecordBatch]:
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[4]) for x in pending]))])
+        p = marginals(np.concatenate([x[5] for x in pending]), first, model.move)
+        c, x = model.calibration, _summary(p, first)
+        value = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * x[:, 0] + c[2] * x[:, 1], -30, 30)))
+        hot = p >= 0.5
+        count = K.per_text(hot, first)
+        word, row = 0, 0
+        for ids, part, ws, we, inner, _ in pending:
+            n = len(part)
+            spans = _spans(part, ws, we, inner, hot[word : word + len(ws)])
+            v = value[row : row + n]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(v), pa.array((v >= threshold).astype(np.int32)), pa.array(count[row : row + n].astype(np.int64)), pa.array(spans, pa.string())], names=["id", "score", "predicted", "n_toxic_tokens", "spans"])
+            word, row = word + len(ws), row + n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, size = [], 0
         for batch in batches:
             t = K.texts(batch.column(1))
-            cuts = list(K.slices(t))
-            for group in _groups(t, cuts, 24 << 20):
-                emission, shape = [], []
-                for a, b in group:
-                    feats, ws, we, first = token_features(t.part(a, b))
-                    e = np.full(feats.shape[1], model.bias, np.float32)
-                    for row in feats:
-                        e += model.weights[row]
-                    emission.append(e)
-                    shape.append((a, b, ws.astype(np.int32), we.astype(np.int32), first))
-                first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s[4]) for s in shape]))])
-                p = marginals(np.concatenate(emission), first, model.move)
-                c = model.calibration
-                x = _summary(p, first)
-                value = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * x[:, 0] + c[2] * x[:, 1], -30, 30)))
-                hot = p >= 0.5
-                count = K.per_text(hot, first)
-                word, row = 0, 0
-                spans: list[str] = []
-                for a, b, ws, we, inner in shape:
-                    spans += _spans(t.part(a, b), ws, we, inner, hot[word : word + len(ws)])
-                    word, row = word + len(ws), row + b - a
-                ids = batch.column(0).slice(group[0][0], row)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(spans, pa.string())], names=["id", "score", "predicted", "n_toxic_tokens", "spans"])
+            for a, b in K.slices(t):
+                part = t.part(a, b)
+                feats, ws, we, first = token_features(part)
+                e = np.full(feats.shape[1], model.bias, np.float32)
+                for row in feats:
+                    e += model.weights[row]
+                pending.append((batch.column(0).slice(a, b - a), part, ws.astype(np.int32), we.astype(np.int32), first, e))
+                size += len(part.data)
+                if size > TOGETHER:
+                    yield from scored(pending)
+                    pending, size = [], 0
+        if pending:
+            yield from scored(pending)
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, score double, predicted int, n_toxic_tokens bigint, spans string").withColumnRenamed("id", id_column)
-
-
-def _groups(t: K.Texts, cuts: list[tuple[int, int]], most: int) -> Iterator[list[tuple[int, int]]]:
-    """Slices put together up to so many bytes, since each step of a chain serves all texts of a group."""
-    group: list[tuple[int, int]] = []
-    for a, b in cuts:
-        if group and t.starts[b] - t.starts[group[0][0]] > most:
-            yield group
-            group = []
-        group.append((a, b))
-    if group:
-        yield group
