@@ -56,11 +56,12 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(whole[starts[0] : starts[-1]], starts - starts[0])
 
 
-def slices(t: Texts, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``most`` bytes each; a longer text makes a range alone."""
+def slices(t: Texts, most: int = 1 << 20, texts_most: int = 2048) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` bytes and ``texts_most`` texts each; a longer text makes a range alone."""
     a = 0
     while a < len(t):
         b = max(a + 1, int(np.searchsorted(t.starts, t.starts[a] + most, "right")) - 1)
+        b = min(b, a + texts_most)
         yield a, b
         a = b
 
