@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..oplog import RANGE_DELETE
+from ..shared import shared_folder
 from .ranges import range_join
 
 
@@ -62,6 +63,7 @@ def deadlocked(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     Nodes that wait for none, or that none waits for, are taken off until nothing changes.
     """
     edges = edges.select("waiter", "holder").where("waiter <> holder").distinct()
+    shared_folder(edges.sparkSession)  # rounds are checkpointed there
     n = edges.count()
     done = 0
     while n and (rounds is None or done < rounds):

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from .. import oplog as L
+from ..shared import shared_folder
 from ..streaming import streams
 from .registry import EV, query
 
 
 def _folder(spark) -> str:
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/tidelog/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tidelog/stream-{uuid.uuid4().hex}"
 
 
 def _log(spark, sf):
