@@ -44,6 +44,8 @@ from .runtime import partitions, routes, written
 LENGTH, GRAM = 100, 24
 #: Positions among which a window's anchor is chosen.
 CHOICE = LENGTH - GRAM + 1
+#: Bytes of texts whose blocks are compared in a task before any is sent.
+TOGETHER = 32 << 20
 _PLACE = 28  # bits of a position in a slice of texts
 
 
@@ -172,36 +174,40 @@ def _places(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _first_pass(parts: int, to: np.ndarray, length: int, gram: int):
+    def sent(got: list[tuple]) -> pa.RecordBatch:
+        key, fp, doc, start, n = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((start, doc, fp, key))
+        key, fp, doc, start, n = (x[order] for x in (key, fp, doc, start, n))
+        new, copy = _firsts(key ^ K.mix(fp), doc, start)
+        rows = list(_dealt(_places(doc[copy], parts), to, _REPEATED, doc[copy], start[copy], n[copy]))
+        key, fp, doc, start, n = (x[new] for x in (key, fp, doc, start, n))
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        several = again.copy()
+        several[:-1] |= again[1:]
+        rows += _dealt(_places(doc[several], parts), to, _CANDIDATE, doc[several], start[several], n[several])
+        n = np.where(several, 0, n).astype(np.uint8)  # 0: only tells that the anchor is repeated
+        key, fp, doc, start, n = (x[~again] for x in (key, fp, doc, start, n))
+        short = lambda x: (x >> K.U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
+        rows += _dealt((key % K.U64(parts)).astype(np.int64), to, _BLOCKS, short(key), short(fp), doc, start, n)
+        return _rows(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             t = K.texts(batch.column(1))
-            got = []
             for a, b in K.slices(t):
                 part = t.part(a, b)
                 key, fp, s, n = blocks(part, length, gram)
                 d = np.searchsorted(part.starts, s, "right") - 1
                 got.append((key, fp, ids[a:b][d], (s - part.starts[d]).astype(np.int32), n.astype(np.uint8)))
-            key, fp, doc, start, n = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, K.U64),) * 5
-            if not len(key):
-                continue
-            order = np.lexsort((start, doc, fp, key))
-            key, fp, doc, start, n = (x[order] for x in (key, fp, doc, start, n))
-            new, copy = _firsts(key ^ K.mix(fp), doc, start)
-            rows = list(_dealt(_places(doc[copy], parts), to, _REPEATED, doc[copy], start[copy], n[copy]))
-            key, fp, doc, start, n = (x[new] for x in (key, fp, doc, start, n))
-            again = np.zeros(len(key), bool)
-            again[1:] = key[1:] == key[:-1]
-            several = again.copy()
-            several[:-1] |= again[1:]
-            rows += _dealt(_places(doc[several], parts), to, _CANDIDATE, doc[several], start[several], n[several])
-            sent = ~again
-            n = np.where(several, 0, n).astype(np.uint8)  # 0: only tells that the anchor is repeated
-            key, fp, doc, start, n = (x[sent] for x in (key, fp, doc, start, n))
-            where = (key % K.U64(parts)).astype(np.int64)
-            short = lambda x: (x >> K.U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
-            rows += _dealt(where, to, _BLOCKS, short(key), short(fp), doc, start, n)
-            yield _rows(rows)
+                size += len(part.data)
+                if size > TOGETHER:
+                    yield sent(got)
+                    got, size = [], 0
+        if got:
+            yield sent(got)
 
     return run
 
