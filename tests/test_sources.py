@@ -1,14 +1,19 @@
 """Tables, backups, change capture, streams and the command line."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import golden
 from tidelog import cli
 from tidelog.operators.resolve import latest, resolve
+from tidelog.plans.catalog import QUERIES, SQL
 from tidelog.sources import changes, files
 from tidelog.streaming import streams
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_sorted_tables(spark, tmp_path):
     rows = spark.createDataFrame([("c", f"k{i:04d}", i, "PUT", i) for i in range(500)], "cf string, key string, seq bigint, op string, value bigint")
@@ -72,6 +77,31 @@ def test_streams_match_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cdc")).count() == len(rows)
 
 
+@pytest.mark.parametrize("order", ["seq <= 70", "seq > 130"])
+def test_replica_merges_and_applies_range_deletions(spark, tmp_path, order):
+    rows = golden.random_log(4)
+    log = spark.createDataFrame(rows, golden.SCHEMA).drop("ts")
+    path = str(tmp_path / "log")
+    log.where(order).coalesce(1).write.parquet(path)
+    stream = streams.tail(spark, path, log.schema, 1)
+    streams.replica(stream, str(tmp_path / "replica"), str(tmp_path / "offsets"))
+    log.where(f"NOT {order}").coalesce(1).write.mode("append").parquet(path)
+    streams.replica(stream, str(tmp_path / "replica"), str(tmp_path / "offsets"))
+    got = {r.key: (r.value, r.seq) for r in streams.replica_state(spark, str(tmp_path / "replica")).collect()}
+    assert got == {k: v[:2] for k, v in golden.state(rows).items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_stream_queries_hold_the_whole_log(spark):
+    from tidelog import oplog as L
+    rows = lambda df, *c: sorted(map(repr, df.select(*c).collect()))
+    assert rows(QUERIES["cdc_stream"](spark, SF), "key", "seq", "op", "value", "end_key") == rows(L.op_events(spark, SF), "key", "seq", "op", "value", "end_key")
+    duck = pytest.importorskip("duckdb").connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = duck.sql(f"SELECT key, value, seq FROM ({SQL['get_resolved_full']})").fetchall()
+    assert sorted(map(tuple, QUERIES["replica_stream"](spark, SF).select("key", "value", "seq").collect())) == sorted(want)
+
+
 def test_event_time_windows_and_expiring_state(spark, tmp_path):
     rows = [(k % 3, f"2024-01-01 00:00:{k:02d}") for k in range(30)]
     path = str(tmp_path / "e")

@@ -19,7 +19,7 @@ def _folder(spark) -> str:
 def _log(spark, sf):
     """The log in three files, as three batches of a stream."""
     folder = _folder(spark)
-    log = L.op_events(spark, sf).select("cf", "key", "seq", "op", "value").where(F.col("op") != L.RANGE_DELETE)
+    log = L.op_events(spark, sf).select("cf", "key", "seq", "op", "value", "end_key")
     log.repartitionByRange(3, "seq").write.parquet(f"{folder}/log")
     return folder, streams.tail(spark, f"{folder}/log", log.schema, 1)
 
@@ -28,7 +28,7 @@ def _log(spark, sf):
 def cdc_stream(spark, sf):
     folder, stream = _log(spark, sf)
     streams.capture(stream, f"{folder}/out", f"{folder}/offsets")
-    return spark.read.parquet(f"{folder}/out").select("key", "seq", "op", "value")
+    return spark.read.parquet(f"{folder}/out").select("key", "seq", "op", "value", "end_key")
 
 
 @query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM ev WHERE op <> 'RANGE_DELETE') SELECT key, value, seq FROM r WHERE n = 1 AND op <> 'DELETE'")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.resolve import Fold, live_records, resolve
+from ..oplog import RANGE_DELETE
+
 
 def tail(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
     """The log's folder as an unbounded source; a batch's files become visible together."""
@@ -38,23 +41,28 @@ def capture(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def replica(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """A secondary's catch-up: each batch folds its newest versions into the state of the batch before."""
+    """A secondary's catch-up: each batch adds to the records of the batch before that still decide a key.
+
+    These are a key's newest base, the operands above it, and all range deletions; batches may come in any order.
+    """
 
     def apply(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        newest = df.groupBy("cf", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("r"), F.max("seq").alias("seq")).select("cf", "key", "r.op", "r.value", "seq")
+        if "end_key" not in df.columns:
+            df = df.withColumn("end_key", F.lit(None).cast(df.schema["key"].dataType))
+        log = df.select("cf", "key", "seq", "op", "value", "end_key")
         if n > 0:
-            newest = spark.read.parquet(f"{out}/version={n - 1}").unionByName(newest).groupBy("cf", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("r"), F.max("seq").alias("seq")).select("cf", "key", "r.op", "r.value", "seq")
-        newest.write.mode("overwrite").parquet(f"{out}/version={n}")
+            log = df.sparkSession.read.parquet(f"{out}/version={n - 1}").unionByName(log)
+        kept = live_records(log).drop("base_seq").unionByName(log.where(F.col("op") == RANGE_DELETE))
+        kept.write.mode("overwrite").parquet(f"{out}/version={n}")
 
     run_to_end(stream, apply, checkpoint)
 
 
-def replica_state(spark: SparkSession, out: str) -> DataFrame:
-    """Live keys of the replica's newest version."""
+def replica_state(spark: SparkSession, out: str, fold: Fold | None = None) -> DataFrame:
+    """Live keys of the replica's newest version, merged as ``resolve`` does."""
     versions = spark.read.parquet(out)
     last = versions.agg(F.max("version")).first()[0]
-    return versions.where((F.col("version") == last) & ~F.col("op").isin("DELETE", "SINGLE_DELETE")).drop("version", "op")
+    return resolve(versions.where(F.col("version") == last).drop("version"), fold=fold).select("cf", "key", "value", "seq")
 
 
 def windowed_rates(stream: DataFrame, time: str, width: str, delay: str, by: list[str] | None = None) -> DataFrame:
