@@ -1,11 +1,17 @@
 """Compaction and expiry against golden cases."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import golden
+from tidelog import oplog as L
 from tidelog.operators import compact as C
 from tidelog.operators.resolve import resolve
+from tidelog.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 S = "cf string, key string, seq bigint, op string, value bigint, end_key string, ts bigint"
 
@@ -53,6 +59,31 @@ def test_compaction_changes_no_snapshot(spark, seed, bottommost):
         assert {r.key: r.value for r in resolve(both, s).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("bottommost", [False, True])
+def test_output_alone_reads_the_same_at_every_snapshot(spark, seed, bottommost):
+    rows = golden.random_log(seed, 120, 6)
+    snapshots = [30, 75]
+    log = spark.createDataFrame(rows, golden.SCHEMA)
+    upper = log if bottommost else log.where("seq > 20")
+    out = C.rewrite(upper, snapshots, bottommost)
+    if not bottommost:  # with a lower level that the run didn't read
+        out = out.unionByName(log.where("seq <= 20").select(*out.columns))
+    for s in [*snapshots, 120]:
+        assert {r.key: r.value for r in resolve(out, s).collect()} == {k: v[0] for k, v in golden.state(rows, s).items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+@pytest.mark.parametrize("name", ["compact_merge_collapse", "compact_bottommost"])
+def test_compaction_queries_read_alone(spark, name):
+    log = L.op_events(spark, SF)
+    out = QUERIES[name](spark, SF).withColumn("cf", F.lit("events")).localCheckpoint()
+    for s in (2000, 5000, 8000, None):
+        assert {r.key: r.value for r in resolve(out, s).collect()} == {r.key: r.value for r in resolve(log, s).collect()}
+    small = spark.createDataFrame([("c", "k", 10, "PUT", 1, None), ("c", "k", 2500, "RANGE_DELETE", None, "l")], "cf string, key string, seq bigint, op string, value bigint, end_key string")
+    assert resolve(C.rewrite(small, [2000, 5000, 8000], name == "compact_bottommost")).count() == 0
+
+
 def test_single_deletions(spark):
     log = spark.createDataFrame([("c", "a", 1, "PUT", 1), ("c", "a", 2, "SINGLE_DELETE", None), ("c", "b", 1, "PUT", 1), ("c", "b", 6, "SINGLE_DELETE", None), ("c", "d", 3, "SINGLE_DELETE", None), ("c", "e", 1, "PUT", 1), ("c", "e", 2, "PUT", 1), ("c", "e", 3, "SINGLE_DELETE", None)], "cf string, key string, seq bigint, op string, value bigint")
     assert {(r.key, r.seq, r.op, r.value) for r in C.annihilate_single_deletes(log.where("key < 'd'"), [5]).collect()} == {("b", 1, "PUT", None), ("b", 6, "SINGLE_DELETE", None)}

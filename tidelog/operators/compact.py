@@ -32,7 +32,7 @@ def _without_covered(log: DataFrame, snapshots: list[int]) -> DataFrame:
 
 
 def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool = False) -> DataFrame:
-    """(cf, key, seq, op, value): what is left of puts, deletions and merges, the latter added up within a stripe.
+    """(cf, key, seq, op, value): what is left of puts, deletions and merges, the latter added up within a stripe; ``rewrite`` has range deletions, too.
 
     A merge chain folds onto the base below it only if no snapshot lies between; else its sum stays a merge.
     """
@@ -61,6 +61,20 @@ def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool
     return final.select("cf", "key", F.when(zero, F.lit(0)).otherwise(F.col("seq")).cast("bigint").alias("seq"), "op", "value")
 
 
+def rewrite(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool = False) -> DataFrame:
+    """(cf, key, seq, op, value, end_key): what ``compact`` leaves, and the range deletions that still hide something.
+
+    Points of older stripes and of lower levels lie under them. At the bottommost level those of the oldest stripe have done their
+    work; they must go, as numbers under them become 0.
+    """
+    snapshots = sorted(snapshots or [])
+    tombs = log.where((F.col("op") == RANGE_DELETE) & (F.col("key") < F.col("end_key")))
+    if bottommost:
+        tombs = tombs.where(stripe(snapshots) > 0)
+    left = compact(log, snapshots, bottommost)
+    return left.withColumn("end_key", F.lit(None).cast(log.schema["end_key"].dataType)).unionByName(tombs.select("cf", "key", "seq", "op", F.lit(None).cast(left.schema["value"].dataType).alias("value"), "end_key"))
+
+
 def annihilate_single_deletes(log: DataFrame, snapshots: list[int] | None = None) -> DataFrame:
     """A single deletion and the put right below it go together if no snapshot separates them; else the put loses its value."""
     snapshots = sorted(snapshots or [])

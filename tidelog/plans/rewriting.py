@@ -52,7 +52,7 @@ c AS (SELECT key, stripe, seq, CASE WHEN m = 0 THEN base_op WHEN base_op IS NULL
 
 @query(_COMPACT + " SELECT key, seq, op, value FROM c")
 def compact_merge_collapse(spark, sf):
-    return C.compact(L.op_events(spark, sf), [S1, S2, S3]).select("key", "seq", "op", "value")
+    return C.rewrite(L.op_events(spark, sf), [S1, S2, S3]).select("key", "seq", "op", "value", "end_key")
 
 
 _BOTTOM = (
@@ -65,7 +65,7 @@ SELECT key, CAST(CASE WHEN stripe = 0 AND op <> 'DELETE' THEN 0 ELSE seq END AS
 
 @query(_BOTTOM)
 def compact_bottommost(spark, sf):
-    return C.compact(L.op_events(spark, sf), [S1, S2, S3], bottommost=True).select("key", "seq", "op", "value")
+    return C.rewrite(L.op_events(spark, sf), [S1, S2, S3], bottommost=True).select("key", "seq", "op", "value", "end_key")
 
 
 def _single(spark, sf):
