@@ -152,3 +152,9 @@ def test_miss_ratios_have_all_sets(spark):
     t = spark.createDataFrame([("a", "x", True), ("a", "y", False), ("b", "x", False)], "cf string, caller string, hit boolean")
     got = {(r.cf, r.caller): (r.n, r.misses) for r in cache.miss_ratios(t, ["cf", "caller"]).collect()}
     assert got[None, None] == (3, 2) and got["a", None] == (2, 1) and got[None, "x"] == (2, 1) and got["b", "x"] == (1, 1) and len(got) == 8
+
+
+def test_a_replay_does_merges_again(spark):
+    rows = [("PUT", 1, 1, 10, 5), ("MERGE", 1, 2, 20, 3), ("MERGE", 2, 3, 30, 4), ("DELETE", 1, 4, 40, 0), ("MERGE", 1, 5, 50, 2), ("GET", 3, 6, 60, 1), ("PUT", 4, 7, 70, 1), ("DELETE", 4, 8, 80, 0)]
+    log = trace.as_log(spark.createDataFrame(rows, "type string, key bigint, seq bigint, access_time bigint, value_size bigint"))
+    assert {(r.key, r.value, r.seq) for r in resolve(log, ranges=False).collect()} == {(1, 2, 5), (2, 4, 3)}

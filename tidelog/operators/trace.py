@@ -99,5 +99,5 @@ def sampled(trace: DataFrame, frequency: int, without: list[str]) -> DataFrame:
 
 
 def as_log(trace: DataFrame) -> DataFrame:
-    """The writes of a trace as a log, so that a replay is a read of it."""
-    return trace.where(F.col("type").isin("PUT", "DELETE", "MERGE")).select(F.lit("trace").alias("cf"), "key", "seq", F.col("type").alias("op"), F.col("value_size").alias("value"), F.col("access_time").alias("ts")).where("op <> 'MERGE'")
+    """The writes of a trace as a log, so that a replay is a read of it, by ``resolve`` as there are merges."""
+    return trace.where(F.col("type").isin("PUT", "DELETE", "MERGE")).select(F.lit("trace").alias("cf"), "key", "seq", F.col("type").alias("op"), F.col("value_size").alias("value"), F.col("access_time").alias("ts"))

@@ -205,9 +205,9 @@ def trace_sampled(spark, sf):
 @query(f"WITH {TR}, p AS (SELECT key, seq, type, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM tr WHERE type IN ('PUT', 'DELETE')) SELECT key, seq FROM p WHERE n = 1 AND type = 'PUT'")
 def trace_replay(spark, sf):
     """The state after a trace's writes are done again."""
-    from ..operators.resolve import latest
+    from ..operators.resolve import resolve
 
-    return latest(trace.as_log(L.trace(spark, sf))).select("key", "seq")
+    return resolve(trace.as_log(L.trace(spark, sf)), ranges=False).select("key", "seq")
 
 
 @query(f"WITH {EV} SELECT CAST(floor(ts / 86400000000.0) AS BIGINT) AS slot, count(value) AS n, min(value) AS least, max(value) AS most, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * value) AS BIGINT) AS squares FROM ev GROUP BY 1")
