@@ -271,3 +271,12 @@ def test_added_spans_touch_no_pattern_and_are_not_refuted():
     assert mark("1234567812345678", "card") == []  # a card's form without its check digit
     assert mark("300.1.1.1", "ip") == [] and mark("a@b.cd", "email") == []  # failed, and a pattern's own
     assert mark("call 555 0101", "phone") == [("phone", 0, 13)]
+
+
+def test_only_what_failed_a_check_is_refuted():
+    mark = lambda text, kind: pii._added(np.full(len(text), pii.KINDS.index(kind) + 1), pii.base_spans(text), text)
+    for gap in (".", "  ", "\t", "\u00a0"):
+        assert mark(gap.join(["4111", "1111", "1111", "1111"]), "card") == [("card", 0, 16 + 3 * len(gap))]
+        assert mark(gap.join(["4111", "1111", "1111", "1112"]), "card") == []
+    assert mark("+1 (555) 123/4567", "phone") == [("phone", 0, 17)]
+    assert mark("+1 (555) 123", "phone") == mark("at +1 555 12", "phone") == []  # too few digits

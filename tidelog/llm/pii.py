@@ -362,12 +362,24 @@ class Decoder:
         return out
 
 
+def _digits(piece: str) -> str:
+    return "".join(_SOME_DIGIT.findall(piece))
+
+
 def _refuted(kind: str, piece: str) -> bool:
     """Whether the text itself speaks against a label.
 
-    An address needs its at sign. Where a pattern of another kind matches, its span failed the pattern's own check.
+    An address needs its at sign. A card's 16 to 19 digits need their check digit, however they are set apart; of other lengths
+    nothing is known. A phone number is refuted if one match of the pattern holds all its digits and their number is wrong.
     """
-    return "@" not in piece if kind == "email" else bool({"ip": _IP, "card": _CARD, "phone": _PHONE}[kind].search(piece))
+    if kind == "email":
+        return "@" not in piece
+    if kind == "ip":
+        return bool(_IP.search(piece))
+    digits = _digits(piece)
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and not luhn(digits)
+    return not 8 <= len(digits) <= 15 and any(_digits(m[0]) == digits for m in _PHONE.finditer(piece))
 
 
 def _added(tags: np.ndarray, base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
