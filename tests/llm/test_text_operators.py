@@ -1,6 +1,7 @@
 """Operators that read one text at a time: base rules, patterns, tokens, languages, scores."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -280,3 +281,31 @@ def test_only_what_failed_a_check_is_refuted():
         assert mark(gap.join(["4111", "1111", "1111", "1112"]), "card") == []
     assert mark("+1 (555) 123/4567", "phone") == [("phone", 0, 17)]
     assert mark("+1 (555) 123", "phone") == mark("at +1 555 12", "phone") == []  # too few digits
+
+
+def test_language_sets_are_the_best_of_all():
+    rng = np.random.default_rng(9)
+    logp = np.log(rng.dirichlet(np.full(300, 0.05), 5).T + 1e-6).astype(np.float32)
+    logp = np.tile(logp, (langid.BUCKETS // 300 + 1, 1))[: langid.BUCKETS]
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)]
+    gram, begin, _ = langid._trigrams(K.texts(pa.array([" ".join(words)])))
+    like = np.add.reduceat(logp[gram], begin[:-1], axis=0)
+    of = like.argmax(1)
+    texts = [" ".join(rng.choice([w for w, k in zip(words, of) if k < m], 150)) for m in (1, 2, 3, 4, 5)] + ["", " ".join(rng.choice(words, 30))]
+    pi, n, found = langid.infer(K.texts(pa.array(texts)), logp, 3.0)
+    assert n.max() == 5 and 4 in n and not found[5]
+    for text, shares, k in zip(texts, pi, n):
+        if not text:
+            continue
+        g, b, _ = langid._trigrams(K.texts(pa.array([text])))
+        w = np.add.reduceat(logp[g], b[:-1], axis=0).astype(float)
+        x = np.exp(np.maximum(w - w.max(1, keepdims=True), -30))
+        value = {}
+        for size in range(1, 6):
+            for some in itertools.combinations(range(5), size):
+                p = np.full(size, 1 / size)
+                for _ in range(500):
+                    p = (x[:, some] * p / (x[:, some] @ p)[:, None]).mean(0)
+                value[some] = np.log(x[:, some] @ p).sum() - 3 * (size - 1) * np.log(len(x))
+        mine = tuple(np.flatnonzero(shares).tolist())
+        assert len(mine) == k and value[mine] >= max(value.values()) - 0.1

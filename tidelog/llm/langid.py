@@ -3,7 +3,10 @@
 Training counts hashed byte trigrams of words by language, over every learning document.
 A document's words then have a likelihood in each language; expectation-maximisation
 estimates the proportions of the languages, and the set of languages is the one of best
-likelihood less a penalty of ``penalty * log(words)`` for each language more.
+likelihood less a penalty of ``penalty * log(words)`` for each language more. Sets have any size up to all
+learned languages; all sets of a size are tried where there are at most SETS of them, else the languages of the
+largest proportions. Likelihoods are within TOLERANCE of their maximum (after ROUNDS rounds at the latest), and sizes
+that can't gain their penalty aren't tried.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; rows with a
 null language aren't learned from; without any learned language all is ``und``; ties go to
@@ -12,6 +15,8 @@ the language that sorts first; repeated rows each get a row; extra columns are n
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 BUCKETS = 1 << 16
+#: How far a log likelihood may be from its maximum, the most rounds until then, and the most sets of a size that are all tried.
+TOLERANCE, ROUNDS, SETS = 0.05, 1000, 64
 #: Of words without a letter nothing is learned or inferred.
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -72,46 +79,73 @@ def train(docs: DataFrame, lang_column: str = "lang", text_column: str = "text")
     return names, np.log(counts / counts.sum(0)).astype(np.float32) if names else counts.astype(np.float32)
 
 
-def _mixture(like: np.ndarray, first: np.ndarray, doc: np.ndarray, mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the allowed languages, and log likelihoods, by document."""
-    n = np.maximum(np.diff(first), 1)[:, None]
-    pi = mask / np.maximum(mask.sum(1, keepdims=True), 1)
-    some = np.flatnonzero(np.diff(first))
-    for step in range(rounds + 1):
-        w = like * pi[doc]
-        total = np.maximum(w.sum(1), 1e-30)
-        if step == rounds:
-            ll = np.zeros(len(pi))
-            ll[some] = np.add.reduceat(np.log(total), first[some])
-            return pi, ll
-        w /= total[:, None]
-        sums = np.zeros(pi.shape)
-        sums[some] = np.add.reduceat(w, first[some], axis=0)
-        pi = (sums / n).astype(np.float32)
-
-
-def infer(t: K.Texts, logp: np.ndarray, penalty: float, rounds: int = 6, most: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _mixture(like: np.ndarray, n: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions of all columns, log likelihoods, and how far these can be from their maximum, by document of ``n`` words.
+
+    A document is done once that is at most TOLERANCE, or once its likelihood can't get over ``floor``. As the likelihood is
+    concave, it can grow by no more than n * (g - 1), where g is the largest factor by which a round changes a proportion.
+    """
+    pi = np.full((len(n), like.shape[1]), 1 / like.shape[1])
+    ll, gap = np.zeros(len(n)), np.zeros(len(n))
+    at, p = np.arange(len(n)), pi
+    for _ in range(ROUNDS):
+        if not len(at):
+            break
+        first = np.cumsum(n) - n
+        total = np.einsum("ij,ij->i", like, np.repeat(p, n, axis=0))
+        now = np.add.reduceat(np.log(total), first)
+        g = np.add.reduceat(like / total[:, None], first, axis=0) / n[:, None]
+        more = n * (g.max(1) - 1)
+        pi[at], ll[at], gap[at] = p, now, more
+        go = (more > TOLERANCE) & (now + more > floor)
+        if not go.all():
+            like = like[np.repeat(go, n)]
+        at, n, floor, p = at[go], n[go], floor[go], (p * g)[go]
+    return pi, ll, gap
+
+
+def _sets(pi: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Sets of k languages to try, by document: all if they are at most SETS, else those of the largest proportions."""
+    size = pi.shape[1]
+    if math.comb(size, k) <= SETS:
+        for some in itertools.combinations(range(size), k):
+            yield np.tile(np.array(some), (len(pi), 1))
+    else:
+        yield np.sort(np.argsort(-pi, axis=1, kind="stable")[:, :k], axis=1)
+
+
+def infer(t: K.Texts, logp: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By document: proportions (zero outside the chosen set), the size of the set, whether any word was found."""
     gram, begin, first = _trigrams(t)
-    size = logp.shape[1]
+    size, found = logp.shape[1], np.diff(first) > 0
+    out, chosen = np.zeros((len(t), size)), np.zeros(len(t), np.int64)
     if not len(gram):
-        return np.zeros((len(t), size)), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+        return out, chosen, found
     per_word = np.add.reduceat(logp[gram], begin[:-1], axis=0)
     per_word -= per_word.max(1, keepdims=True)
-    like = np.exp(np.maximum(per_word, -30))
-    doc, n = K.owner(first), np.diff(first)
-    rank_pi, _ = _mixture(like, first, doc, np.ones((len(t), size), np.float32), rounds)
-    order = np.argsort(-rank_pi, axis=1, kind="stable")
-    best = np.full(len(t), -np.inf)
-    out, chosen = np.zeros((len(t), size)), np.zeros(len(t), np.int64)
-    for k in range(1, min(most, size) + 1):
-        mask = np.zeros((len(t), size), np.float32)
-        np.put_along_axis(mask, order[:, :k], 1, 1)
-        pi, ll = _mixture(like, first, doc, mask, rounds if k > 1 else 0)
-        ll -= penalty * (k - 1) * np.log(np.maximum(n, 2))
-        better = ll > best
-        best[better], out[better], chosen[better] = ll[better], pi[better], k
-    return out, chosen, n > 0
+    per_word = np.maximum(per_word, -30).astype(np.float64)
+    like, n = np.exp(per_word), np.diff(first)[found]
+    cost = penalty * np.log(np.maximum(n, 2))
+    single = np.add.reduceat(per_word, first[:-1][found], axis=0)
+    best, count = single.max(1), np.ones(len(n), np.int64)
+    got = np.zeros((len(n), size))
+    got[np.arange(len(n)), single.argmax(1)] = 1
+    # no set is likelier than all languages together
+    pi, ll, gap = _mixture(like, n, best + cost)
+    for k in range(2, size + 1):
+        open_ = np.flatnonzero(ll + gap - (k - 1) * cost > best)
+        if not len(open_):
+            break
+        some = like[np.repeat(np.isin(np.arange(len(n)), open_), n)]
+        for columns in _sets(pi[open_], k):
+            share, value, _ = _mixture(np.take_along_axis(some, np.repeat(columns, n[open_], axis=0), 1), n[open_], best[open_] + (k - 1) * cost[open_])
+            value -= (k - 1) * cost[open_]
+            better = value > best[open_]
+            rows = open_[better]
+            best[rows], count[rows], got[rows] = value[better], k, 0
+            got[rows[:, None], columns[better]] = share[better]
+    out[found], chosen[found] = got, count
+    return out, chosen, found
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text_column: str = "text", penalty: float = 3.0) -> DataFrame:
