@@ -205,6 +205,32 @@ def test_wand_retrieves_all_above_the_threshold():
             assert want.keys() == got.keys() and all(abs(want[e] - got[e]) < 1e-9 for e in want)
 
 
+def test_search_reads_all_passages():
+    rng = random.Random(8)
+    opening = [f"open{k}" for k in range(6)]
+    items = [opening + [f"i{i}w{k}" for k in range(14)] for i in range(30)]
+    index = decontam.Index(list(range(30)), [" ".join(x) for x in items], 0.6)
+    texts = []
+    for i, item in enumerate(items * 4):
+        kept = item[:6] + [w if rng.random() < 0.7 else f"edit{rng.random()}" for w in item[6:]]
+        lead = 58 if i % 2 else rng.randrange(0, 130)
+        texts.append(" ".join([f"x{k}" for k in range(lead)] + kept + [f"y{k}" for k in range(rng.randrange(0, 90))]))
+    t = K.texts(pa.array(texts))
+    h, first = decontam.term_hashes(t)
+    want = {}
+    for d in range(len(texts)):
+        for s in range(first[d], first[d + 1], decontam.SEGMENT):
+            words = set(h[s : min(s + 2 * decontam.SEGMENT, first[d + 1])].tolist())
+            for e, score in index.wand([k for k, x in enumerate(index.terms.tolist()) if x in words]):
+                want[d, int(index.item[e])] = max(want.get((d, int(index.item[e])), 0.0), score)
+    w = {d: h[first[d] : first[d + 1]] for d, _ in want}
+    grams = {d: np.concatenate([decontam.triples(x), np.unique(x)]) for d, x in w.items()}
+    share = lambda x, d: np.isin(x, grams[d]).mean() if len(x) else 1.0
+    sure = {(d, i): s for (d, i), s in want.items() if share(index.question[i], d) >= decontam.QUESTION and share(index.answer[i], d) >= decontam.ANSWER}
+    got = {(d, i): s for d, i, s, *_ in index.search(t)}
+    assert got.keys() == sure.keys() and all(abs(got[k] - sure[k]) < 1e-9 for k in sure) and len(sure) > 3
+
+
 def test_leaks_are_found_and_clean_texts_are_left(spark):
     rng = random.Random(6)
     vocab = [f"word{k}" for k in range(800)]

@@ -178,7 +178,10 @@ class Index:
         after = np.searchsorted(cell, cell + n)
         bound = mass + np.where(cell[np.minimum(after, len(cell) - 1)] == cell + n, mass[np.minimum(after, len(cell) - 1)], 0)
         live = bound >= self.threshold / 2 - 1e-9
-        passages = np.unique(cell[live] // n)
+        # where the passage's first block holds no essential term, all of them are in its second
+        heavy = cell[mass >= self.threshold / 2 - 1e-9] // n
+        before = heavy[~np.isin(heavy, base)] - 1
+        passages = np.unique(np.concatenate([cell[live] // n, before]))
         best: dict[tuple[int, int], float] = {}
         for b in passages.tolist():
             d = int(np.searchsorted(base, b, "right") - 1)
