@@ -1,13 +1,19 @@
 """Reads against a plain fold over random logs, and against golden cases."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import golden
+from tidelog import oplog as L
 from tidelog.functions import codecs, merges, prefixes
 from tidelog.operators import scan
 from tidelog.operators.ranges import fragments, range_join
 from tidelog.operators.resolve import latest, live_records, operands, resolve
+from tidelog.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -167,3 +173,11 @@ def test_latest_and_history(spark):
     assert scan.key_versions(log, 2, 4, 5).count() <= 5 and scan.history(log, 100, 500).where("ts < 100 OR ts > 500").count() == 0
     empty = log.limit(0)
     assert resolve(empty).count() == 0 and latest(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_timestamp_queries_read_whole_tables(spark):
+    got = QUERIES["get_with_timestamp"](spark, SF).collect()
+    assert {(r.key, r.value) for r in got} == {(r.key, r.value) for r in QUERIES["timestamp_asof_read"](spark, SF).collect()} and max(r.key for r in got) > 100
+    stamped = QUERIES["batch_timestamps"](spark, SF)
+    assert stamped.count() == L.op_events(spark, SF).count() and stamped.where("ts = 1234").count() == stamped.count()

@@ -35,7 +35,7 @@ def get_point(spark, sf):
 
 @query(f"WITH {ORD}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM o WHERE ts <= {READ_TS}) SELECT key, value, ts FROM r WHERE n = 1 AND key <= 100")
 def get_with_timestamp(spark, sf):
-    return latest(L.op_orders(spark, sf), read_ts=READ_TS).where("key <= 100").select("key", "value", "ts")
+    return latest(L.op_orders(spark, sf), read_ts=READ_TS).select("key", "value", "ts")
 
 
 @query(f"WITH {EV}, {PROBE}, {resolved()} SELECT probe.key, res.value, CASE WHEN res.key IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM probe LEFT JOIN res ON probe.key = res.key")
