@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -282,12 +283,61 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read(spark, path + "0").count() == 0
 
 
-def test_pointer_jumping_follows_the_chain_only():
-    record = lambda body: b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
-    bodies = [b"x" * k + (record(b"inner") if k % 3 == 0 else b"") for k in range(100)]
+def record(body, kind=b"response", more=b""):
+    digest = base64.b32encode(hashlib.sha1(body).digest())
+    return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha1:" % len(body) + digest + b"\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+
+@pytest.fixture
+def small_ranges(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_archives_are_read_in_ranges(spark, tmp_path, small_ranges):
+    rng = random.Random(12)
+    want, names = [], []
+    for n in range(2):  # payloads that hold magic, whole records and their ends, across the edges of ranges
+        bodies = [b"x" * rng.randrange(0, 300) + rng.choice([b"", b"", b"", record(b"inner"), b"WARC/1.0\r\n" * rng.randrange(1, 200), record(b"y" * 900), b"\r\n\r\n", b"Content-Length: 3\r\n\r\n"]) for _ in range(60)]
+        data = b"".join(map(record, bodies))
+        name = tmp_path / f"a{n}.warc"
+        name.write_bytes(data)
+        names.append(str(name))
+        at = 0
+        for b in bodies:
+            want.append((f"a{n}.warc", at, b.decode()))
+            at += len(record(b))
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.offset, r.payload) for r in got) == sorted(want)
+    links = warc.chain(spark, names[0])
+    assert links.count() > 20 and links.where("rest").count() > 0
+
+
+def test_cut_and_foreign_files(spark, tmp_path, small_ranges):
+    bodies = [b"z" * k for k in range(100)]
     data = b"".join(map(record, bodies))
-    at, to, found = warc.candidates(data)
-    ok = warc.reachable(at, to, len(data))
-    assert [data[found[k][1] : found[k][2]] for k in np.flatnonzero(ok)] == bodies and len(at) > len(bodies)
-    at, to, _ = warc.candidates(data[:-3])
-    assert warc.reachable(at, to, len(data) - 3).sum() == 99
+    hole = sum(len(record(b)) for b in bodies[:51]) - 10
+    for name, content in {"cut": data[:-3], "junk": b"x" + data, "empty": b"", "hole": data[:hole] + b"?" + data[hole:]}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(content)
+    sizes = lambda name: sorted(r.payload_bytes for r in warc.read(spark, str(tmp_path / name)).collect())
+    assert sizes("cut") == list(range(99)) and sizes("junk") == sizes("empty") == []
+    assert sizes("hole") == list(range(50))
+
+
+def test_a_large_payload_of_magic_takes_linear_time(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(record(b"WARC/1.0\r\n" * 500_000) + record(b"end"))
+    began = time.monotonic()
+    got = warc.read(spark, str(tmp_path)).select("payload_bytes").collect()
+    assert sorted(r[0] for r in got) == [3, 5_000_000] and time.monotonic() - began < 60
+
+
+def test_chains_leave_by_pointer_jumping():
+    at, to = np.array([0, 10, 25, 40, 60]), np.array([25, 40, 60, 77, 95])
+    assert warc.exits(at, to).tolist() == [95, 77, 95, 77, 95]
+    assert warc.exits(at, np.array([25, 41, 60, -5, 95])).tolist() == [95, 41, 95, -5, 95]
