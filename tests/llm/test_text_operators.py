@@ -309,3 +309,95 @@ def test_language_sets_are_the_best_of_all():
                 value[some] = np.log(x[:, some] @ p).sum() - 3 * (size - 1) * np.log(len(x))
         mine = tuple(np.flatnonzero(shares).tolist())
         assert len(mine) == k and value[mine] >= max(value.values()) - 0.1
+
+
+def test_network_gradients_match_differences():
+    rng = np.random.default_rng(3)
+    m = pii.new_tagger(rng, 3)
+    for p in (*m.x, *m.u, *m.v, m.b, m.move):
+        p *= 0.3  # away from where activations bend
+    c, y = rng.integers(0, 130, (9, 4)), rng.integers(0, 5, (9, 4))
+    m = pii.Tagger(*([a.astype(np.float64) for a in group] for group in (m.x, m.u, m.v)), m.b.astype(np.float64), m.move.astype(np.float64))
+    _, grads = pii._gradients(m, c, y)
+    for p, g in zip((*m.x, *m.u, *m.v, m.b, m.move), grads):
+        for _ in range(6):
+            at = tuple(int(rng.integers(k)) for k in p.shape) if rng.random() < 0.5 else np.unravel_index(np.abs(g).argmax(), g.shape)
+            old, eps = p[at], 1e-2
+            p[at] = old + eps
+            up = pii._gradients(m, c, y)[0]
+            p[at] = old - eps
+            down = pii._gradients(m, c, y)[0]
+            p[at] = old
+            assert abs((up - down) / (2 * eps) - g[at]) < 2e-2 * max(1.0, abs(g[at]))
+
+
+def test_the_lattice_is_decoded_as_a_whole():
+    rng = np.random.default_rng(4)
+    m = pii.new_tagger(rng)
+    decoder = pii.Decoder(m)
+    sizes = [0, 1, 7, 400, 30]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    em = rng.normal(0, 1, (starts[-1], 5)).astype(np.float32)
+    em[:, 0] += 5 * (rng.random(starts[-1]) < 0.7) * decoder.margin
+    got = decoder.best(em, starts)
+    for a, b in zip(starts[:-1], starts[1:]):
+        if a == b:
+            continue
+        total, back = em[a].astype(float), []
+        for t in range(a + 1, b):
+            z = total[:, None] + m.move
+            back.append(z.argmax(0))
+            total = z.max(0) + em[t]
+        path = [int(total.argmax())]
+        for k in reversed(back):
+            path.append(int(k[path[-1]]))
+        score = lambda p: sum(em[a + i, x] for i, x in enumerate(p)) + sum(m.move[x, z] for x, z in zip(p, p[1:]))  # noqa: B023, E731
+        assert abs(score(path[::-1]) - score(got[a:b].tolist())) < 1e-3
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("the", "on", "ver", "mit", "el") for b in ("", "ing", "ton", "da")]
+    texts = [" ".join(rng.choice(words) for _ in range(120)) + f" a{i}.b@host{i}.example.org, 10.0.{i % 250}.7 or +1 555 010 {1000 + i} and {i * 7919}" for i in range(300)]
+    return pii.train(spark.createDataFrame(rows_of(texts), SCHEMA)), words
+
+
+def test_the_network_finds_planted_forms_that_patterns_miss(spark, trained):
+    model, words = trained
+    rng = np.random.default_rng(99)
+    texts, truth = [], {}
+    for i in range(300):
+        text, spans = "", []
+        for k in range(60):
+            text += " " * bool(k) + words[int(rng.integers(len(words)))]
+            if k % 20 == 10:
+                what, label = pii.planted(rng)
+                if label:
+                    spans.append((pii.KINDS[label - 1], len(text) + 1, len(text) + 1 + len(what)))
+                text += " " + what
+        base = pii.base_spans(text)
+        truth[i] = [s for s in spans if not any(s[1] < e and b < s[2] for _, b, e in base)]
+        texts.append(text)
+    rows = pii.find(spark.createDataFrame(rows_of(texts), SCHEMA), model).collect()
+    found = hit = total = 0
+    for r in rows:
+        base = pii.base_spans(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in pii.KINDS)
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(spans) and r.n_added == len(spans) - len(base)
+        close = lambda a, b: a[0] == b[0] and min(a[2], b[2]) - max(a[1], b[1]) >= 0.8 * (b[2] - b[1])
+        found += r.n_added
+        total += len(truth[r.doc_id])
+        hit += sum(any(close(s, t) for s in spans if s not in base) for t in truth[r.doc_id])
+    assert total > 300 and hit / total > 0.7 and hit / found > 0.85
+
+
+def test_long_texts_are_labelled_in_parts_as_in_one(trained, monkeypatch):
+    model, words = trained
+    rng = np.random.default_rng(98)
+    text = " ".join(words[int(rng.integers(len(words)))] + (" " + pii.planted(rng)[0] if rng.random() < 0.05 else "") for _ in range(6000))
+    decoder, starts = pii.Decoder(model), np.array([0, len(text)])
+    whole = decoder.tag(pii.classes(text), starts)
+    monkeypatch.setattr(pii, "TOGETHER", 4000)
+    assert whole.any() and (decoder.tag(pii.classes(text), starts) == whole).all()

@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans, which the fixed patterns give on a
-bounded sample of texts, and reads every character of every text. Texts are cut into
-overlapping windows; each is decoded by the Viterbi algorithm, and each character takes its
-label from the window in which it lies farther from an edge, so that a text has one labelling.
-Runs of a label that touch no span of a pattern, and aren't refuted by a pattern's check, are added to the spans;
-those of patterns stay.
+The network is trained in numpy from labelled spans: those that the fixed patterns give on a bounded sample of texts, and
+planted ones, in forms that the patterns can't read (an address spelled out, a number set apart by other signs, a
+phone number without its country), beside numbers that are none of these. It reads every character of every text. Texts
+are cut into overlapping windows; where two overlap, their emissions are blended into one lattice for the whole
+text, and the Viterbi algorithm finds the best labelling of that. Runs of a label that touch no span of a pattern, and
+aren't refuted by an exact check, are added to the spans; those of patterns stay.
+
+The network learns a number's form; check digits and the sizes of parts are verified exactly afterwards.
 
 The cells use piecewise linear activations (hard sigmoid and hard tangent): the same
-recurrences with no exponentials. A window whose emissions prefer "none" everywhere by more than any
-transition can make up is decoded without running the algorithm; the result is the same.
+recurrences with no exponentials. Where the emissions prefer "none" at a character by more than any transitions can
+make up, the best path must pass through it, so that only the runs between such characters are searched; the
+result is that of the whole lattice.
 
 Defined cases: a null text is an empty one, without spans; equal rows each get a row; with no
 labelled span in the sample the network adds none; extra columns are not read.
@@ -27,14 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 KINDS = ("email", "ip", "card", "phone")
-#: The most texts that the network is trained on, half of them with digits or at signs, and their longest size.
-SAMPLE, SAMPLE_CHARS = 1200, 8000
-#: Windows: their size, and by how much each begins after the one before.
+#: The most texts whose spans the network is trained on, half of them with digits or at signs.
+SAMPLE = 1200
+#: Training windows: their characters, the most of each sort (with spans, with other digits, with none), and planted ones.
+SIZE, WINDOWS, PLANTED = 80, 1200, 5000
+#: Windows of texts: their size, and by how much each begins after the one before.
 WINDOW, STRIDE = 448, 400
 #: A run of labels that no pattern covers is added only from this many characters.
 SHORTEST = 7
-HIDDEN = 6
+HIDDEN = 10
+#: Characters that are labelled at once.
+TOGETHER = 2_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -42,6 +51,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SOME_DIGIT = re.compile(r"[0-9]")
+_SOME_DIGITS = re.compile(r"[0-9]+")
+_AT = re.compile(r"\b(?:at|AT)\b")
 
 
 def luhn(digits: str) -> bool:
@@ -211,30 +222,112 @@ def _gradients(m: Tagger, c: np.ndarray, y: np.ndarray) -> tuple[float, list[np.
     return loss, [*grads[0], *grads[1], *grads[2], de.sum((0, 2)), dmove]
 
 
-def fit(texts: list[str], epochs: int = 24, size: int = 80, batch: int = 192, seed: int = 11) -> Tagger | None:
-    """Windows around labelled spans, and as many elsewhere."""
+def _luhn_number(rng: np.random.Generator, n: int) -> str:
+    digits = "".join(map(str, [rng.integers(3, 7), *rng.integers(0, 10, n - 2)]))
+    return next(digits + str(d) for d in range(10) if luhn(digits + str(d)))
+
+
+def _number(rng: np.random.Generator, n: int) -> str:
+    return str(rng.integers(1, 10)) + "".join(map(str, rng.integers(0, 10, n - 1)))
+
+
+def _name(rng: np.random.Generator, least: int = 2, most: int = 9) -> str:
+    name = "".join(chr(97 + x) for x in rng.integers(0, 26, int(rng.integers(least, most))))
+    return name.capitalize() if rng.random() < 0.15 else name
+
+
+def planted(rng: np.random.Generator) -> tuple[str, int]:
+    """A string and its label: personal data, mostly in forms beyond the patterns, or (0) something that looks like it."""
+    pick = lambda *options: options[int(rng.integers(len(options)))]
+    group = lambda text, sizes, gap: gap.join(text[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+    kind = int(rng.choice(5, p=[0.36, 0.16, 0.16, 0.16, 0.16]))
+    if kind == 1:
+        local, host, top = _name(rng) + pick("", "", "." + _name(rng), "_" + _name(rng), _number(rng, 2)), _name(rng, 3), pick("com", "org", "net", "example", "de", "fr", "co.uk", "io")
+        at = pick(" (at) ", " [at] ", "(at)", "[at]", " {at} ", " @ ", " at ", " AT ", "@", "@")
+        dot = pick(" (dot) ", " [dot] ", "(dot)", "[dot]", "[.]", "(.)", " . ") if at == "@" else pick(" dot ", " DOT ") if at.strip().lower() == "at" else pick(" (dot) ", " [dot] ", " dot ", ".", ".", "[.]")
+        return f"{local}{at}{host}" + ("" if at == "@" and rng.random() < 0.15 else dot + top), 1
+    if kind == 2:
+        parts = [str(x) for x in rng.integers(0, 256, 4)]
+        return pick("[.]", "(.)", " . ", "[dot]", " dot ", ". ", "{.}", "[.]", ".").join(parts), 2
+    if kind == 3:
+        gap = pick(".", "/", "  ", "\t", "\u00a0", "_", " - ", "\u2013", ", ", "--", "- ", " ", "-", "")
+        return (group(_luhn_number(rng, 15), [4, 6, 5], gap or " ") if rng.random() < 0.15 and gap.strip(" -") else group(_luhn_number(rng, 16), [4, 4, 4, 4], gap)), 3
+    if kind == 4:
+        a, b, c, cc = _number(rng, 3), _number(rng, 3), _number(rng, 4), _number(rng, int(rng.integers(1, 4)))
+        return pick(f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{cc} {a} {b} {c}", f"00{cc}-{a}-{b}-{c}", f"+{cc}/{a}/{b}{c}", f"+{cc} ({a}) {b}/{c}", f"+{cc}_{a}_{b}{c}", f"0{a}/{b}{c}", f"0{a} / {b}{c}", f"(0{a}) {b}{c}", f"+ {cc} {a} {b} {c}", f"+{cc} {a} {b} {c}", f"+{cc}-{a}-{b}-{c}"), 4
+    y, m, d = rng.integers(1900, 2100), rng.integers(1, 13), rng.integers(1, 29)
+    hour, minute, n = rng.integers(0, 24), rng.integers(0, 60), int(rng.integers(1, 30))
+    hexes = "".join(pick(*"0123456789abcdef") for _ in range(int(pick(8, 16, 32, 40))))
+    return pick(
+        f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y}", f"{m}/{d}/{y}", f"{hour:02}:{minute:02}:{n % 60:02}", f"{y}-{m:02}-{d:02}T{hour:02}:{minute:02}:00Z", f"{d}.{m}.", f"v{m}.{d}.{hour}", f"{m}.{d}.{n}", f"{y}-{y + n}",
+        f"{m},{_number(rng, 3)}.{minute:02}", f"${_number(rng, 2)}.50", f"{_number(rng, 3)}-{_number(rng, 3)}", f"ISBN 978-{m}-{_number(rng, 2)}-{_number(rng, 6)}-{n % 10}", f"{pick('A', 'No', 'ID')}-{_number(rng, 5)}", f"0.{_number(rng, n % 12 + 1)}",
+        _number(rng, n), _number(rng, n), f"{_number(rng, 3)} {_number(rng, 3)}", f"{_number(rng, 2)}.{_number(rng, 4)}, {m}.{_number(rng, 4)}", f'"{hexes}"', hexes, hexes.upper() + "!!", f"{hexes[:8]}-{hexes[:4]}-{hexes[:4]}", f"@{_name(rng)}", f"{_name(rng)} @ {n}", f"at {_name(rng)}",
+        f"look at {_name(rng)} dot {_name(rng)}", f"({n}) {m}", f"{n}%", f"+{n}", f"{n} + {m} = {n + m}", f"{m}/{d}", f"#{n}", f"{_name(rng)}.{_name(rng)}", f"{_name(rng)}_{n}", f"{hour}:{minute:02}-{hour}:{minute:02}", f"1,000,{_number(rng, 3)},{_number(rng, 3)}",
+    ), 0
+
+
+def form_labels(text: str) -> np.ndarray:
+    """A label for each character by the patterns' forms; the exact checks of card digits and parts come later."""
+    y = np.zeros(len(text), np.int8)
+    for m in _CARD.finditer(text):
+        if 16 <= len(_digits(m[0])) <= 19:
+            y[m.start() : m.end()] = 3
+    for m in _IP.finditer(text):
+        y[m.start() : m.end()] = 2
+    for kind, s, e in base_spans(text):
+        y[s:e] = KINDS.index(kind) + 1
+    return y
+
+
+def windows_of(text: str, rng: np.random.Generator, size: int = SIZE) -> Iterator[tuple[int, str, bytes]]:
+    """(sort, characters, labels): windows with spans (0), one at each other run of digits (1), and one for about every 500 characters (2)."""
+    y = form_labels(text)
+
+    def cut(at: int) -> tuple[str, bytes]:
+        s = max(0, min(at, len(text) - size))
+        return text[s : s + size], y[s : s + size].tobytes()
+
+    edge = np.flatnonzero((y != 0) & (np.concatenate([[0], y[:-1]]) != y))
+    for s in edge.tolist():
+        yield 0, *cut(s - int(rng.integers(5, size - 30)))
+    for m in re.finditer("[0-9]+", text):
+        if not y[m.start()]:
+            yield 1, *cut(m.start() - size // 2)
+    for _ in range(1 + len(text) // 500 if text else 0):
+        yield 2, *cut(int(rng.integers(0, len(text))))
+
+
+def fit(texts: list[str], epochs: int = 24, size: int = SIZE, batch: int = 192, seed: int = 11) -> Tagger | None:
+    """From all windows of a few texts, without planted spans."""
     rng = np.random.default_rng(seed)
-    rows, tags = [], []
+    return fit_windows([w[1:] for text in texts for w in windows_of(text, rng, size)], 0, epochs, size, batch, seed)
 
-    def add(c: np.ndarray, y: np.ndarray, at: int) -> None:
-        s = max(0, min(at, len(c) - size))
-        rows.append(np.pad(c[s : s + size], (0, max(0, size - len(c[s : s + size]))), constant_values=PAD))
-        tags.append(np.pad(y[s : s + size], (0, max(0, size - len(y[s : s + size])))))
-
-    for text in texts:
-        c, spans = classes(text), base_spans(text)
-        y = np.zeros(len(c), np.int64)
-        for kind, s, e in spans:
-            y[s:e] = KINDS.index(kind) + 1
-        for _, s, e in spans[:8]:
-            add(c, y, s - int(rng.integers(5, size - 30)))
-        if len(c):
-            add(c, y, int(rng.integers(0, len(c))))
-            odd = np.flatnonzero((c == 48) & (y == 0))
-            if len(odd):
-                add(c, y, int(odd[rng.integers(0, len(odd))]) - size // 2)
-    if not any(y.any() for y in tags):
+
+def fit_windows(real: list[tuple[str, bytes]], plant: int = PLANTED, epochs: int = 16, size: int = SIZE, batch: int = 192, seed: int = 11) -> Tagger | None:
+    """From labelled windows, and as many more with a planted string put between two words as ``plant`` says."""
+    if not any(any(y) for _, y in real):
         return None
+    rng = np.random.default_rng(seed)
+    pool = [text for text, y in real if not any(y)] or [text for text, _ in real]
+    rows, tags = [], []
+
+    def add(text: str, y: np.ndarray) -> None:
+        c = classes(text)[:size]
+        rows.append(np.pad(c, (0, size - len(c)), constant_values=PAD))
+        tags.append(np.pad(y[:size].astype(np.int64), (0, size - len(y[:size]))))
+
+    for text, y in real:
+        add(text, np.frombuffer(y, np.int8))
+    for _ in range(plant):
+        text, (what, label) = pool[int(rng.integers(len(pool)))], planted(rng)
+        gaps = [m.start() for m in re.finditer(" ", text)] or [0]
+        at = gaps[int(rng.integers(len(gaps)))]
+        before, after = text[:at], text[at:]
+        before = before[max(0, len(before) - int(rng.integers(0, max(1, size - len(what) - 8)))) :]
+        end = "" if rng.random() < 0.75 else [".", ",", ")", ";"][int(rng.integers(4))]
+        y = np.zeros(len(before) + 1 + len(what) + len(end) + len(after), np.int8)
+        y[len(before) + 1 : len(before) + 1 + len(what)] = label
+        add(f"{before} {what}{end}{after}", y)
     c, y = np.stack(rows), np.stack(tags)
     m = new_tagger(rng)
     params = [*m.x, *m.u, *m.v, m.b, m.move]
@@ -276,8 +369,8 @@ class Decoder:
         self.m, self.group = m, group
         self.floor = np.zeros((4 * hid, 1), np.float32)
         self.floor[3 * hid :] = -1
-        gain = float(max(0.0, m.move.max() - m.move[0, 0]))
-        self.margin = 2 * gain  # a path takes a transition into each character and out of it
+        # what a path can gain by two transitions, into a character and out of it, over passing it with no label
+        self.margin = float(2 * m.move.max() - m.move[:, 0].min() - m.move[0].min())
 
     def emissions(self, c: np.ndarray, active: np.ndarray) -> np.ndarray:
         """(time, labels, windows); windows come longest first, ``active[t]`` of them reach t."""
@@ -309,56 +402,100 @@ class Decoder:
                 out[t, :, :k] += v @ w
         return out
 
-    def labels(self, c: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """(time, windows) int8."""
-        em = self.emissions(c, active)
-        y = np.zeros(c.shape, np.int8)
-        near = em[:, 0] - em[:, 1:].max(1) <= self.margin
-        doubtful = np.flatnonzero((near & (np.arange(c.shape[1]) < active[:, None])).any(0))
-        if not len(doubtful):
-            return y
-        e, move = em[:, :, doubtful], self.m.move
-        live = doubtful < active[:, None]
-        best = e[0].copy()
-        back = np.zeros((len(e), *best.shape), np.int8)
-        for t in range(1, len(e)):
-            z = best[:, None, :] + move[:, :, None]
-            back[t] = np.where(live[t], z.argmax(0), np.arange(len(best))[:, None])
-            best = np.where(live[t], z.max(0) + e[t], best)
-        state = best.argmax(0)
-        cols = np.arange(len(doubtful))
-        for t in range(len(e) - 1, -1, -1):
-            y[t, doubtful] = np.where(live[t], state, 0)
-            state = back[t, state, cols]
-        return y
+    def lattice(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Emissions (character, label) of whole texts; text i is ``c[starts[i]:starts[i + 1]]``.
 
-    def tag(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A label for each character of each text; text i is ``c[starts[i]:starts[i + 1]]``."""
+        Windows of even number don't overlap one another; those of odd number lie over their edges, and their weight falls
+        to nothing at their own.
+        """
         n = np.diff(starts)
         windows = np.where(n > 0, np.maximum(1, -(-(n - (WINDOW - STRIDE)) // STRIDE)), 0)
         doc = np.repeat(np.arange(len(n)), windows)
         number = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = starts[doc] + number * STRIDE
         end = np.minimum(begin + WINDOW, starts[doc + 1])
-        half = (WINDOW - STRIDE) // 2
-        own_from = np.where(number == 0, begin, begin + half)
-        own_to = np.where(number == windows[doc] - 1, end, begin + STRIDE + half)
-        order = np.argsort(begin - end, kind="stable")
-        out = np.zeros(len(c), np.int8)
+        last = number == windows[doc] - 1
+        both = WINDOW - STRIDE + 1
+        out = np.zeros((len(c), len(self.m.b)), np.float32)
         span = np.arange(WINDOW)
         padded = np.concatenate([c, np.full(WINDOW, PAD, np.int16)])
-        for a in range(0, len(order), self.group):
-            pick = order[a : a + self.group]
-            size = end[pick] - begin[pick]
-            steps = int(size[0])
-            at = begin[pick] + span[:steps, None]
-            active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
-            y = self.labels(padded[at].astype(np.intp), active)
-            if y.any():
-                t, w = np.nonzero(y)
-                where = at[t, w]
-                own = (where >= own_from[pick][w]) & (where < own_to[pick][w])
-                out[where[own]] = y[t[own], w[own]]
+        for odd in (0, 1):
+            turn = np.flatnonzero(number % 2 == odd)
+            order = turn[np.argsort((begin - end)[turn], kind="stable")]
+            for a in range(0, len(order), self.group):
+                pick = order[a : a + self.group]
+                size = end[pick] - begin[pick]
+                steps = int(size[0])
+                at = begin[pick] + span[:steps, None]
+                active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
+                e = self.emissions(padded[at].astype(np.intp), active).transpose(0, 2, 1)
+                real = np.arange(len(pick)) < active[:, None]
+                if odd:
+                    here = span[:steps, None]
+                    weight = np.minimum(1.0, (here + 1) / both)
+                    weight = np.where(last[pick], weight, np.minimum(weight, 1 - np.clip((here - STRIDE + 1) / both, 0, 1)))
+                    w = weight[real].astype(np.float32)[:, None]
+                    out[at[real]] = w * e[real] + (1 - w) * out[at[real]]
+                else:
+                    out[at[real]] = e[real]
+        return out
+
+    def best(self, em: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The best labelling of each text, from its lattice."""
+        n = len(em)
+        y = np.zeros(n, np.int8)
+        doubtful = em[:, 0] - em[:, 1:].max(1) <= self.margin
+        if not doubtful.any():
+            return y
+        doc = np.searchsorted(starts, np.flatnonzero(doubtful), "right") - 1
+        where = np.flatnonzero(doubtful)
+        # each run with the settled character on either side of it, where the text has one
+        opens = np.ones(len(where), bool)
+        opens[1:] = (where[1:] > where[:-1] + 2) | (doc[1:] != doc[:-1])
+        closes = np.append(opens[1:], True)
+        s, e = np.maximum(where[opens] - 1, starts[doc[opens]]), np.minimum(where[closes] + 2, starts[doc[closes] + 1])
+        order = np.argsort(s - e, kind="stable")
+        s, size = s[order], (e - s)[order]
+        a = 0
+        while a < len(s):
+            b = min(len(s), a + max(1, 400_000 // int(size[a])))
+            self._viterbi(em, s[a:b], size[a:b], y)
+            a = b
+        return y
+
+    def _viterbi(self, em: np.ndarray, s: np.ndarray, size: np.ndarray, y: np.ndarray) -> None:
+        steps, k = int(size[0]), em.shape[1]
+        active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
+        move = self.m.move[:, :, None]
+        total = em[s].T.copy()
+        back = np.zeros((steps, k, len(s)), np.int8)
+        for t in range(1, steps):
+            n = active[t]
+            z = total[:, None, :n] + move
+            back[t, :, :n] = z.argmax(0)
+            total[:, :n] = z.max(0) + em[s[:n] + t].T
+        state = total.argmax(0)
+        for t in range(steps - 1, -1, -1):
+            n = active[t]
+            y[s[:n] + t] = state[:n]
+            if t:
+                state[:n] = back[t, state[:n], np.arange(n)]
+
+    def tag(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A label for each character of each text. A text of more than TOGETHER characters is done in parts that meet where no label can be."""
+        if len(starts) != 2 or len(c) <= TOGETHER:
+            return self.best(self.lattice(c, starts), starts)
+        out, at = np.zeros(len(c), np.int8), 0
+        while at < len(c):
+            s = max(0, at - WINDOW) // STRIDE * STRIDE
+            e = min(len(c), s + STRIDE * (TOGETHER // STRIDE))
+            em = self.lattice(c[s:e], np.array([0, e - s]))[at - s :]
+            cut = len(em)
+            if e < len(c):
+                sure = np.flatnonzero((em[:, 0] - em[:, 1:].max(1) > self.margin)[: len(em) - WINDOW])
+                cut = int(sure[-1]) + 1 if len(sure) else len(em) - WINDOW
+            out[at : at + cut] = self.best(em[:cut], np.array([0, cut]))
+            at += cut
         return out
 
 
@@ -369,16 +506,20 @@ def _digits(piece: str) -> str:
 def _refuted(kind: str, piece: str) -> bool:
     """Whether the text itself speaks against a label.
 
-    An address needs its at sign. A card's 16 to 19 digits need their check digit, however they are set apart; of other lengths
-    nothing is known. A phone number is refuted if one match of the pattern holds all its digits and their number is wrong.
+    An address needs its at sign, or the word. Four parts of a network address are at most 255. A card has 12 to 19 digits, and
+    its check digit, however they are set apart. A phone number has 7 to 15, and is refuted, too, if one match of the pattern holds
+    all its digits and their number is wrong.
     """
     if kind == "email":
-        return "@" not in piece
-    if kind == "ip":
-        return bool(_IP.search(piece))
+        return "@" not in piece and not _AT.search(piece)
     digits = _digits(piece)
+    if kind == "ip":
+        parts = _SOME_DIGITS.findall(piece)
+        return len(parts) != 4 or not all(map(_small, parts))
     if kind == "card":
-        return 16 <= len(digits) <= 19 and not luhn(digits)
+        return not 12 <= len(digits) <= 19 or not luhn(digits)
+    if not 7 <= len(digits) <= 15:
+        return True
     return not 8 <= len(digits) <= 15 and any(_digits(m[0]) == digits for m in _PHONE.finditer(piece))
 
 
@@ -411,17 +552,31 @@ def _sorted(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
-def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Tagger | None:
-    """From at most ``sample`` different texts of at most SAMPLE_CHARS characters: those that hash lowest."""
-    short = docs.select(F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h")).where(F.col(text_column).isNotNull() & (F.length(text_column) <= SAMPLE_CHARS))
-    texts: set[str] = set()
-    for some, n in ((short.where(F.col("t").rlike("@|[0-9]{2}")), sample // 2), (short, sample - sample // 2)):
+def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE, windows: int = WINDOWS) -> Tagger | None:
+    """From windows of at most ``sample`` different texts, whatever their length, and at most ``windows`` of each sort: those that hash lowest."""
+    rows = docs.select(F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h")).where(F.col(text_column).isNotNull())
+    chosen = None
+    for some, n in ((rows.where(F.col("t").rlike("@|[0-9]{2}")), sample // 2), (rows, sample - sample // 2)):
         # hashes alone are ordered; equal texts are one
         last = some.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
         if last is not None:
-            texts |= {r[0] for r in some.where(F.col("h") <= last).groupBy("h").agg(F.min("t")).select("min(t)").collect()}
-    texts = sorted(texts)
-    return fit(texts)
+            some = some.where(F.col("h") <= last)
+            chosen = some if chosen is None else chosen.union(some)
+    if chosen is None:
+        return None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch.column(0), batch.column(1)):
+                found = list(windows_of(text.as_py(), np.random.default_rng(h.as_py() & 0xFFFFFFFF)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), pa.string(), pa.binary()))], names=["sort", "text", "tags"])
+
+    found = written(chosen.groupBy("h").agg(F.min("t").alias("t")).select("h", "t").mapInArrow(cut, "sort int, text string, tags binary"), "windows")
+    real = []
+    for k in range(3):
+        real += [(r["text"], bytes(r["tags"])) for r in found.where(F.col("sort") == k).orderBy(F.xxhash64("text", "tags"), "text").limit(windows).collect()]
+    return fit_windows(real)
 
 
 def find(docs: DataFrame, model: Tagger | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -446,7 +601,7 @@ def find(docs: DataFrame, model: Tagger | None, id_column: str = "doc_id", text_
     return docs.select(id_column, text_column).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
-def _tagged(column: pa.Array, decoder: Decoder | None, most: int = 2_000_000) -> Iterator[tuple]:
+def _tagged(column: pa.Array, decoder: Decoder | None, most: int = TOGETHER) -> Iterator[tuple]:
     """(from, to, texts, labels, starts) for successive texts of about so many characters."""
     a = 0
     while a < len(column):
