@@ -189,7 +189,7 @@ def bm25(index_texts, passage, threshold):
     scores = defaultdict(float)
     for t, h in enumerate(index.terms.tolist()):
         if h in words:
-            for e, w in zip(*index.postings[t][:2]):
+            for e, w in zip(*index.posting(t)[:2]):
                 scores[e] += w
     found = index.wand([t for t, h in enumerate(index.terms.tolist()) if h in words])
     return {e: s for e, s in scores.items() if s >= threshold - 1e-9}, dict(found)
@@ -232,6 +232,44 @@ def test_search_reads_all_passages():
     assert got.keys() == sure.keys() and all(abs(got[k] - sure[k]) < 1e-9 for k in sure) and len(sure) > 3
 
 
+def test_blocks_are_skipped():
+    rng = random.Random(7)
+    items = [" ".join(["common", "word"] + [f"r{i}x{k}" for k in range(10)]) for i in range(400)]
+    index = decontam.Index(list(range(400)), items, 0.6)
+    words = set(decontam.term_hashes(K.texts(pa.array(["common word " + " ".join(f"r399x{k}" for k in range(10))])))[0].tolist())
+    assert [e for e, _ in index.wand([t for t, h in enumerate(index.terms.tolist()) if h in words])] == [399]
+    many = [" ".join(rng.choice([f"c{k}" for k in range(12)]) for _ in range(12)) for _ in range(600)]
+    index = decontam.Index(list(range(600)), many, 0.6)
+    skipped = 0
+    for passage in many[:40]:
+        want, got = bm25(many, passage, 0.6)
+        assert want.keys() == got.keys()
+        index.wand([t for t, h in enumerate(index.terms.tolist()) if h in set(decontam.term_hashes(K.texts(pa.array([passage])))[0].tolist())])
+        skipped += index.skipped
+    assert skipped > 0
+
+
+def test_results_do_not_depend_on_shards(spark):
+    rng = random.Random(16)
+    vocab = [f"word{k}" for k in range(300)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.randrange(5, 150)) + ". " + say(4)) for i in range(120)] + [(200 + k, f"short line {k}") for k in range(9)] + [(300, "word1"), (301, "!!")]
+    items += [(400 + i, t) for i, t in items[:10]]  # equal items
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = {}
+    for d in range(120):  # whole items, and edited ones across the edges of blocks
+        w = dict(items)[rng.randrange(120)].split()
+        w = [x if rng.random() < 0.85 else "edit" for x in w] if d % 2 else w
+        texts[d] = say(rng.randrange(0, 120)) + " " + " ".join(w) + " " + say(rng.randrange(0, 120))
+    texts |= {300: "say. Short line 3! more", 301: "a short line 4 in it", 302: "word1 word1", 303: "x\nWORD1\ny"}
+    rows = lambda **more: sorted(map(tuple, decontam.find(frame(spark, texts), bench, **more).collect()))
+    one = rows()
+    assert {(d, i) for d, i, *_ in one if d >= 300} == {(300, 203), (303, 300)}
+    assert {(d, i + 400) for d, i, *_ in one if i < 10} == {(d, i) for d, i, *_ in one if i >= 400} and any(i < 10 for _, i, *_ in one)
+    several = rows(shard_bytes=4000)
+    assert [r[:2] for r in one] == [r[:2] for r in several] and np.allclose([r[2:] for r in one], [r[2:] for r in several])
+
+
 def test_leaks_are_found_and_clean_texts_are_left(spark):
     rng = random.Random(6)
     vocab = [f"word{k}" for k in range(800)]
