@@ -131,8 +131,8 @@ def brute_suffix(texts, length):
     return gone
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_removed_bytes_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, length", [(0, 100), (1, 100), (2, 100), (3, 400), (4, 30)])
+def test_removed_bytes_match_brute_force(spark, seed, length):
     rng = random.Random(seed)
     piece = lambda n: "".join(rng.choice("abcdé fgh\n") for _ in range(n))
     shared = [piece(n) for n in (60, 99, 100, 101, 140, 300, 700)]
@@ -143,8 +143,8 @@ def test_removed_bytes_match_brute_force(spark, seed):
             parts.append(rng.choice(shared) if rng.random() < 0.5 else piece(rng.randrange(0, 200)))
         texts[i * 3 + rng.randrange(3)] = "".join(parts)
     texts |= {1000: None, 1001: "", 1002: "a" * 5000, 1003: "ab" * 2000, 1004: texts[min(texts)], 1005: shared[5] * 4, 1006: piece(100_000)}
-    want = brute_suffix(texts, 100)
-    got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, texts)).collect()}
+    want = brute_suffix(texts, length)
+    got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, texts), length=length).collect()}
     assert set(got) == set(texts)
     for i, (b, gone) in want.items():
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
@@ -163,6 +163,49 @@ def test_removal_of_odd_rows(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_batches_are_added_to_stored_levels(spark, tmp_path):
+    rng = random.Random(31)
+    piece = lambda n: "".join(rng.choice("abcdé fgh\n") for _ in range(n))
+    shared = [piece(n) for n in (60, 101, 140, 300, 700)]
+    texts = {i: "".join(rng.choice(shared) if rng.random() < 0.3 else piece(rng.randrange(0, 300)) for _ in range(rng.randrange(1, 7))) for i in range(120)}
+    texts[119] = texts[3]
+    want = brute_suffix(texts, 100)
+    index, cuts, sizes = str(tmp_path / "index"), [0, 40, 50, 60, 63, 66, 110, 120], []
+    for a, b in zip(cuts, cuts[1:]):
+        batch, before = ({i: texts[i] for i in range(*r)} for r in ((a, b), (0, a)))
+        for r in suffix.remove_repeats(frame(spark, batch), index=index, earlier=frame(spark, before)).collect():
+            data, gone = want[r.doc_id]
+            assert (r.n_removed, bytes(r.kept)) == (int(gone.sum()), np.frombuffer(data, np.uint8)[~gone].tobytes()), r.doc_id
+        sizes.append([n for _, n in suffix.StoredLevels(spark, index, 100, 24).state["levels"]])
+    assert all(x > 2 * y for level in sizes for x, y in zip(level, level[1:])) and max(map(len, sizes)) > 1
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(frame(spark, {5: "x"}), index=index, earlier=frame(spark, texts))
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(frame(spark, {500: "x"}), length=50, index=index)
+
+
+def test_windows_are_in_the_order_of_their_letters():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 3000).astype(np.uint8)  # with zeros, which end strings elsewhere
+    data[1000:1200] = data[:200]
+    at = np.arange(2900)
+    order, new = suffix.suffix_order(data, at, 100)
+    windows = [bytes(data[k : k + 100]) for k in range(2900)]
+    assert [windows[k] for k in order] == sorted(windows) and new.sum() == len(set(windows)) < 2900
+    f = suffix.prints(data, at, 100)
+    assert len(set(f.tolist())) == len(set(windows)) and all(f[k] == f[k + 1000] for k in range(100))
+
+
+def test_text_ids_have_the_order_of_their_values(spark):
+    rng = random.Random(41)
+    long = "".join(rng.choice("abcdefgh") for _ in range(300))
+    rows = [("b", long), ("a", long[:200]), ("c", long[150:]), (None, long)]
+    got = {r.name: r.n_removed for r in suffix.remove_repeats(spark.createDataFrame(rows, "name string, text string"), id_column="name").collect()}
+    assert got == {"a": 0, "b": 200, "c": 150, None: 0}
+    near = minhash.near_duplicates(spark.createDataFrame([(k, t) for k, t in [("y", "a b c d e f g"), ("x", "a b c d e f g"), (None, "a b c"), ("z", "other words")]], "name string, text string"), id_column="name")
+    assert {r.name: (r.component_id, r.kept) for r in near.collect()} == {"x": ("x", True), "y": ("x", False), "z": ("z", True), None: (None, True)}
+
+
 def test_levels_grow_geometrically_and_find_all_repeats():
     rng = np.random.default_rng(4)
     family, late, rows = suffix.LevelFamily(), set(), []

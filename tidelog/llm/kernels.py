@@ -25,6 +25,7 @@ WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
+_OTHER_BYTE = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 
 
 class Texts:
@@ -98,13 +99,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """64-bit hashes of any spans of a buffer, each in constant time."""
+    """64-bit hashes of any spans of a buffer, each in constant time. ``other``: those of another function."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, other: bool = False):
         n = 1 << max(18, int(len(data) + 1).bit_length())
         power, self._inverse = _powers(n)
         self._sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=self._sums[1:])
+        np.cumsum((_OTHER_BYTE if other else _BYTE)[data] * power[: len(data)], out=self._sums[1:])
 
     def spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return mix((self._sums[e] - self._sums[s]) * self._inverse[s])

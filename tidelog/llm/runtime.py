@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 from functools import wraps
@@ -9,6 +11,7 @@ from functools import wraps
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidelog.shipping import ship
 
@@ -44,6 +47,8 @@ def shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -63,6 +68,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Writes beside ``path`` and then takes its place, so that a reader finds the old or the new value."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    fs = at.getFileSystem(conf)
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(new, at)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """What :func:`write_json` wrote last, if anything."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in (path, path + ".new"):
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        if at.getFileSystem(conf).exists(at):
+            return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(name).collect()))
+    return None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame, written to the shared folder and read again: lineage ends here."""
     path = stage_path(df.sparkSession, name)
@@ -96,10 +123,6 @@ def fold(column: str, m: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def routes(spark: SparkSession, parts: int) -> np.ndarray:
     """For each of ``parts`` shuffle partitions a long that Spark's hash partitioning sends there."""
     found = spark.range(0, 24 * parts + 64, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("to")).groupBy("to").agg(F.min("id").alias("id")).collect()
@@ -116,6 +139,30 @@ def routes(spark: SparkSession, parts: int) -> np.ndarray:
     return out
 
 
+def integer_ids(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a BIGINT for an id, and (the id, ``number__``) in the ids' order; without the latter if ids are whole numbers already."""
+    if isinstance(docs.schema[id_column].dataType, IntegralType):
+        return docs.withColumn(id_column, F.col(id_column).cast("bigint")), None
+    ids = docs.select(id_column).where(F.col(id_column).isNotNull()).distinct().orderBy(id_column)
+    ids = written(ids.select(id_column, F.monotonically_increasing_id().alias("number__")), "ids")
+    return docs.join(ids, id_column, "left").withColumn(id_column, F.col("number__")).drop("number__"), ids
+
+
+def own_ids(rows: DataFrame, ids: DataFrame | None, id_column: str, *columns: str) -> DataFrame:
+    """Columns that hold numbers of :func:`integer_ids` with the ids in their place."""
+    if ids is None:
+        return rows
+    order = rows.columns
+    for c in columns:
+        rows = rows.join(ids.select(F.col(id_column).alias("own__"), F.col("number__").alias(c)).hint("shuffle_merge"), c, "left").withColumn(c, F.col("own__")).drop("own__")
+    return rows.select(*order)
+
+
+def task_count(spark: SparkSession, size: int, most: int) -> int:
+    """How many tasks get at most ``most`` bytes each of ``size`` evenly dealt ones; at least the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
