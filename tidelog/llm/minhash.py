@@ -21,8 +21,9 @@ Components come from rounds of stars over the confirmed links.
 
 Defined cases: null texts and texts without a word have empty sets and link with nothing; texts
 of fewer words than a shingle are one shingle; a row with a null id is linked with nothing and kept;
-rows with equal ids are one document in different rows; ties of hubs go to the smaller id;
-extra columns are not read.
+of different texts with one id, the one of the least fingerprint stands for the document in links, and each row has its own
+text's component; ties of hubs go to the smaller id; ids that aren't whole numbers have the order of their values; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .runtime import join_apart, join_checked, written
+from .runtime import integer_ids, join_apart, join_checked, own_ids, written
 
 ROWS, BANDS, B = 4, 32, 2
 PERMUTATIONS = ROWS * BANDS
@@ -92,10 +93,7 @@ def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) ->
                 h, first = shingles(t.part(a, b), words)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
-                fp = np.zeros((2, b - a), K.U64)
-                for row, salt in zip(fp, (0x243F6A8885A308D3, 0x13198A2E03707344)):
-                    if len(some):
-                        row[some] = np.add.reduceat(K.mix(h ^ K.U64(salt)), first[:-1][some])
+                fp = _fingerprints(h, first)
                 minima = _minima(h, first) if len(some) else np.empty((0, PERMUTATIONS), K.U64)
                 keys = np.zeros((len(some), BANDS), K.U64)
                 for r in range(ROWS):
@@ -119,17 +117,28 @@ def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) ->
     return docs.select(F.col(id_column).cast("bigint").alias("id"), text_column).mapInArrow(run, schema)
 
 
+def _fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits of each set in two longs; zero for empty ones."""
+    some = np.flatnonzero(np.diff(first))
+    fp = np.zeros((2, len(first) - 1), K.U64)
+    for row, salt in zip(fp, (0x243F6A8885A308D3, 0x13198A2E03707344)):
+        if len(some):
+            row[some] = np.add.reduceat(K.mix(h ^ K.U64(salt)), first[:-1][some])
+    return fp
+
+
 def shingle_sets(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, set array<bigint>)."""
+    """(id, fp_a, fp_b, set array<bigint>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = K.texts(batch.column(1))
             for a, b in K.slices(t):
                 h, first = shingles(t.part(a, b), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "set"])
+                fp = _fingerprints(h, first).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp[0]), pa.array(fp[1]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "fp_a", "fp_b", "set"])
 
-    return docs.select(F.col(id_column).cast("bigint").alias("id"), text_column).mapInArrow(run, "id bigint, set array<bigint>")
+    return docs.select(F.col(id_column).cast("bigint").alias("id"), text_column).mapInArrow(run, "id bigint, fp_a bigint, fp_b bigint, set array<bigint>")
 
 
 def estimate(left: str, right: str) -> Column:
@@ -161,11 +170,20 @@ def _with_signatures(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     return pairs
 
 
+def _one_text(rows: DataFrame) -> DataFrame:
+    """Of rows with one id, that of the least fingerprint."""
+    least = rows.groupBy("id").agg(F.min(F.struct("fp_a", "fp_b")).alias("least__"))
+    several = rows.groupBy("id").agg(F.count("*").alias("n__")).where("n__ > 1").select("id")
+    if several.isEmpty():
+        return rows
+    return rows.join(least.hint("shuffle_merge"), "id").where((F.col("fp_a") == F.col("least__.fp_a")) & (F.col("fp_b") == F.col("least__.fp_b"))).drop("least__").dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     needed = written(pairs.select(F.col("a").alias(id_column)).union(pairs.select(F.col("b").alias(id_column))).distinct(), "needed")
     texts = join_checked(docs.select(id_column, text_column).where(F.col(id_column).isNotNull()), needed, id_column, "left_semi")
-    sets = written(shingle_sets(texts, words, id_column, text_column).dropDuplicates(["id"]), "sets")
+    sets = written(_one_text(shingle_sets(texts, words, id_column, text_column).where(F.size("set") > 0)).select("id", "set"), "sets")
     both = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "set_a").hint("shuffle_merge"), "a").join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "set_b").hint("shuffle_merge"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.select("a", "b", shared.alias("i"), (F.size("set_a") + F.size("set_b") - shared).alias("u")).where(F.lit(100) * F.col("i") >= F.lit(percent) * F.col("u")).select("a", "b")
@@ -177,10 +195,11 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each document."""
+    docs, own = integer_ids(docs, id_column)
     sig = written(signatures(docs, words, id_column, text_column), "signatures")
     full = sig.where("n_shingles > 0 AND id IS NOT NULL")
     heads = written(full.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("id").alias("head")), "heads")
-    reps = written(full.join(heads.select(F.col("head").alias("id")).hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]), "representatives")
+    reps = written(_one_text(written(full.join(heads.select(F.col("head").alias("id")).hint("shuffle_merge"), "id", "left_semi"), "heads-rows")), "representatives")
 
     entries = reps.select("id", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -211,4 +230,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     class_of = heads.join(found.withColumnRenamed("id", "head").hint("shuffle_merge"), "head", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "head").alias("component"))
     out = sig.select("id", "n_shingles", "fp_a", "fp_b").join(class_of.hint("shuffle_merge"), ["fp_a", "fp_b", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return own_ids(out, own, id_column, id_column, "component_id")
