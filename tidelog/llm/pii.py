@@ -10,9 +10,8 @@ aren't refuted by an exact check, are added to the spans; those of patterns stay
 The network learns a number's form; check digits and the sizes of parts are verified exactly afterwards.
 
 The cells use piecewise linear activations (hard sigmoid and hard tangent): the same
-recurrences with no exponentials. Where the emissions prefer "none" at a character by more than any transitions can
-make up, the best path must pass through it, so that only the runs between such characters are searched; the
-result is that of the whole lattice.
+recurrences with no exponentials. Only the runs of characters at which an excursion from "none" and back can pay are
+searched; the result is that of the whole lattice.
 
 Defined cases: a null text is an empty one, without spans; equal rows each get a row; with no
 labelled span in the sample the network adds none; extra columns are not read.
@@ -24,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -367,10 +367,10 @@ class Decoder:
         self.x = [np.ascontiguousarray(x * scale + shift) for x in m.x]  # gates come out ready to be clipped
         self.u = [np.ascontiguousarray(u * scale) for u in m.u]
         self.m, self.group = m, group
-        self.floor = np.zeros((4 * hid, 1), np.float32)
-        self.floor[3 * hid :] = -1
-        # what a path can gain by two transitions, into a character and out of it, over passing it with no label
-        self.margin = float(2 * m.move.max() - m.move[:, 0].min() - m.move[0].min())
+        # bounds of what transitions add to an excursion from "none" and back over staying there: into it, out of it, and inside
+        gain = (m.move - m.move[0, 0]).astype(np.float64)
+        self.into, self.out, self.inside = float(gain[0, 1:].max()), float(gain[1:, 0].max()), float(gain[1:, 1:].max())
+        self.margin = 0.0  # excursions that lose more than this aren't searched
 
     def emissions(self, c: np.ndarray, active: np.ndarray) -> np.ndarray:
         """(time, labels, windows); windows come longest first, ``active[t]`` of them reach t."""
@@ -386,17 +386,16 @@ class Decoder:
                 if k not in buffers:
                     buffers = {k: (np.empty((4 * hid, k), np.float32), np.empty((4 * hid, k), np.float32), np.empty((hid, k), np.float32))}
                 g, r, w = buffers[k]
-                np.take(x, c[t, :k], axis=1, out=g, mode="clip")
+                np.take(x, c[t, :k], axis=1, out=g, mode="wrap")
                 np.dot(u, np.ascontiguousarray(h[:, :k]) if k < n else h, out=r)
                 g += r
-                np.maximum(g, self.floor, out=g)
-                np.minimum(g, 1, out=g)
+                np.clip(g[: 3 * hid], 0, 1, out=g[: 3 * hid])
+                np.clip(g[3 * hid :], -1, 1, out=g[3 * hid :])
                 sk = s[:, :k]
                 sk *= g[hid : 2 * hid]
                 np.multiply(g[:hid], g[3 * hid :], out=w)
                 sk += w
-                np.maximum(sk, -1, out=w)
-                np.minimum(w, 1, out=w)
+                np.clip(sk, -1, 1, out=w)
                 np.multiply(g[2 * hid : 3 * hid], w, out=w)
                 h[:, :k] = w
                 out[t, :, :k] += v @ w
@@ -440,40 +439,66 @@ class Decoder:
                     out[at[real]] = e[real]
         return out
 
+    def doubtful(self, em: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Characters at which some excursion from "none" may pay; some best path has no label at all others.
+
+        An excursion's gain is at most that of its characters' best labels and of its transitions. The greatest sum over stretches that
+        hold a character comes from running sums and their extremes before and after it.
+        """
+        n = len(em)
+        gain = np.zeros(n + len(starts))  # a wall lies before each text and after the last one
+        place = np.arange(n) + np.repeat(np.arange(1, len(starts)), np.diff(starts))
+        gain[place] = reduce(np.maximum, em.T[1:]) - em[:, 0] + self.inside
+        wall = np.ones(len(gain), bool)
+        wall[place] = False
+        gain[wall] = -1e6
+        # transitions: one fewer inside than characters; none into a text's first character, nor out of its last
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        left = total[:-1] - self.into
+        left[1:][wall[:-1]] += min(0.0, self.into)
+        right = total[1:] + self.out
+        right[:-1][wall[1:]] -= min(0.0, self.out)
+        low = np.minimum.accumulate(left)
+        high = np.maximum.accumulate(right[::-1])[::-1]
+        return (high - low - self.inside)[place] > -self.margin
+
     def best(self, em: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The best labelling of each text, from its lattice."""
-        n = len(em)
-        y = np.zeros(n, np.int8)
-        doubtful = em[:, 0] - em[:, 1:].max(1) <= self.margin
-        if not doubtful.any():
+        y = np.zeros(len(em), np.int8)
+        where = np.flatnonzero(self.doubtful(em, starts)) if len(em) else []
+        if not len(where):
             return y
-        doc = np.searchsorted(starts, np.flatnonzero(doubtful), "right") - 1
-        where = np.flatnonzero(doubtful)
+        doc = np.searchsorted(starts, where, "right") - 1
         # each run with the settled character on either side of it, where the text has one
         opens = np.ones(len(where), bool)
-        opens[1:] = (where[1:] > where[:-1] + 2) | (doc[1:] != doc[:-1])
+        opens[1:] = (where[1:] > where[:-1] + 1) | (doc[1:] != doc[:-1])
         closes = np.append(opens[1:], True)
-        s, e = np.maximum(where[opens] - 1, starts[doc[opens]]), np.minimum(where[closes] + 2, starts[doc[closes] + 1])
+        s, e = where[opens], where[closes] + 1
+        before, after = s > starts[doc[opens]], e < starts[doc[closes] + 1]
+        s, e = s - before, e + after
         order = np.argsort(s - e, kind="stable")
-        s, size = s[order], (e - s)[order]
+        s, size, before, after = s[order], (e - s)[order], before[order], after[order]
         a = 0
         while a < len(s):
             b = min(len(s), a + max(1, 400_000 // int(size[a])))
-            self._viterbi(em, s[a:b], size[a:b], y)
+            self._viterbi(em, s[a:b], size[a:b], before[a:b], after[a:b], y)
             a = b
         return y
 
-    def _viterbi(self, em: np.ndarray, s: np.ndarray, size: np.ndarray, y: np.ndarray) -> None:
+    def _viterbi(self, em: np.ndarray, s: np.ndarray, size: np.ndarray, before: np.ndarray, after: np.ndarray, y: np.ndarray) -> None:
+        """Runs, longest first; their first (``before``) and last (``after``) characters have no label."""
         steps, k = int(size[0]), em.shape[1]
         active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
         move = self.m.move[:, :, None]
         total = em[s].T.copy()
+        total[1:, before] = -1e30
         back = np.zeros((steps, k, len(s)), np.int8)
         for t in range(1, steps):
             n = active[t]
             z = total[:, None, :n] + move
             back[t, :, :n] = z.argmax(0)
             total[:, :n] = z.max(0) + em[s[:n] + t].T
+        total[1:, after] = -1e30
         state = total.argmax(0)
         for t in range(steps - 1, -1, -1):
             n = active[t]
@@ -492,7 +517,7 @@ class Decoder:
             em = self.lattice(c[s:e], np.array([0, e - s]))[at - s :]
             cut = len(em)
             if e < len(c):
-                sure = np.flatnonzero((em[:, 0] - em[:, 1:].max(1) > self.margin)[: len(em) - WINDOW])
+                sure = np.flatnonzero(~self.doubtful(em, np.array([0, len(em)]))[: len(em) - WINDOW])
                 cut = int(sure[-1]) + 1 if len(sure) else len(em) - WINDOW
             out[at : at + cut] = self.best(em[:cut], np.array([0, cut]))
             at += cut
