@@ -72,13 +72,13 @@ def test_fragments_of_golden_cases(spark):
         assert {(r.begin_key, r.end_key, tuple(r.seqs)) for r in got} == want
 
 
-@pytest.mark.parametrize("buckets", [64, 4])
-def test_seek_finds_neighbours(spark, buckets):
+@pytest.mark.parametrize("few", [10_000, 20])
+def test_seek_finds_neighbours(spark, few):
     keys = sorted({(i * 37) % 1000 for i in range(300)})
     probes = list(range(-5, 1010, 7))
     k, p = spark.createDataFrame([(x,) for x in keys], "key bigint"), spark.createDataFrame([(x,) for x in probes], "probe bigint")
-    up = {r.probe: r.key for r in scan.seek(k, p, True, buckets=buckets).collect()}
-    down = {r.probe: r.key for r in scan.seek(k, p, False, buckets=buckets).collect()}
+    up = {r.probe: r.key for r in scan.seek(k, p, True, few=few).collect()}
+    down = {r.probe: r.key for r in scan.seek(k, p, False, few=few).collect()}
     assert up == {x: min((y for y in keys if y >= x), default=None) for x in probes}
     assert down == {x: max((y for y in keys if y <= x), default=None) for x in probes}
 
@@ -180,4 +180,4 @@ def test_timestamp_queries_read_whole_tables(spark):
     got = QUERIES["get_with_timestamp"](spark, SF).collect()
     assert {(r.key, r.value) for r in got} == {(r.key, r.value) for r in QUERIES["timestamp_asof_read"](spark, SF).collect()} and max(r.key for r in got) > 100
     stamped = QUERIES["batch_timestamps"](spark, SF)
-    assert stamped.count() == L.op_events(spark, SF).count() and stamped.where("ts = 1234").count() == stamped.count()
+    assert stamped.count() == L.op_events(spark, SF).count() and stamped.groupBy(F.floor(F.col("seq") / 100)).agg(F.countDistinct("ts").alias("n")).where("n > 1").count() == 0

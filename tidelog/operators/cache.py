@@ -25,21 +25,42 @@ def lifetimes(trace: DataFrame) -> DataFrame:
     return trace.groupBy("key").agg((F.max("access_time") - F.min("access_time")).alias("lifetime"), F.count("*").alias("accesses"))
 
 
-def reuse_distances(trace: DataFrame) -> DataFrame:
+def reuse_distances(trace: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(key, seq, distance): distinct other keys between an access and the one before it on its key; null for a first access.
 
-    An access counts for an interval if it's the last of its key inside; such accesses are those with
-    seq in (previous, here) whose own next access is after the interval: a join over ranges of time, dealt into
-    blocks of sequence numbers so that equal blocks meet.
+    Of the keys seen before an access, those count whose last access so far came after the previous one of its own key. So the
+    distance is the number of other keys seen so far less those whose interval between accesses holds the whole
+    interval (previous, here). The latter is a count of points (access, next access) with a smaller first and a larger second
+    number: accesses before ``previous`` make up one block of 2**k numbers for each bit that is set in it, each access lies in one
+    block of each size, and in a block a running count in the order of the second number answers all its queries.
+    Blocks are cut into runs of about ``width`` numbers, whose totals are added up apart, so that no task holds a large block.
     """
     w = Window.partitionBy("key").orderBy("seq")
     rows = trace.select("key", "seq").withColumn("prev", F.lag("seq").over(w)).withColumn("next", F.lead("seq").over(w))
-    size = 512
-    spans = rows.where("prev IS NOT NULL AND seq - prev > 1").select("key", "seq", "prev", F.explode(F.sequence(F.floor((F.col("prev") + 1) / size), F.floor((F.col("seq") - 1) / size))).alias("block"))
-    inside = rows.select(F.floor(F.col("seq") / size).alias("block"), F.col("seq").alias("o"), F.col("next").alias("o_next"))
-    hit = spans.join(inside, "block").where((F.col("o") > F.col("prev")) & (F.col("o") < F.col("seq")) & (F.col("o_next").isNull() | (F.col("o_next") > F.col("seq"))))
-    n = hit.groupBy("seq").agg(F.count("*").alias("d"))
-    return rows.join(n, "seq", "left").select("key", "seq", F.when(F.col("prev").isNotNull(), F.coalesce("d", F.lit(0))).alias("distance"))
+    least, most = trace.agg(F.min("seq"), F.max("seq")).first()
+    if most is None:
+        return rows.select("key", "seq", F.lit(None).cast("bigint").alias("distance"))
+    if least < 0:
+        raise ValueError("sequence numbers must not be negative")
+    levels = F.sequence(F.lit(0), F.lit(most.bit_length()))
+    # a block: its size's exponent, and its number among blocks of that size
+    points = rows.select(F.posexplode(F.transform(levels, lambda k: F.call_function("shiftright", F.col("seq"), k))).alias("level", "block"), F.coalesce("next", F.lit(most + 1)).alias("at"), F.lit(None).cast("bigint").alias("asked"))
+    again = rows.where("prev IS NOT NULL")
+    bits = F.transform(levels, lambda k: F.when(F.call_function("shiftright", F.col("prev"), k) % 2 == 1, F.call_function("shiftright", F.col("prev"), k) - 1))
+    queries = again.select(F.posexplode(bits).alias("level", "block"), F.col("seq").alias("at"), F.col("seq").alias("asked")).where("block IS NOT NULL")
+    both = points.unionByName(queries).withColumn("run", F.expr(f"at div {width}")).withColumn("point", F.when(F.col("asked").isNull(), 1).otherwise(0))
+    by = ["level", "block"]
+    runs = both.groupBy(*by, "run").agg(F.sum("point").alias("n"))
+    beyond = runs.select(*by, "run", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.col("run").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beyond"))
+    # of equal numbers the query comes first: its own access, which ends there, doesn't hold the interval
+    order = Window.partitionBy(*by, "run").orderBy(F.col("at").desc(), F.col("point")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("inside", F.sum("point").over(order)).where("asked IS NOT NULL").join(beyond, [*by, "run"])
+    holding = counted.groupBy(F.col("asked").alias("seq")).agg(F.sum(F.col("inside") + F.col("beyond")).alias("holding"))
+    # other keys seen so far: first accesses before this one, counted in runs as well
+    firsts = rows.withColumn("run", F.expr(f"seq div {width}")).withColumn("first", F.when(F.col("prev").isNull(), 1).otherwise(0))
+    before = firsts.groupBy("run").agg(F.sum("first").alias("n")).select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    seen = firsts.withColumn("seen", F.sum("first").over(Window.partitionBy("run").orderBy("seq"))).join(before, "run").select("key", "seq", "prev", (F.col("before") + F.col("seen") - 1).alias("others"))
+    return seen.join(holding, "seq", "left").select("key", "seq", F.when(F.col("prev").isNotNull(), F.col("others") - F.coalesce("holding", F.lit(0))).alias("distance"))
 
 
 def lru_curve(distances: DataFrame, capacities: list[int]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..oplog import BASES, DELETIONS, MERGE, POINTS, PUT, RANGE_DELETE, SINGLE_DELETE, VALUES
 from .ranges import range_join
+from .resolve import uncovered
+from .skew import spread_join
 
 
 def stripe(snapshots: list[int], seq: Column | str = "seq") -> Column:
@@ -25,10 +27,12 @@ def stripe(snapshots: list[int], seq: Column | str = "seq") -> Column:
 
 def _without_covered(log: DataFrame, snapshots: list[int]) -> DataFrame:
     """A range deletion drops points only within its own stripe."""
-    points = log.where(F.col("op").isin(*POINTS)).withColumn("stripe", stripe(snapshots))
-    tombs = log.where((F.col("op") == RANGE_DELETE) & (F.col("key") < F.col("end_key"))).select(F.col("cf").alias("t_cf"), F.col("key").alias("t_b"), F.col("end_key").alias("t_e"), F.col("seq").alias("t_seq"), stripe(snapshots).alias("t_stripe"))
-    same = (F.col("cf") == F.col("t_cf")) & (F.col("t_seq") > F.col("seq")) & (F.col("t_stripe") == F.col("stripe"))
-    return range_join(points, tombs, same, "left_anti", "key", "t_b", "t_e")
+    striped = log.withColumn("stripe", stripe(snapshots))
+    out = None
+    for k in range(len(snapshots) + 1):
+        one = uncovered(striped.where(F.col("stripe") == k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool = False) -> DataFrame:
@@ -38,8 +42,8 @@ def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool
     """
     snapshots = sorted(snapshots or [])
     points = _without_covered(log, snapshots)
-    by = Window.partitionBy("cf", "key", "stripe")
-    kept = points.withColumn("base_seq", F.max(F.when(F.col("op").isin(*BASES), F.col("seq"))).over(by)).where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1)))
+    bases = points.where(F.col("op").isin(*BASES)).groupBy("cf", "key", "stripe").agg(F.max("seq").alias("base_seq"))
+    kept = spread_join(points, bases, ["cf", "key", "stripe"], "left").where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1)))
     merge = F.col("op") == MERGE
     rows = kept.groupBy("cf", "key", "stripe").agg(
         F.max("seq").alias("seq"), F.max_by("op", "seq").alias("newest"), F.max(F.when(F.col("op").isin(*BASES), F.col("op"))).alias("base_op"),

@@ -1,7 +1,7 @@
 """State from the log: visibility, range deletions, base versions and merges.
 
 One plan serves all reads. Visibility (snapshot, read time) is filtered below everything else. Points under
-a newer range deletion go by a range anti join; then the newest base version of a key ends its history, and the
+a newer range deletion go: a search among the deletions' fragments where they are few, a range anti join else; then the newest base version of a key ends its history, and the
 merge operands above it are folded onto it, oldest first. Predicates on keys commute with all of that and
 reach the scan; predicates on values must stay above.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oplog import BASES, DELETIONS, MERGE, POINTS, RANGE_DELETE, VALUES
-from .ranges import range_join
+from .ranges import FEW, cover, range_join, sweep
+from .skew import spread_join
 
 #: name -> (base value, operands oldest first as an array of struct(seq, value)) -> folded value
 Fold = Callable[[Column, Column], Column]
@@ -28,18 +29,37 @@ def visible(log: DataFrame, snapshot: int | None = None, read_ts: int | None = N
     return log
 
 
-def uncovered(log: DataFrame) -> DataFrame:
-    """Point records that no newer range deletion covers: its number must be strictly larger."""
+def uncovered(log: DataFrame, few: int = FEW) -> DataFrame:
+    """Point records that no newer range deletion covers: its number must be strictly larger.
+
+    Up to ``few`` range deletions are cut into fragments, each with its newest number, and searched in place, with no join.
+    """
     points = log.where(F.col("op").isin(*POINTS))
-    tombs = log.where((F.col("op") == RANGE_DELETE) & (F.col("key") < F.col("end_key"))).select(F.col("cf").alias("t_cf"), F.col("key").alias("t_begin"), F.col("end_key").alias("t_end"), F.col("seq").alias("t_seq"))
+    tombs = log.where((F.col("op") == RANGE_DELETE) & (F.col("key") < F.col("end_key")))
+    found = tombs.select("cf", "key", "end_key", "seq").limit(few + 1).collect()
+    families = {r["cf"] for r in found}
+    if len(found) <= few and len(families) <= 64:
+        newest = F.lit(None).cast("bigint")
+        for cf in sorted(families, key=str):
+            pieces = sweep([(r["key"], r["end_key"], r["seq"]) for r in found if r["cf"] == cf])
+            newest = F.when(F.col("cf") == F.lit(cf), cover(F.col("key"), pieces)).otherwise(newest)
+        return points.where(F.coalesce(newest <= F.col("seq"), F.lit(True))) if families else points
+    tombs = tombs.select(F.col("cf").alias("t_cf"), F.col("key").alias("t_begin"), F.col("end_key").alias("t_end"), F.col("seq").alias("t_seq"))
     return range_join(points, tombs, (F.col("cf") == F.col("t_cf")) & (F.col("t_seq") > F.col("seq")), "left_anti", "key", "t_begin", "t_end")
 
 
+def of_keys(log: DataFrame, keys: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """The records that decide the given keys: their points, and all range deletions. Reads of some keys need no others."""
+    keys = keys.select("key").distinct().withColumn("asked__", F.lit(True))
+    keys = F.broadcast(keys) if keys.count() <= few else keys
+    return log.join(keys, "key", "left").where(F.col("asked__") | (F.col("op") == RANGE_DELETE)).drop("asked__").select(*log.columns)
+
+
 def live_records(log: DataFrame, ranges: bool = True) -> DataFrame:
     """The records that decide each key: its newest base version, if any, and the operands above it."""
     points = uncovered(log) if ranges else log.where(F.col("op").isin(*POINTS))
-    base = F.max(F.when(F.col("op").isin(*BASES), F.col("seq"))).over(Window.partitionBy("cf", "key"))
-    return points.withColumn("base_seq", base).where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1)))
+    bases = points.where(F.col("op").isin(*BASES)).groupBy("cf", "key").agg(F.max("seq").alias("base_seq"))
+    return spread_join(points, bases, ["cf", "key"], "left").where(F.col("seq") >= F.coalesce("base_seq", F.lit(-1)))
 
 
 #: A key's history is folded in spans of so many sequence numbers first, so that a hot key is no single task's.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import cut_points
+from .ranges import cut_points, place
 
 #: Probe tables of more rows are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -16,7 +16,7 @@ def _probe_hint(keys: DataFrame) -> DataFrame:
 
 
 def multi_get(state: DataFrame, keys: DataFrame, on: str | list[str] = "key") -> DataFrame:
-    """Every probe with its value and a status; the state is first cut down to the probed keys."""
+    """Every probe with its value and a status. State should come from the probed keys' records (``resolve.of_keys``), not from all."""
     on = [on] if isinstance(on, str) else on
     hits = state.join(_probe_hint(keys.select(*on).distinct()), on, "left_semi").withColumn("found__", F.lit(True))
     return keys.join(hits, on, "left").withColumn("status", F.when(F.col("found__"), "OK").otherwise("NotFound")).drop("found__")
@@ -41,19 +41,35 @@ def prefix_scan(state: DataFrame, prefix: str, key: str = "key") -> DataFrame:
     return state.where(F.startswith(F.col(key), F.lit(prefix)))
 
 
-def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "key", probe: str = "probe", buckets: int = 64) -> DataFrame:
+#: Probes that the plan holds at most.
+FEW = 10_000
+
+
+def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "key", probe: str = "probe", few: int = FEW) -> DataFrame:
     """(probe, key): for each probe the first key >= it, or with ``forward=False`` the last key <= it; null if none.
 
-    Keys and probes are dealt into ranges; each range is sorted on its own, and a summary of one row for each
-    range tells what lies beyond its edge. No single task orders all keys.
+    Few probes cut the keys into slots: one pass takes each slot's first or last key, before any shuffle, and the
+    slots beyond a probe's own are looked through in order. Many probes meet the keys in buckets between quantiles of the probes.
     """
-    cuts = cut_points(state, key, buckets)
-    place = lambda c: F.size(F.filter(F.lit(cuts), lambda x: x <= c)) if cuts else F.lit(0)
     kind = state.schema[key].dataType
-    both = state.select(F.col(key).alias("k"), F.lit(False).alias("asked")).union(probes.select(F.col(probe).cast(kind).alias("k"), F.lit(True).alias("asked"))).withColumn("b", place(F.col("k")))
+    asked = probes.select(F.col(probe).cast(kind).alias("k"))
+    cuts = sorted({r[0] for r in asked.where("k IS NOT NULL").limit(few + 1).collect()})
+    rows = Window.orderBy("b")
+    if len(cuts) <= few and asked.count() <= few:
+        slot = place(F.col(key), cuts)
+        if not forward:  # a key that equals a probe lies before it
+            slot = F.when(F.get(F.lit(cuts), slot - 1) == F.col(key), slot - 1).otherwise(slot) if cuts else slot
+        edge = state.where(F.col(key).isNotNull()).groupBy(slot.alias("b")).agg((F.min(key) if forward else F.max(key)).alias("edge"))
+        all_slots = asked.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("b")).coalesce(1)
+        frame = rows.rowsBetween(Window.currentRow, Window.unboundedFollowing) if forward else rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        nearest = all_slots.join(edge, "b", "left").select("b", (F.min("edge") if forward else F.max("edge")).over(frame).alias("near"))
+        # a probe's keys begin in the slot after the cut that it is, or end in the slot before it
+        own = probes.withColumn("b", (place(F.col(probe).cast(kind), cuts) - F.lit(0 if forward else 1)).cast("int"))
+        return own.join(F.broadcast(nearest), "b", "left").select(probe, F.when(F.col(probe).isNotNull(), F.col("near")).alias(key))
+    cuts = cut_points(asked, "k", max(2, -(-asked.count() // few)))
+    both = state.select(F.col(key).alias("k"), F.lit(False).alias("asked")).union(asked.withColumn("asked", F.lit(True))).withColumn("b", place(F.col("k"), cuts))
     own = F.when(~F.col("asked"), F.col("k"))
     edge = both.groupBy("b").agg((F.min(own) if forward else F.max(own)).alias("edge"))
-    rows = Window.orderBy("b")
     rows = rows.rowsBetween(1, Window.unboundedFollowing) if forward else rows.rowsBetween(Window.unboundedPreceding, -1)
     beyond = edge.select("b", (F.min("edge") if forward else F.max("edge")).over(rows).alias("beyond"))
     inner = Window.partitionBy("b").orderBy("k")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oplog import DELETIONS, MERGE, RANGE_DELETE, VALUES
-from .ranges import cut_points, range_join
+from .ranges import cut_points, place, range_join
+from .scan import seek
 
 
 def range_sizes(rows: DataFrame, ranges: DataFrame, key: str = "key", size: str = "size") -> DataFrame:
@@ -15,14 +16,14 @@ def range_sizes(rows: DataFrame, ranges: DataFrame, key: str = "key", size: str
     return ranges.select("range_id").join(hit, "range_id", "left").select("range_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def key_anchors(rows: DataFrame, n: int, key: str = "key", buckets: int = 64) -> DataFrame:
+def key_anchors(rows: DataFrame, n: int, key: str = "key", run: int = 1_000_000, least: int = 64) -> DataFrame:
     """(anchor, first_key, n): first keys of n runs of about equal size.
 
-    Exact ranks without one task that sorts all: rows are dealt into ranges of keys and sorted there, ranges'
+    Exact ranks without one task that sorts all: rows are dealt into ranges of about ``run`` rows and sorted there, ranges'
     counts give each one its first rank, and a row's rank is that plus its place.
     """
-    cuts = cut_points(rows, key, buckets)
-    ordered = rows.select(key).withColumn("p", F.size(F.filter(F.lit(cuts), lambda x: x <= F.col(key))) if cuts else F.lit(0))
+    cuts = cut_points(rows, key, max(least, rows.count() // run))
+    ordered = rows.select(key).withColumn("p", place(F.col(key), cuts))
     counts = ordered.groupBy("p").agg(F.count("*").alias("c"))
     before = counts.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("total"))
     ranked = ordered.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1).join(F.broadcast(before), "p").withColumn("rank", F.col("before") + F.col("at"))
@@ -83,18 +84,29 @@ def order_check(rows: DataFrame, key: str = "key", seq: str = "seq") -> DataFram
     return rows.withColumn("bad", F.coalesce(bad, F.lit(False))).groupBy("file").agg(F.count("*").alias("n"), F.count_if("bad").alias("out_of_order"))
 
 
+def rising(pairs: DataFrame, run: int = 1 << 20) -> DataFrame:
+    """Pairs (seq, time) whose times ascend with their numbers: each gets the latest time so far, and of equal times the greatest number stays.
+
+    Numbers are dealt into runs: each is done on its own, and a row for each run tells the latest time before it.
+    """
+    rows = pairs.withColumn("run__", F.expr(f"seq div {run}"))
+    before = rows.groupBy("run__").agg(F.max("time").alias("t")).select("run__", F.max("t").over(Window.orderBy("run__").rowsBetween(Window.unboundedPreceding, -1)).alias("before__"))
+    inside = F.max("time").over(Window.partitionBy("run__").orderBy("seq"))
+    top = rows.withColumn("time", inside).join(before, "run__").select("seq", F.greatest("time", "before__").alias("time"))
+    return top.groupBy("time").agg(F.max("seq").alias("seq")).select("seq", "time")
+
+
 def sequence_times(probes: DataFrame, pairs: DataFrame, to_time: bool) -> DataFrame:
     """(…probe, answer) by pairs (seq, time), each ascending with the other.
 
     To time: the time of the greatest pair with pair.seq < seq, strictly. To sequence: that of the greatest pair with
-    pair.time <= t. Null where none is known. Pairs are a bounded mapping, so a window by bucket isn't needed: the
-    answer is an array search in a literal-sized broadcast.
+    pair.time <= t. Null where none is known. Probes seek their pair; neither side is gathered.
     """
-    rows = F.broadcast(pairs.agg(F.array_sort(F.collect_list(F.struct("seq", "time"))).alias("pairs")))
-    ok = (lambda p: p["seq"] < F.col("probe")) if to_time else (lambda p: p["time"] <= F.col("probe"))
-    found = F.filter("pairs", ok)
-    answer = F.when(F.size(found) > 0, F.element_at(found, -1)["time" if to_time else "seq"])
-    return probes.crossJoin(rows).withColumn("answer", answer).drop("pairs")
+    by, other = ("seq", "time") if to_time else ("time", "seq")
+    asked = probes.select((F.col("probe") - F.lit(1 if to_time else 0)).alias("at__")).distinct()
+    near = seek(pairs, asked, False, by, "at__")
+    found = near.join(pairs, by).select("at__", F.col(other).alias("answer"))
+    return probes.withColumn("at__", F.col("probe") - F.lit(1 if to_time else 0)).join(found, "at__", "left").drop("at__")
 
 
 def windowed(rows: DataFrame, time: str, value: str, width: int) -> DataFrame:

@@ -64,15 +64,15 @@ def coverage(keyspace: DataFrame, trace: DataFrame) -> DataFrame:
 def skewness(counts: DataFrame, parts: int) -> DataFrame:
     """(decile, keys, accesses) of keys (key, n) in ``parts`` equal runs, the most accessed first.
 
-    Keys with equal counts are numbered within their count, and counts are few, so that no task ranks all keys.
+    Keys of one count are interchangeable here, so that only the different counts are ranked, with how many keys have each.
     """
-    w = Window.partitionBy("n").orderBy("key")
     sizes = counts.groupBy("n").agg(F.count("*").alias("c"))
-    before = sizes.select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("total"))
-    at = counts.withColumn("place", F.row_number().over(w) - 1).join(before, "n").withColumn("rank", F.col("before") + F.col("place"))
-    small, extra = F.floor(F.col("total") / parts), F.col("total") % parts
-    part = F.when(F.col("rank") < extra * (small + 1), F.floor(F.col("rank") / (small + 1))).otherwise(extra + F.floor((F.col("rank") - extra * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
-    return at.groupBy(part.cast("int").alias("decile")).agg(F.count("*").alias("keys"), F.sum("n").alias("accesses"))
+    before = sizes.select("n", "c", F.coalesce(F.sum("c").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("a"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("total"))
+    small, extra = F.expr(f"total div {parts}"), F.col("total") % parts
+    first = lambda p: p * small + F.least(p, extra)  # noqa: E731  the first rank of part p, counted from 0
+    each = before.withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    keys = F.least(F.col("a") + F.col("c"), first(F.col("p") + 1)) - F.greatest(F.col("a"), first(F.col("p")))
+    return each.withColumn("keys", keys).where("keys > 0").groupBy((F.col("p") + 1).cast("int").alias("decile")).agg(F.sum("keys").alias("keys"), F.sum(F.col("keys") * F.col("n")).alias("accesses"))
 
 
 def locality(trace: DataFrame, width: int) -> DataFrame:

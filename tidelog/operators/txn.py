@@ -44,6 +44,12 @@ def batch_counts(batch: DataFrame, by: str = "batch_id") -> DataFrame:
     )
 
 
+def stamped(batches: DataFrame, by: str = "batch_id") -> DataFrame:
+    """The records of each batch with one timestamp, the newest among them."""
+    times = batches.groupBy(by).agg(F.max("ts").alias("ts"))
+    return batches.drop("ts").join(times, by)
+
+
 def lock_overlaps(held: DataFrame, wanted: DataFrame, buckets: int = 32) -> DataFrame:
     """(waiter, holder): requests [w_lo, w_hi] that touch a held range [lo, hi] of another owner, bounds inclusive.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import oplog as L
 from ..operators import stats, txn
-from ..operators.resolve import latest, resolve
+from ..operators.resolve import latest, of_keys, resolve
 from .registry import EV, ORD, query, resolved
 
 
@@ -158,8 +158,7 @@ def _seq_probes(spark, sf):
 def _pairs(spark, sf):
     """A mapping of sequence numbers to times that ascends in both: of each hundredth order, the latest time so far."""
     pairs = L.op_orders(spark, sf).where("seq % 100 = 0").groupBy("seq").agg(F.max("ts").alias("time"))
-    rising = pairs.select("seq", F.max("time").over(Window.orderBy("seq")).alias("time"))
-    return rising.groupBy("time").agg(F.max("seq").alias("seq")).select("seq", "time")
+    return stats.rising(pairs)
 
 
 @query(f"WITH {ORD} SELECT max(seq) AS latest_seq, count(*) AS n FROM o")
@@ -172,8 +171,9 @@ def get_for_update(spark, sf):
     """Values with the sequence number that a commit must find unchanged."""
     from ..operators.scan import multi_get
 
-    tracked = L.op_orders(spark, sf).groupBy("key").agg(F.max("seq").alias("tracked_seq"))
-    read = multi_get(resolve(L.op_events(spark, sf)).select("key", "value"), L.probe_keys(spark, sf)).drop("status")
+    keys = L.probe_keys(spark, sf)
+    tracked = of_keys(L.op_orders(spark, sf), keys).groupBy("key").agg(F.max("seq").alias("tracked_seq"))
+    read = multi_get(resolve(of_keys(L.op_events(spark, sf), keys)).select("key", "value"), keys).drop("status")
     return read.join(tracked, "key", "left").select("key", "value", "tracked_seq")
 
 
@@ -197,7 +197,7 @@ def merge_ttl(spark, sf):
     return resolve(L.op_events(spark, sf)).where("n_operands > 0").select("key", "value", F.lit(1_700_000_000).cast("bigint").alias("write_time"))
 
 
-@query(f"WITH {EV} SELECT key, seq, op, CAST(1234 AS BIGINT) AS ts FROM ev WHERE seq // 100 = 3")
+@query(f"WITH {EV} SELECT key, seq, op, max(ts) OVER (PARTITION BY seq // 100) AS ts FROM ev")
 def batch_timestamps(spark, sf):
-    """Batches whose records all get one commit time."""
-    return L.op_events(spark, sf).select("key", "seq", "op", F.lit(1234).cast("bigint").alias("ts"))
+    """Batches whose records all get one time: that of their last one's commit."""
+    return txn.stamped(L.op_events(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 100))).select("key", "seq", "op", "ts")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import oplog as L
 from ..operators import cache, stats, trace
-from .registry import DKV, EV, TR, query
+from .registry import DKV, EV, TR, query, resolved
 
 _RANGES = "r AS (SELECT CAST(n_nationkey AS BIGINT) AS range_id, 'src' || CAST(n_nationkey AS VARCHAR) AS b, 'src' || CAST(n_nationkey AS VARCHAR) || ':5' AS e FROM nation)"
 
@@ -202,12 +202,12 @@ def trace_sampled(spark, sf):
     return trace.sampled(L.trace(spark, sf), 10, ["DELETE"]).select("type", "key", "seq")
 
 
-@query(f"WITH {TR}, p AS (SELECT key, seq, type, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM tr WHERE type IN ('PUT', 'DELETE')) SELECT key, seq FROM p WHERE n = 1 AND type = 'PUT'")
+@query(f"WITH {TR}, w AS (SELECT key, seq, type AS op, value_size AS value FROM tr WHERE type IN ('PUT', 'DELETE', 'MERGE')), {resolved('w', ranges=False)} SELECT key, seq, value, n_operands FROM res")
 def trace_replay(spark, sf):
     """The state after a trace's writes are done again."""
     from ..operators.resolve import resolve
 
-    return resolve(trace.as_log(L.trace(spark, sf)), ranges=False).select("key", "seq")
+    return resolve(trace.as_log(L.trace(spark, sf)), ranges=False).select("key", "seq", "value", "n_operands")
 
 
 @query(f"WITH {EV} SELECT CAST(floor(ts / 86400000000.0) AS BIGINT) AS slot, count(value) AS n, min(value) AS least, max(value) AS most, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * value) AS BIGINT) AS squares FROM ev GROUP BY 1")

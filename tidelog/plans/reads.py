@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import oplog as L
 from ..functions import prefixes
 from ..operators import scan
-from ..operators.resolve import latest, live_records, operands, resolve, uncovered
+from ..operators.resolve import latest, live_records, of_keys, operands, resolve, uncovered
 from .registry import DKV, EV, ORD, PROBE, query, resolved
 
 SNAPSHOT, READ_TS = 5000, 852076800000000  # the latter is 1997-01-01
@@ -33,14 +33,15 @@ def get_point(spark, sf):
     return resolve(L.op_events(spark, sf)).where("key = 42").select("key", "value", "seq")
 
 
-@query(f"WITH {ORD}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM o WHERE ts <= {READ_TS}) SELECT key, value, ts FROM r WHERE n = 1 AND key <= 100")
+@query(f"WITH {ORD}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM o WHERE ts <= {READ_TS}) SELECT key, value, ts FROM r WHERE n = 1")
 def get_with_timestamp(spark, sf):
     return latest(L.op_orders(spark, sf), read_ts=READ_TS).select("key", "value", "ts")
 
 
 @query(f"WITH {EV}, {PROBE}, {resolved()} SELECT probe.key, res.value, CASE WHEN res.key IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM probe LEFT JOIN res ON probe.key = res.key")
 def multiget_status(spark, sf):
-    return scan.multi_get(resolve(L.op_events(spark, sf)).select("key", "value"), L.probe_keys(spark, sf))
+    keys = L.probe_keys(spark, sf)
+    return scan.multi_get(resolve(of_keys(L.op_events(spark, sf), keys)).select("key", "value"), keys)
 
 
 @query(
@@ -48,14 +49,16 @@ def multiget_status(spark, sf):
     "want AS (SELECT c.cf, key FROM probe CROSS JOIN (VALUES ('events'), ('orders')) c(cf)) SELECT want.cf, want.key, st.value, CASE WHEN st.key IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM want LEFT JOIN st ON st.cf = want.cf AND st.key = want.key"
 )
 def multiget_multi_cf(spark, sf):
-    state = resolve(L.op_events(spark, sf)).select("cf", "key", "value").union(latest(L.op_orders(spark, sf)).select("cf", "key", "value"))
-    keys = L.probe_keys(spark, sf).select(F.explode(F.lit(["events", "orders"])).alias("cf"), "key")
+    keys = L.probe_keys(spark, sf)
+    state = resolve(of_keys(L.op_events(spark, sf), keys)).select("cf", "key", "value").union(latest(of_keys(L.op_orders(spark, sf), keys)).select("cf", "key", "value"))
+    keys = keys.select(F.explode(F.lit(["events", "orders"])).alias("cf"), "key")
     return scan.multi_get(state, keys, ["cf", "key"])
 
 
 @query(f"WITH {EV}, {PROBE}, {resolved()} SELECT key FROM probe WHERE key IN (SELECT key FROM res)")
 def key_may_exist(spark, sf):
-    return scan.may_exist(resolve(L.op_events(spark, sf)), L.probe_keys(spark, sf))
+    keys = L.probe_keys(spark, sf)
+    return scan.may_exist(resolve(of_keys(L.op_events(spark, sf), keys)), keys)
 
 
 @query(f"WITH {EV}, s AS (SELECT * FROM ev WHERE seq <= {SNAPSHOT}), {resolved('s')} SELECT key, value, seq FROM res")

@@ -50,7 +50,10 @@ g AS (SELECT key, stripe, max(seq) AS seq, count(*) FILTER (op = 'MERGE') AS m,
 c AS (SELECT key, stripe, seq, CASE WHEN m = 0 THEN base_op WHEN base_op IS NULL THEN 'MERGE' ELSE 'PUT' END AS op, CAST(CASE WHEN m > 0 THEN coalesce(base, 0) + folded ELSE base END AS BIGINT) AS value FROM g)"""
 
 
-@query(_COMPACT + " SELECT key, seq, op, value FROM c")
+_LEFT = "SELECT key, seq, op, CAST(NULL AS BIGINT), end_key FROM s WHERE op = 'RANGE_DELETE' AND key < end_key"
+
+
+@query(_COMPACT + f" SELECT key, seq, op, value, CAST(NULL AS BIGINT) AS end_key FROM c UNION ALL {_LEFT}")
 def compact_merge_collapse(spark, sf):
     return C.rewrite(L.op_events(spark, sf), [S1, S2, S3]).select("key", "seq", "op", "value", "end_key")
 
@@ -59,7 +62,10 @@ _BOTTOM = (
     _COMPACT
     + """, d AS (SELECT *, coalesce(max(CASE WHEN op <> 'DELETE' THEN 1 END) OVER (PARTITION BY key ORDER BY stripe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
 k AS (SELECT *, min(stripe) OVER (PARTITION BY key) AS lowest FROM d WHERE NOT (op = 'DELETE' AND below = 0))
-SELECT key, CAST(CASE WHEN stripe = 0 AND op <> 'DELETE' THEN 0 ELSE seq END AS BIGINT) AS seq, CASE WHEN op = 'MERGE' AND stripe = lowest THEN 'PUT' ELSE op END AS op, value FROM k"""
+SELECT key, CAST(CASE WHEN stripe = 0 AND op <> 'DELETE' THEN 0 ELSE seq END AS BIGINT) AS seq, CASE WHEN op = 'MERGE' AND stripe = lowest THEN 'PUT' ELSE op END AS op, value, CAST(NULL AS BIGINT) AS end_key FROM k
+UNION ALL """
+    + _LEFT
+    + " AND stripe > 0"
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import oplog as L
 from ..shared import shared_folder
 from ..streaming import streams
-from .registry import EV, query
+from .registry import EV, query, resolved
 
 
 def _folder(spark) -> str:
@@ -24,14 +24,14 @@ def _log(spark, sf):
     return folder, streams.tail(spark, f"{folder}/log", log.schema, 1)
 
 
-@query(f"WITH {EV} SELECT key, seq, op, value FROM ev WHERE op <> 'RANGE_DELETE'")
+@query(f"WITH {EV} SELECT key, seq, op, value, end_key FROM ev")
 def cdc_stream(spark, sf):
     folder, stream = _log(spark, sf)
     streams.capture(stream, f"{folder}/out", f"{folder}/offsets")
     return spark.read.parquet(f"{folder}/out").select("key", "seq", "op", "value", "end_key")
 
 
-@query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM ev WHERE op <> 'RANGE_DELETE') SELECT key, value, seq FROM r WHERE n = 1 AND op <> 'DELETE'")
+@query(f"WITH {EV}, {resolved()} SELECT key, value, seq FROM res")
 def replica_stream(spark, sf):
     folder, stream = _log(spark, sf)
     streams.replica(stream, f"{folder}/out", f"{folder}/offsets")
