@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..oplog import BASES, DELETIONS, MERGE, POINTS, PUT, RANGE_DELETE, SINGLE_DELETE, VALUES
+from ..oplog import BASES, DELETIONS, ENTITY, MERGE, POINTS, PUT, RANGE_DELETE, SINGLE_DELETE, VALUES
 from .ranges import range_join
 from .resolve import uncovered
 from .skew import spread_join
@@ -36,7 +36,7 @@ def _without_covered(log: DataFrame, snapshots: list[int]) -> DataFrame:
 
 
 def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool = False) -> DataFrame:
-    """(cf, key, seq, op, value): what is left of puts, deletions and merges, the latter added up within a stripe; ``rewrite`` has range deletions, too.
+    """(cf, key, seq, op, value, and ts, write_time and cols if the log has them): what is left of puts, deletions and merges, the latter added up within a stripe; ``rewrite`` has range deletions, too.
 
     A merge chain folds onto the base below it only if no snapshot lies between; else its sum stays a merge.
     """
@@ -48,12 +48,14 @@ def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool
     rows = kept.groupBy("cf", "key", "stripe").agg(
         F.max("seq").alias("seq"), F.max_by("op", "seq").alias("newest"), F.max(F.when(F.col("op").isin(*BASES), F.col("op"))).alias("base_op"),
         F.max(F.when(F.col("op").isin(*VALUES), F.col("value"))).alias("base"), F.sum(F.when(merge, F.col("value"))).alias("folded"), F.count_if(merge).alias("n_merges"),
+        *(F.max_by(c, "seq").alias(c) for c in ("ts", "write_time") if c in log.columns), *(F.max_by("cols", F.when(F.col("op") == ENTITY, F.col("seq"))).alias(c) for c in ("cols",) if c in log.columns),
     )
+    more = [c for c in ("ts", "write_time", "cols") if c in log.columns]
     op = F.when(F.col("n_merges") == 0, F.col("base_op")).when(F.col("base_op").isNull(), MERGE).otherwise(PUT)
     value = F.when(F.col("n_merges") > 0, F.coalesce("base", F.lit(0)) + F.col("folded")).otherwise(F.col("base"))
-    rows = rows.select("cf", "key", "stripe", "seq", op.alias("op"), value.alias("value"))
+    rows = rows.select("cf", "key", "stripe", "seq", op.alias("op"), value.alias("value"), *more)
     if not bottommost:
-        return rows.select("cf", "key", "seq", "op", "value")
+        return rows.select("cf", "key", "seq", "op", "value", *more)
     # from the oldest stripe up: a deletion stays only if a value is left below it
     older = Window.partitionBy("cf", "key").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
     gone = F.col("op").isin(*DELETIONS) & (F.coalesce(F.max(F.when(~F.col("op").isin(*DELETIONS), 1)).over(older), F.lit(0)) == 0)
@@ -62,7 +64,7 @@ def compact(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool
     lowest = F.min("stripe").over(Window.partitionBy("cf", "key"))
     final = rows.withColumn("op", F.when((F.col("op") == MERGE) & (F.col("stripe") == lowest), PUT).otherwise(F.col("op")))
     zero = (F.col("stripe") == 0) & ~F.col("op").isin(*DELETIONS)
-    return final.select("cf", "key", F.when(zero, F.lit(0)).otherwise(F.col("seq")).cast("bigint").alias("seq"), "op", "value")
+    return final.select("cf", "key", F.when(zero, F.lit(0)).otherwise(F.col("seq")).cast("bigint").alias("seq"), "op", "value", *more)
 
 
 def rewrite(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool = False) -> DataFrame:
@@ -76,7 +78,7 @@ def rewrite(log: DataFrame, snapshots: list[int] | None = None, bottommost: bool
     if bottommost:
         tombs = tombs.where(stripe(snapshots) > 0)
     left = compact(log, snapshots, bottommost)
-    return left.withColumn("end_key", F.lit(None).cast(log.schema["end_key"].dataType)).unionByName(tombs.select("cf", "key", "seq", "op", F.lit(None).cast(left.schema["value"].dataType).alias("value"), "end_key"))
+    return left.withColumn("end_key", F.lit(None).cast(log.schema["end_key"].dataType)).unionByName(tombs.select("cf", "key", "seq", "op", F.lit(None).cast(left.schema["value"].dataType).alias("value"), "end_key"), allowMissingColumns=True)
 
 
 def annihilate_single_deletes(log: DataFrame, snapshots: list[int] | None = None) -> DataFrame:
