@@ -96,7 +96,7 @@ def one(spark, column, values, kind):
 
 
 def test_codecs(spark):
-    numbers = [0, 1, 127, 128, 300, 16383, 16384, 1 << 40]
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, 1 << 40, (1 << 53) + 1, (1 << 60) + 12345, (1 << 62) + 3, (1 << 63) - 1]
     packed = [bytes(x) for x in one(spark, codecs.encode_varint, numbers, "bigint")]
 
     def varint(n):

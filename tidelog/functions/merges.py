@@ -66,6 +66,19 @@ def bytes_xor(base: Column, operands: Column) -> Column:
     return F.aggregate(whole, F.lit(None).cast("binary"), step)
 
 
+def with_times(operator: Operator) -> Operator:
+    """An operator over values that carry a write time: struct(value, write_time). The result has the newest time of what went into it."""
+
+    def fold(base: Column, operands: Column) -> Column:
+        plain = F.transform(operands, lambda x: F.struct(x["seq"].alias("seq"), x["value"]["value"].alias("value")))
+        times = F.transform(operands, lambda x: x["value"]["write_time"])
+        value = operator(base["value"], plain)
+        # the result takes the place of a value, so that it has a value's type
+        return F.struct(value.cast("bigint").alias("value"), F.array_max(F.concat(F.array_compact(F.array(base["write_time"])), times)).alias("write_time"))
+
+    return fold
+
+
 def last_n(n: int) -> Operator:
     """Only the newest n operands count and the base does not: an operator that stops the search early."""
     return lambda base, operands: F.aggregate(F.slice(values(operands), F.greatest(F.lit(1), F.size(operands) - n + 1), n), F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -37,6 +37,25 @@ def scan(state: DataFrame, lower=None, upper=None, reverse: bool = False, limit:
     return out.limit(limit) if limit is not None else out
 
 
+def numbered(rows: DataFrame, key: str = "key", run: int = 1_000_000, least: int = 8) -> DataFrame:
+    """Rows with their ``position`` in key order, from 1: ranges of keys are ordered apart, and a row for each tells how many come before it."""
+    cuts = cut_points(rows, key, max(least, rows.count() // run))
+    dealt = rows.withColumn("p__", place(F.col(key), cuts))
+    before = dealt.groupBy("p__").agg(F.count("*").alias("c")).select("p__", F.coalesce(F.sum("c").over(Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    return dealt.withColumn("at__", F.row_number().over(Window.partitionBy("p__").orderBy(key))).join(F.broadcast(before), "p__").withColumn("position", F.col("before__") + F.col("at__")).drop("p__", "at__", "before__")
+
+
+def coalesced(states: dict[str, DataFrame], key: str = "key", value: str = "value") -> DataFrame:
+    """(key, value, family): one entry for a key of several families, that of the first family that has it."""
+    order = list(states)
+    rows = None
+    for n, name in enumerate(order):
+        one = states[name].select(key, F.col(value).alias("v__"), F.lit(n).alias("n__"))
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.groupBy(key).agg(F.min(F.struct("n__", "v__")).alias("f"))
+    return first.select(key, F.col("f.v__").alias(value), F.get(F.lit(order), F.col("f.n__")).alias("family"))
+
+
 def prefix_scan(state: DataFrame, prefix: str, key: str = "key") -> DataFrame:
     return state.where(F.startswith(F.col(key), F.lit(prefix)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oplog import RANGE_DELETE
@@ -23,6 +23,46 @@ def committed_at(prepared: DataFrame, commits: DataFrame, snapshot: int) -> Data
     return prepared.join(seen, "txn_id").withColumn("seq", F.col("commit_seq")).drop("commit_seq")
 
 
+#: What a reader without a snapshot sees of each state of a transaction, by write policy: whether its data are in the log, and whether they show.
+POLICIES = {"committed": {"COMMITTED"}, "prepared": {"COMMITTED", "PREPARED", "ROLLED_BACK"}, "unprepared": {"COMMITTED", "PREPARED", "ROLLED_BACK", "OPEN"}}
+
+
+def written_and_visible(writes: DataFrame, ends: DataFrame, policy: str) -> DataFrame:
+    """(…write, state, written, visible): a transaction (txn_id) without an end is open.
+
+    Write-committed transactions enter the log at their commit; write-prepared ones when they are prepared; write-unprepared
+    ones as they go. Only committed data show, whatever is in the log.
+    """
+    state = F.coalesce("state", F.lit("OPEN"))
+    rows = writes.join(ends.select("txn_id", "state"), "txn_id", "left").withColumn("state", state)
+    return rows.withColumn("written", F.col("state").isin(*POLICIES[policy])).withColumn("visible", F.col("state") == "COMMITTED")
+
+
+def tracked(operations: DataFrame) -> DataFrame:
+    """(txn, key, exclusive) that each transaction holds in the end, from operations (txn, key, n, kind) in the order of n.
+
+    READ (for update), WRITE and UNDO track a key, shared or exclusive, and untrack it; UNTRACKED writes never do. An undo takes back one
+    read for update, and has no effect on a key that was written.
+    """
+    w = Window.partitionBy("txn", "key").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # undos beyond the reads so far have none to take back
+    step = F.when(F.col("kind") == "READ", 1).when(F.col("kind") == "UNDO", -1).otherwise(0)
+    run = operations.withColumn("sum__", F.sum(step).over(w)).withColumn("low__", F.least(F.lit(0), F.min("sum__").over(w)))
+    last = run.groupBy("txn", "key").agg(F.max_by(F.col("sum__") - F.col("low__"), "n").alias("reads"), F.bool_or(F.col("kind") == "WRITE").alias("exclusive"))
+    return last.where("reads > 0 OR exclusive").select("txn", "key", "exclusive")
+
+
+def commit_times(txns: DataFrame, committed: DataFrame) -> DataFrame:
+    """(txn, status) of transactions (txn, key, read_ts, commit_ts) against what is committed (key, ts).
+
+    A commit time must be later than the read time, and no key may have been committed after the read time.
+    """
+    newest = committed.groupBy("key").agg(F.max("ts").alias("newest__"))
+    rows = txns.join(newest, "key", "left")
+    one = rows.groupBy("txn").agg(F.bool_or(F.col("commit_ts") <= F.col("read_ts")).alias("early"), F.bool_or(F.coalesce(F.col("newest__") > F.col("read_ts"), F.lit(False))).alias("late"))
+    return one.select("txn", F.when(F.col("early"), "InvalidArgument").when(F.col("late"), "Busy").otherwise("OK").alias("status"))
+
+
 def overlay(log: DataFrame, batch: DataFrame) -> DataFrame:
     """The log with an uncommitted batch (…, ordinal) on top, so that its records are newer than all."""
     top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top__"))

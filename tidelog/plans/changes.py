@@ -81,14 +81,20 @@ def commit_visibility(spark, sf):
     return txn.committed_at(e, commits, 6000).select("event_id", "txn_id", "seq")
 
 
+_WAITS = "e AS (SELECT DISTINCT user_id AS a, (user_id * 3 + event_id % 7) % (SELECT max(user_id) + 1 FROM events) AS b FROM events WHERE event_type = 'error' AND value > 100 AND user_id <> (user_id * 3 + event_id % 7) % (SELECT max(user_id) + 1 FROM events))"
+
+
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 3 + n_regionkey) % 25 AS b FROM nation WHERE n_nationkey <> (n_nationkey * 3 + n_regionkey) % 25),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), cyc AS (SELECT a FROM r WHERE a = b)
-SELECT DISTINCT CAST(x.a AS BIGINT) AS node FROM e x WHERE (x.a IN (SELECT a FROM cyc) OR EXISTS (SELECT 1 FROM r p JOIN cyc ON p.b = x.a AND p.a = cyc.a)) AND (x.a IN (SELECT a FROM cyc) OR EXISTS (SELECT 1 FROM r q JOIN cyc ON q.a = x.a AND q.b = cyc.a))"""
+    f"""WITH RECURSIVE {_WAITS}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), cyc AS (SELECT a FROM r WHERE a = b),
+down AS (SELECT DISTINCT r.a AS x FROM r JOIN cyc ON r.b = cyc.a), up AS (SELECT DISTINCT r.b AS x FROM r JOIN cyc ON r.a = cyc.a)
+SELECT DISTINCT a AS node FROM e WHERE a IN (SELECT x FROM down) AND a IN (SELECT x FROM up)"""
 )
 def deadlock_cycles(spark, sf):
-    n = L.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("waiter"), ((F.col("n_nationkey") * 3 + F.col("n_regionkey")) % 25).cast("bigint").alias("holder"))
-    return txn.deadlocked(n)
+    """Users that wait for others, by what their errors say: those on a cycle, or between two."""
+    e = L.table(spark, sf, "events")
+    users = e.agg(F.max("user_id") + 1).first()[0]
+    holder = (F.col("user_id") * 3 + F.col("event_id") % 7) % users
+    return txn.deadlocked(e.where("event_type = 'error' AND value > 100").select(F.col("user_id").alias("waiter"), holder.alias("holder")))
 
 
 @query(f"WITH {EV}, f AS (SELECT key, seq, CASE WHEN seq % 13 = 0 THEN 'IGNORE' WHEN value % 97 = 0 AND seq > 4000 THEN 'STOP' ELSE 'CONTINUE' END AS d, value FROM ev) SELECT key, seq, value FROM f WHERE d = 'CONTINUE' AND seq < (SELECT coalesce(min(seq), 9223372036854775807) FROM f WHERE d = 'STOP')")
@@ -119,42 +125,20 @@ def cdc_since(spark, sf):
     return updates_since(L.op_events(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 100)), 9550).select("batch_id", "seq", "key", "op")
 
 
-@query(f"WITH {EV} SELECT count(*) AS n, count(*) AS n_matching, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS dangling, CAST(0 AS BIGINT) AS different FROM (SELECT DISTINCT o_orderkey FROM orders)")
-def index_consistency(spark, sf):
-    """Orders with an index from customers to orders, kept beside them."""
-    o = L.table(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("pk")).agg(F.max("o_custkey").alias("secondary"))
-    index = o.select("secondary", "pk")
-    return txn.index_check(o, index).select((F.col("matching") + F.col("missing") + F.col("different")).alias("n"), F.col("matching").alias("n_matching"), "missing", "dangling", "different")
-
+_PAIRS = f"""WITH {ORD}, pairs AS (SELECT seq, max(ts) AS time FROM o WHERE seq % 100 = 0 GROUP BY seq), m AS (SELECT max(seq) AS seq, time FROM (SELECT seq, max(time) OVER (ORDER BY seq) AS time FROM pairs) GROUP BY time)"""
 
-@query(f"WITH {ORD} SELECT file, count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM (SELECT key % 4 AS file FROM o) GROUP BY file")
-def output_validation(spark, sf):
-    rows = L.op_orders(spark, sf).withColumn("file", F.col("key") % 4)
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("key", F.col("seq").desc())))
-    return stats.order_check(rows)
 
-
-@query(
-    f"""WITH {ORD}, pairs AS (SELECT seq, ts AS time FROM o WHERE seq % 100 = 0 QUALIFY row_number() OVER (PARTITION BY seq) = 1), m AS (SELECT max(seq) AS seq, time FROM (SELECT seq, max(time) OVER (ORDER BY seq) AS time FROM pairs) GROUP BY time)
-SELECT p.probe, (SELECT m.time FROM m WHERE m.seq < p.probe ORDER BY m.seq DESC LIMIT 1) AS answer FROM (SELECT CAST(n_nationkey * 613 AS BIGINT) AS probe FROM nation) p"""
-)
+@query(_PAIRS + " SELECT p.probe, m.time AS answer FROM (SELECT DISTINCT event_id AS probe FROM events) p ASOF LEFT JOIN m ON p.probe > m.seq")
 def seq_to_time(spark, sf):
-    return stats.sequence_times(_seq_probes(spark, sf), _pairs(spark, sf), True)
+    return stats.sequence_times(L.table(spark, sf, "events").select(F.col("event_id").alias("probe")).distinct(), _pairs(spark, sf), True)
 
 
-@query(
-    f"""WITH {ORD}, pairs AS (SELECT seq, ts AS time FROM o WHERE seq % 100 = 0 QUALIFY row_number() OVER (PARTITION BY seq) = 1), m AS (SELECT max(seq) AS seq, time FROM (SELECT seq, max(time) OVER (ORDER BY seq) AS time FROM pairs) GROUP BY time)
-SELECT p.probe, (SELECT m.seq FROM m WHERE m.time <= p.probe ORDER BY m.time DESC LIMIT 1) AS answer FROM (SELECT 694224000000000 + CAST(n_nationkey AS BIGINT) * 8640000000000 AS probe FROM nation) p"""
-)
+@query(_PAIRS + " SELECT p.probe, m.seq AS answer FROM (SELECT DISTINCT ts + 3600000000 AS probe FROM o) p ASOF LEFT JOIN m ON p.probe >= m.time")
 def time_to_seq(spark, sf):
-    probes = L.table(spark, sf, "nation").select((F.lit(694_224_000_000_000) + F.col("n_nationkey").cast("bigint") * 8_640_000_000_000).alias("probe"))
+    probes = L.op_orders(spark, sf).select((F.col("ts") + 3_600_000_000).alias("probe")).distinct()
     return stats.sequence_times(probes, _pairs(spark, sf), False)
 
 
-def _seq_probes(spark, sf):
-    return L.table(spark, sf, "nation").select((F.col("n_nationkey") * 613).cast("bigint").alias("probe"))
-
-
 def _pairs(spark, sf):
     """A mapping of sequence numbers to times that ascends in both: of each hundredth order, the latest time so far."""
     pairs = L.op_orders(spark, sf).where("seq % 100 = 0").groupBy("seq").agg(F.max("ts").alias("time"))
@@ -177,27 +161,79 @@ def get_for_update(spark, sf):
     return read.join(tracked, "key", "left").select("key", "value", "tracked_seq")
 
 
-@query(f"WITH {ORD} SELECT key % 8 AS part, count(*) AS n, max(seq) AS last_seq FROM o GROUP BY 1")
-def partitioned_output(spark, sf):
-    """A partitioner's files: records by the partition of their key."""
-    return L.op_orders(spark, sf).groupBy((F.col("key") % 8).alias("part")).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
-
-
-@query("SELECT c_custkey AS pk, 'new' AS change FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'gone' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")
-def backup_diff(spark, sf):
-    """What two backups don't share: rows of the newer one alone, and of the older one alone."""
-    c = L.table(spark, sf, "customer").select(F.col("c_custkey").alias("pk"), "c_mktsegment", "c_acctbal")
-    older, newer = c.where("c_acctbal >= 0").select("pk"), c.where("c_acctbal < 0 OR c_mktsegment <> 'BUILDING'").select("pk")
-    return newer.exceptAll(older).withColumn("change", F.lit("new")).union(older.exceptAll(newer).withColumn("change", F.lit("gone")))
-
-
-@query(f"WITH {EV}, {resolved()} SELECT key, value, CAST(1700000000 AS BIGINT) AS write_time FROM res WHERE n_operands > 0")
+@query(f"WITH {EV}, {resolved()}, t AS (SELECT key, max(ts) // 1000000 AS write_time FROM res_live WHERE op <> 'DELETE' GROUP BY key) SELECT key, value, write_time FROM res JOIN t USING (key) WHERE n_operands > 0")
 def merge_ttl(spark, sf):
-    """Merges of values with write times: the result is stamped with the time of the merge."""
-    return resolve(L.op_events(spark, sf)).where("n_operands > 0").select("key", "value", F.lit(1_700_000_000).cast("bigint").alias("write_time"))
+    """Merges of values that carry their write times: the times are taken off, the values merged, and the result is stamped with the newest time."""
+    from ..functions.merges import add, with_times
+
+    stamped = L.op_events(spark, sf).withColumn("value", F.struct(F.col("value"), F.expr("ts div 1000000").alias("write_time")))
+    state = resolve(stamped, fold=with_times(add)).where("n_operands > 0")
+    return state.select("key", F.col("value.value").cast("bigint").alias("value"), F.col("value.write_time").alias("write_time"))
 
 
 @query(f"WITH {EV} SELECT key, seq, op, max(ts) OVER (PARTITION BY seq // 100) AS ts FROM ev")
 def batch_timestamps(spark, sf):
     """Batches whose records all get one time: that of their last one's commit."""
     return txn.stamped(L.op_events(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 100))).select("key", "seq", "op", "ts")
+
+
+_TXN = "w AS (SELECT event_id, user_id AS key, event_id // 50 AS txn_id FROM events), e AS (SELECT DISTINCT txn_id, CASE txn_id % 5 WHEN 0 THEN 'ROLLED_BACK' WHEN 1 THEN 'PREPARED' ELSE 'COMMITTED' END AS state FROM w WHERE txn_id % 5 <> 2)"
+
+
+@query(
+    f"WITH {_TXN}, s AS (SELECT w.*, coalesce(e.state, 'OPEN') AS state FROM w LEFT JOIN e USING (txn_id)) SELECT policy, event_id, state, state = 'COMMITTED' OR (policy <> 'committed' AND state <> 'OPEN') OR policy = 'unprepared' AS written, state = 'COMMITTED' AS visible "
+    "FROM s, (VALUES ('committed'), ('prepared'), ('unprepared')) p(policy)"
+)
+def transaction_states(spark, sf):
+    """Every fifty events are a transaction: committed, rolled back, prepared or open, and what each write policy has in the log."""
+    w = L.table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 50).alias("txn_id"))
+    k = F.col("txn_id") % 5
+    ends = w.select("txn_id").distinct().where(k != 2).withColumn("state", F.when(k == 0, "ROLLED_BACK").when(k == 1, "PREPARED").otherwise("COMMITTED"))
+    out = None
+    for policy in txn.POLICIES:
+        one = txn.written_and_visible(w, ends, policy).select(F.lit(policy).alias("policy"), "event_id", "state", "written", "visible")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_OPS = "o AS (SELECT event_id // 500 AS txn, user_id % 20 AS key, event_id AS n, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'UNDO' WHEN 'signup' THEN CASE WHEN event_id % 9 = 0 THEN 'WRITE' ELSE 'UNTRACKED' END ELSE 'UNTRACKED' END AS kind FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_OPS}, r AS (SELECT *, row_number() OVER (PARTITION BY txn, key ORDER BY n) AS i FROM o),
+f AS (SELECT txn, key, i, CASE WHEN kind = 'READ' THEN 1 ELSE 0 END AS held, kind = 'WRITE' AS x FROM r WHERE i = 1
+      UNION ALL SELECT r.txn, r.key, r.i, greatest(0, f.held + CASE r.kind WHEN 'READ' THEN 1 WHEN 'UNDO' THEN -1 ELSE 0 END), f.x OR r.kind = 'WRITE' FROM f JOIN r ON r.txn = f.txn AND r.key = f.key AND r.i = f.i + 1),
+l AS (SELECT *, max(i) OVER (PARTITION BY txn, key) AS last FROM f)
+SELECT txn, key, x AS exclusive FROM l WHERE i = last AND (held > 0 OR x)"""
+)
+def undo_get_for_update(spark, sf):
+    """Keys that transactions still track after reads for update, undos of them, and tracked and untracked writes."""
+    kind = F.col("event_type")
+    write = F.when(F.col("event_id") % 9 == 0, "WRITE").otherwise("UNTRACKED")
+    ops = L.table(spark, sf, "events").select(F.floor(F.col("event_id") / 500).alias("txn"), (F.col("user_id") % 20).alias("key"), F.col("event_id").alias("n"), F.when(kind == "view", "READ").when(kind == "click", "UNDO").when(kind == "signup", write).otherwise("UNTRACKED").alias("kind"))
+    return txn.tracked(ops)
+
+
+@query(
+    "WITH t AS (SELECT DISTINCT event_id // 50 AS txn, user_id AS key FROM events), x AS (SELECT txn, key, txn * 50 - 25 AS read_ts, txn * 50 - 25 + (txn % 11) AS commit_ts FROM t), c AS (SELECT user_id AS key, max(event_id) AS ts FROM events WHERE event_type = 'signup' AND event_id % 40 = 0 GROUP BY 1) "
+    "SELECT txn, CASE WHEN bool_or(commit_ts <= read_ts) THEN 'InvalidArgument' WHEN bool_or(coalesce(c.ts > read_ts, FALSE)) THEN 'Busy' ELSE 'OK' END AS status FROM x LEFT JOIN c USING (key) GROUP BY txn"
+)
+def commit_timestamps(spark, sf):
+    """Transactions with read and commit times of their own."""
+    e = L.table(spark, sf, "events")
+    t = e.select(F.floor(F.col("event_id") / 50).alias("txn"), F.col("user_id").alias("key")).distinct().withColumn("read_ts", F.col("txn") * 50 - 25).withColumn("commit_ts", F.col("read_ts") + F.col("txn") % 11)
+    return txn.commit_times(t, e.where("event_type = 'signup' AND event_id % 40 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("ts")))
+
+
+@query(f"WITH {EV}, c AS (SELECT min(seq) AS m FROM ev WHERE {_CORRUPT}) SELECT mode, count(seq) AS n FROM (VALUES ('absolute'), ('tolerate_tail'), ('point_in_time'), ('skip_corrupt')) v(mode) LEFT JOIN (SELECT ev.seq, m FROM ev, c) x ON CASE mode WHEN 'absolute' THEN m IS NULL WHEN 'tolerate_tail' THEN m IS NULL WHEN 'skip_corrupt' THEN NOT {_CORRUPT} WHEN 'point_in_time' THEN seq < coalesce(m, 9223372036854775807) ELSE FALSE END GROUP BY mode")
+def recovery_modes(spark, sf):
+    """What each mode reads of a log with corrupt records in its middle; two of them refuse it."""
+    from ..sources.changes import recover
+
+    log, bad, out = L.op_events(spark, sf), F.expr(_CORRUPT), []
+    for mode in ("absolute", "tolerate_tail", "point_in_time", "skip_corrupt"):
+        try:
+            out.append((mode, recover(log, bad, mode).count()))
+        except ValueError:
+            out.append((mode, 0))
+    return spark.createDataFrame(out, "mode string, n bigint")

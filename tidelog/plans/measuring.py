@@ -231,13 +231,6 @@ def advisor_rules(spark, sf):
     return stats.advise(f, {"many-deletes": "deletes * 10 > entries", "many-merges": "merges * 10 > entries * 6", "small-file": "entries < 1000"}).select("file", "rule")
 
 
-@query("SELECT source AS file, min(doc_id) AS smallest_key, max(doc_id) AS largest_key, count(*) AS n, CAST(bit_xor(doc_id * 31 + length(text)) AS BIGINT) AS checksum FROM documents GROUP BY 1")
-def file_checksums(spark, sf):
-    """A checksum of each file's rows that doesn't depend on their order."""
-    d = L.table(spark, sf, "documents")
-    return d.groupBy(F.col("source").alias("file")).agg(F.min("doc_id").alias("smallest_key"), F.max("doc_id").alias("largest_key"), F.count("*").alias("n"), F.bit_xor(F.col("doc_id") * 31 + F.length("text")).alias("checksum"))
-
-
 @query("WITH m AS (SELECT CAST(date_diff('month', TIMESTAMP '1970-01-01', l_shipdate) AS BIGINT) AS create_time, count(*) AS size FROM lineitem GROUP BY 1) SELECT min(create_time) AS oldest, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size FROM m")
 def oldest_file(spark, sf):
     from .rewriting import _files

@@ -56,13 +56,6 @@ def dump_time_buckets(spark, sf):
     return log.crossJoin(F.broadcast(span)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))  # one row
 
 
-@query(f"WITH {DKV} SELECT split_part(key, ':', 1) AS file, count(*) AS n, min(key) AS smallest_key, max(key) AS largest_key FROM kv WHERE lang <> 'en' GROUP BY 1")
-def table_filter(spark, sf):
-    """Whole files skipped by a property: folders by language aren't opened, and sources stand for files."""
-    d = L.docs_kv(spark, sf).where("lang <> 'en'")
-    return d.groupBy(F.substring_index("key", ":", 1).alias("file")).agg(F.count("*").alias("n"), F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"))
-
-
 @query(f"WITH {ORD} SELECT key, max_by(value, seq) AS value, CAST(max(seq) AS BIGINT) AS seq FROM o GROUP BY key")
 def export_import(spark, sf):
     """State written as a checkpoint and opened again."""

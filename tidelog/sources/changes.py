@@ -20,11 +20,20 @@ def replay(log: DataFrame, decision: Column) -> DataFrame:
 
 
 def recover(log: DataFrame, corrupt: Column, mode: str) -> DataFrame:
-    """What recovery reads: up to the first corrupt record, all others, or nothing with any corrupt one allowed."""
+    """What recovery reads.
+
+    skip_corrupt: all other records; point_in_time: those before the first corrupt one; tolerate_tail: the same, if nothing but corrupt
+    records follows, as after a write that didn't end; absolute: all, if none is corrupt. The last two refuse other logs.
+    """
     if mode == "skip_corrupt":
         return log.where(~corrupt)
     if mode == "point_in_time":
         return replay(log, F.when(corrupt, "STOP").otherwise("CONTINUE"))
+    if mode == "tolerate_tail":
+        kept = replay(log, F.when(corrupt, "STOP").otherwise("CONTINUE"))
+        if log.where(~corrupt).count() != kept.count():
+            raise ValueError("the log holds corrupt records before its end")
+        return kept
     if mode == "absolute":
         if not log.where(corrupt).isEmpty():
             raise ValueError("the log holds corrupt records")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CODECS = {"none": "uncompressed", "snappy": "snappy", "zlib": "gzip", "lz4": "lz4", "zstd": "zstd"}
@@ -129,11 +130,35 @@ class Backups:
         return len(gone)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def read_chosen(spark: SparkSession, path: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """A table without the data files that a callback, which is given each one's path, rejects: they aren't opened."""
+    fs, at = _fs(spark, path)
+    found, chosen = fs.listFiles(at, True), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.rsplit("/", 1)[1][0] not in "_." and wanted(name):
+            chosen.append(name)
+    return spark.read.option("basePath", path).parquet(*chosen) if chosen else spark.read.parquet(path).limit(0)
+
+
 def file_catalog(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
-    """(file, n, smallest_key, largest_key): live-file metadata from the rows' own file names."""
-    return spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), key).groupBy("file").agg(F.count("*").alias("n"), F.min(key).alias("smallest_key"), F.max(key).alias("largest_key"))
+    """(file, folder, n, smallest_key, largest_key): live-file metadata from the rows' own file names."""
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("at"), key)
+    each = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(key).alias("smallest_key"), F.max(key).alias("largest_key"))
+    return each.select(F.substring_index("at", "/", -1).alias("file"), F.substring_index("at", "/", -2).alias("folder"), "n", "smallest_key", "largest_key")
+
 
+def checksums(rows: DataFrame, by: str, record: Column | None = None) -> DataFrame:
+    """(by, n, checksum): a checksum of each group's rows that doesn't depend on their order, of ``record`` if given, else of all columns.
 
-def checksums(rows: DataFrame, by: str) -> DataFrame:
-    """An order-free checksum of each group's rows."""
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(c for c in rows.columns if c != by))).alias("checksum"))
+    60 bits of an MD5 digest of each record, combined by exclusive or.
+    """
+    if record is None:
+        record = F.concat_ws("\x00", *(F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in sorted(rows.columns) if c != by))
+    digest = F.conv(F.substring(F.md5(record.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(digest).alias("checksum"))

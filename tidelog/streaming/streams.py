@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.compact import collect_history
 from ..operators.resolve import Fold, live_records, resolve
 from ..oplog import RANGE_DELETE
 
@@ -40,29 +42,46 @@ def capture(stream: DataFrame, out: str, checkpoint: str) -> None:
     run_to_end(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
 
 
-def replica(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """A secondary's catch-up: each batch adds to the records of the batch before that still decide a key.
+def _replica(spark: SparkSession, out: str) -> tuple[DataFrame | None, int, int, int]:
+    """(records, rows of the newest whole version, rows of batches after it, that version) of a replica; -1 where there is none."""
+    try:
+        rows = spark.read.parquet(out)
+    except AnalysisException:  # nothing was written yet
+        return None, 0, 0, -1
+    sizes = {(r["kind"], r["version"]): r["n"] for r in rows.groupBy("kind", "version").agg(F.count("*").alias("n")).collect()}
+    full = max((v for k, v in sizes if k == "full"), default=-1)
+    later = F.col("version") > full
+    return rows.where(((F.col("kind") == "full") & (F.col("version") == full)) | ((F.col("kind") == "batch") & later)), sizes.get(("full", full), 0), sum(n for (k, v), n in sizes.items() if k == "batch" and v > full), full
+
 
-    These are a key's newest base, the operands above it, and all range deletions; batches may come in any order.
+def replica(stream: DataFrame, out: str, checkpoint: str, after_each: Callable[[int], None] | None = None) -> None:
+    """A secondary's catch-up: each batch writes those of its own records that can still decide a key.
+
+    These are a key's newest base, the operands above it, and all range deletions; batches may come in any order. Once the batches
+    since the last whole version hold as many records as it does, all are folded into a new one: a record is rewritten a
+    logarithmic number of times.
     """
 
+    def kept(log: DataFrame) -> DataFrame:
+        return live_records(log).drop("base_seq").unionByName(log.where(F.col("op") == RANGE_DELETE))
+
     def apply(df: DataFrame, n: int) -> None:
         if "end_key" not in df.columns:
             df = df.withColumn("end_key", F.lit(None).cast(df.schema["key"].dataType))
-        log = df.select("cf", "key", "seq", "op", "value", "end_key")
-        if n > 0:
-            log = df.sparkSession.read.parquet(f"{out}/version={n - 1}").unionByName(log)
-        kept = live_records(log).drop("base_seq").unionByName(log.where(F.col("op") == RANGE_DELETE))
-        kept.write.mode("overwrite").parquet(f"{out}/version={n}")
+        columns = ["cf", "key", "seq", "op", "value", "end_key"]
+        kept(df.select(*columns)).write.mode("overwrite").parquet(f"{out}/kind=batch/version={n}")
+        rows, whole, later, full = _replica(df.sparkSession, out)
+        if full < n and later >= whole:
+            kept(rows.select(*columns)).write.mode("overwrite").parquet(f"{out}/kind=full/version={n}")
+        if after_each:
+            after_each(n)
 
     run_to_end(stream, apply, checkpoint)
 
 
 def replica_state(spark: SparkSession, out: str, fold: Fold | None = None) -> DataFrame:
-    """Live keys of the replica's newest version, merged as ``resolve`` does."""
-    versions = spark.read.parquet(out)
-    last = versions.agg(F.max("version")).first()[0]
-    return resolve(versions.where(F.col("version") == last).drop("version"), fold=fold).select("cf", "key", "value", "seq")
+    """Live keys of the replica as far as it has come, merged as ``resolve`` does."""
+    return resolve(_replica(spark, out)[0].drop("kind", "version"), fold=fold).select("cf", "key", "value", "seq")
 
 
 def windowed_rates(stream: DataFrame, time: str, width: str, delay: str, by: list[str] | None = None) -> DataFrame:
@@ -70,6 +89,61 @@ def windowed_rates(stream: DataFrame, time: str, width: str, delay: str, by: lis
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), *(by or [])).agg(F.count("*").alias("n"))
 
 
+def sliding_rates(stream: DataFrame, time: str, width: str, step: str, delay: str, by: list[str] | None = None) -> DataFrame:
+    """Accesses in windows of event time that begin every ``step`` and overlap."""
+    return stream.withWatermark(time, delay).groupBy(F.window(time, width, step), *(by or [])).agg(F.count("*").alias("n"))
+
+
+def sessions(stream: DataFrame, time: str, gap: str, delay: str, by: list[str]) -> DataFrame:
+    """Accesses of each key with no pause of ``gap`` between them."""
+    return stream.withWatermark(time, delay).groupBy(*by, F.session_window(time, gap)).agg(F.count("*").alias("n"))
+
+
+def trimmed(stream: DataFrame, out: str, checkpoint: str, lag: int, by: str = "ts") -> None:
+    """Versions with garbage collection behind a low watermark: the latest time seen less ``lag``.
+
+    After each batch the mark rises, and of a key's versions before it only the newest stays. A late write, from before the mark, is
+    kept until the next collection finds a newer one of its key that is before the mark, too.
+    """
+
+    def apply(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        log = df if n == 0 else spark.read.parquet(f"{out}/version={n - 1}").unionByName(df)
+        top = log.agg(F.max(by)).first()[0]
+        (log if top is None else collect_history(log, top - lag)).write.mode("overwrite").parquet(f"{out}/version={n}")
+
+    run_to_end(stream, apply, checkpoint)
+
+
+class ExpiringList(StatefulProcessor):
+    """Appends a key's elements (ts, value) to a list; elements at its beginning go once they have expired by the newest time of the key."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.elements = handle.getListState("elements", "ts long, value long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = list(self.elements.get()) if self.elements.exists() else []
+        for p in rows:
+            found += list(zip(p["ts"].tolist(), p["value"].tolist()))
+        found.sort()
+        now = found[-1][0]
+        first = next(i for i, (ts, _) in enumerate(found) if ts + self.ttl > now or i == len(found) - 1)
+        found = found[first:]
+        self.elements.put(found)
+        yield pd.DataFrame({"key": [key[0]], "n": [len(found)], "oldest": [found[0][0]], "total": [sum(v for _, v in found)]})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_lists(stream: DataFrame, ttl: int) -> DataFrame:
+    """(key, n, oldest, total) of each key's list after each batch, of rows (key, ts, value). The state store must be the RocksDB one."""
+    return stream.groupBy("key").transformWithStateInPandas(ExpiringList(ttl), "key bigint, n bigint, oldest bigint, total bigint", "update", "none")
+
+
 class ExpiringCounter(StatefulProcessor):
     """Counts a key's rows in state that is dropped ``ttl_millis`` after its last update."""
 
