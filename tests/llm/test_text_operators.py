@@ -403,3 +403,14 @@ def test_long_texts_are_labelled_in_parts_as_in_one(trained, monkeypatch):
     whole = decoder.tag(pii.classes(text), starts)
     monkeypatch.setattr(pii, "TOGETHER", 4000)
     assert whole.any() and (decoder.tag(pii.classes(text), starts) == whole).all()
+
+
+def test_the_threshold_follows_the_trusted_scores(spark, empty):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame(rows_of([" ".join(rng.choice(words) for _ in range(rng.randrange(20, 200))) for _ in range(200)]), SCHEMA).withColumn("trusted", F.col("doc_id") < 120)
+    ratio = llr.train(docs, "trusted")
+    scores = np.sort([r.llr for r in llr.score(docs.where("trusted"), ratio).collect()])
+    got = llr.threshold_of(docs.where("trusted"), ratio)
+    assert abs(got - (2 * scores[1] - scores[59])) < 4 / llr.CELLS
+    assert llr.threshold_of(empty, ratio) == float("-inf")

@@ -2,13 +2,14 @@
 
 Words and word pairs are hashed into buckets. Two multinomials over the buckets, of the
 trusted documents and of all documents, are counted over the whole corpus; a document's
-score is the mean log ratio of its n-grams, and ``kept`` compares it with a fixed threshold.
+score is the mean log ratio of its n-grams, and ``kept`` compares it with one threshold for all: as far below the
+trusted documents' QUANTILE as that lies below their median, both taken from a histogram of all their scores.
 The counts of plain rules (word characters, symbols, repeated lines and word windows) come
 from the same pass.
 
 Defined cases: a null text is an empty one, whose counts are zero, whose score is zero and
 which fails the base rule; equal lines after the first count as repeated; rows with equal ids
-or texts each get a row; with no trusted document every score is zero; extra columns are not read.
+or texts each get a row; with no trusted document every score is zero, and only the base rule rejects; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from . import kernels as K
 BUCKETS = 1 << 16
 #: Counts that each bucket's ratio is drawn to the corpus's ratio with.
 SHRINK = 20.0
-#: Mean log ratio, in nats for each n-gram, from which a document is kept.
-THRESHOLD = -0.09
+#: The quantile of the trusted documents' scores that the threshold follows from.
+QUANTILE = 0.01
+#: Cells of the histogram for each nat.
+CELLS = 1000
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
@@ -103,7 +106,33 @@ def train(docs: DataFrame, target_column: str, text_column: str = "text") -> np.
     return np.log((target + SHRINK * share) / ((raw + SHRINK) * share)).astype(np.float32)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _means(bucket: np.ndarray, owner: np.ndarray, ratio: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(owner, ratio[bucket], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+
+
+def threshold_of(trusted: DataFrame, ratio: np.ndarray, text_column: str = "text", quantile: float = QUANTILE) -> float:
+    """The threshold, from the scores of all trusted documents; only the cells of their histogram come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = int(np.floor(ratio.min() * CELLS)) - 1
+        total = np.zeros(int(np.ceil(ratio.max() * CELLS)) - low + 2, np.int64)
+        for batch in batches:
+            t = K.texts(batch.column(0))
+            for a, b in K.slices(t):
+                *_, bucket, owner = _grams(t.part(a, b))
+                total += np.bincount(np.floor(_means(bucket, owner, ratio, b - a) * CELLS).astype(np.int64) - low, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at + low), pa.array(total[at])], names=["cell", "n"])
+
+    rows = trusted.select(text_column).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
+    if not rows:
+        return float("-inf")
+    cell, upto = np.array([r["cell"] for r in rows]), np.cumsum([r["n"] for r in rows])
+    at = lambda q: cell[np.searchsorted(upto, q * upto[-1])] / CELLS
+    return float(2 * at(quantile) - at(0.5))
+
+
+def score(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id", text_column: str = "text", threshold: float = float("-inf")) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr)."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -114,7 +143,7 @@ def score(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id", text_co
                 part = t.part(a, b)
                 hasher, h, first, doc, bucket, owner = _grams(part)
                 counts = rule_counts(part, hasher, h, first, doc)
-                llr = np.bincount(owner, ratio[bucket], minlength=b - a) / np.maximum(np.bincount(owner, minlength=b - a), 1)
+                llr = _means(bucket, owner, ratio, b - a)
                 n, repeat = counts["n_words"], counts["n_repeat_words"]
                 failed = (n < 50) | (100 * repeat > 50 * n)
                 yield pa.RecordBatch.from_arrays(

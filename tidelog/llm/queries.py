@@ -42,7 +42,8 @@ def op5_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     trusted = labels(spark, sf_dir).where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    return llr.score(docs, llr.train(join_checked(docs, trusted, "doc_id", "left"), "trusted"))
+    ratio = llr.train(join_checked(docs, trusted, "doc_id", "left"), "trusted")
+    return llr.score(docs, ratio, threshold=llr.threshold_of(join_checked(docs, trusted, "doc_id", "left_semi"), ratio))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
