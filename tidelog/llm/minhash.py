@@ -14,8 +14,9 @@ from the start, by a 128-bit fingerprint of the set; the smallest id stands for
    and two sets differ in at least as many shingles as their rows differ in bits.
 4. The others are confirmed on full sets.
 5. In buckets that still hold several components, the documents outside the hub's component are
-   compared by signature with all of the bucket outside their own component, and confirmed alike.
-   So no link between components is lost, and no bucket emits all its pairs.
+   compared by signature with all of the bucket outside their own component that are of about their size, and confirmed alike.
+   So no link between components is lost. A bucket in which most documents are alike emits few pairs; one that holds many
+   of about one size that are not can still compare them all.
 
 Components come from rounds of stars over the confirmed links.
 
@@ -28,6 +29,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,9 +221,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     hub_of = hubs.join(label.select("key", F.col("id").alias("hub"), F.col("c").alias("hub_c")).hint("shuffle_merge"), ["key", "hub"])
     signed = written(label.join(hub_of.select("key", "hub_c").hint("shuffle_merge"), "key").join(reps.select("id", *_SIG).hint("shuffle_merge"), "id"), "signed")
     cols = ["key", "id", "c", *_SIG]
-    apart = signed.where("c <> hub_c").select("key", *(F.col(x).alias(f"x{x}") for x in cols[1:]))
-    rest = signed.select("key", "hub_c", *(F.col(x).alias(f"y{x}") for x in cols[1:]))
-    cross = apart.join(rest.hint("shuffle_merge"), "key").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("hub_c")) | (F.col("xid") < F.col("yid"))) & possible("x", "y", percent))
+    # sets whose sizes differ by more than the similarity allows can't be linked: only classes of size next to each other meet
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(max(math.log(100 / percent), 1e-6) * (1 + 1e-9)))
+    apart = signed.where("c <> hub_c").select("key", F.explode(F.array(size - 1, size, size + 1)).alias("class"), *(F.col(x).alias(f"x{x}") for x in cols[1:]))
+    rest = signed.select("key", size.alias("class"), "hub_c", *(F.col(x).alias(f"y{x}") for x in cols[1:]))
+    cross = apart.join(rest.hint("shuffle_merge"), ["key", "class"]).where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("hub_c")) | (F.col("xid") < F.col("yid"))) & possible("x", "y", percent))
     cross = cross.select(*_ordered("xid", "yid")).distinct().join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
     more = written(cross, "cross")
     if not more.isEmpty():
