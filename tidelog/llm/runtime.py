@@ -15,8 +15,8 @@ from pyspark.sql.types import IntegralType
 
 from tidelog.shipping import ship
 
-#: A table of more rows is never broadcast.
-BROADCAST_ROWS = 4_000_000
+#: A table of more bytes is never broadcast.
+BROADCAST_BYTES = 128 << 20
 
 
 #: Documents in an Arrow batch, where the session doesn't say: texts are long, and a batch is held in the JVM and in Python.
@@ -27,7 +27,7 @@ def prepare(spark: SparkSession) -> None:
     """What a session needs before these operators run in it: the package on its workers, and smaller batches than Spark's default."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get(key) == "10000" and not spark.sparkContext.getConf().contains(key):
         spark.conf.set(key, BATCH_RECORDS)
 
 
@@ -92,19 +92,29 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame, written to the shared folder and read again: lineage ends here."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def join_checked(left: DataFrame, right: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
-    """A join that broadcasts ``right`` only where its row count is proven small; else Spark shuffles.
-
-    ``rows``: a bound of the count that is known already; it is counted otherwise.
-    """
-    if rows is None:
-        rows = right.count()
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("shuffle_merge"), on, how)
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    # the shuffles of this write are of no use once it has ended; without this they stay until the driver collects garbage
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the table is proven small enough to broadcast: its rows are counted, and the bytes of its texts added up."""
+    lengths = [F.sum(F.octet_length(f.name)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    rows, *bytes_ = df.agg(F.count(F.lit(1)), *lengths).first()
+    return 16 * rows * len(df.columns) + sum(b or 0 for b in bytes_) <= BROADCAST_BYTES
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A join that broadcasts ``right`` only where it is proven small; else Spark shuffles."""
+    return left.join(F.broadcast(right) if is_small(right) else right.hint("shuffle_merge"), on, how)
 
 
 def join_apart(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:

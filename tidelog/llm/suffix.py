@@ -142,14 +142,18 @@ def blocks(t: K.Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Numbers go as planes of their bytes: in rows that are in the order of documents, the upper ones compress to little."""
+    return b"".join((a.view(np.uint8).reshape(len(a), -1).T if a.dtype.kind == "i" else a).tobytes() for a in map(np.ascontiguousarray, arrays))
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     each = [np.dtype(k).itemsize for k in kinds]
     n, at, out = len(blob) // sum(each), 0, []
     for k, size in zip(kinds, each):
-        out.append(np.frombuffer(blob, k, n, at))
+        if k[1] == "i":
+            out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
+        else:
+            out.append(np.frombuffer(blob, k, n, at))
         at += size * n
     return out
 
@@ -215,6 +219,8 @@ def _first_pass(parts: int, to: np.ndarray, length: int, gram: int, keep: bool):
             rows += _dealt(_anchor_parts(key, parts), to, _KEPT, _short(key), _short(fp), doc, start, n)
         n = np.where(several, 0, n).astype(small)  # 0: only tells that the anchor is repeated
         key, fp, doc, start, n = (x[~again] for x in (key, fp, doc, start, n))
+        order = np.lexsort((start, doc))
+        key, fp, doc, start, n = (x[order] for x in (key, fp, doc, start, n))
         rows += _dealt(_anchor_parts(key, parts), to, _BLOCKS, _short(key), _short(fp), doc, start, n)
         return _rows(rows)
 
@@ -388,7 +394,7 @@ def _window_pass(parts: int, to: np.ndarray, length: int):
                     head = np.flatnonzero(new)[run_id]
                     again = (d[order] != d[order][head]) | (w[order] != w[order][head])
                     rows += _dealt(_places(d[order][again], parts), to, _REPEATED, d[order][again], w[order][again], np.ones(again.sum(), small))
-                    order = order[new]
+                    order = np.sort(order[new])  # by document again
                     f = prints(part.data, at[order], length)
                     rows += _dealt(_first_parts(f, parts), to, _BLOCKS, f, d[order], w[order])
                 yield _rows(rows)
