@@ -73,22 +73,27 @@ def text_statistics(t: K.Texts) -> np.ndarray:
     ]).astype(np.float64).round(6)
 
 
-#: Statistics stand in columns of these names, which no table is expected to have.
-_COLUMNS = tuple(f"stat__{s}" for s in STATS)
+def names_beside(columns: list[str]) -> tuple[str, ...]:
+    """Names for STATS that none of the columns has, and one for the text."""
+    prefix = "stat__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return tuple(prefix + s for s in (*STATS, "text"))
 
 
 def with_statistics(docs: DataFrame, columns: list[str] | None = None, text_column: str = "text") -> DataFrame:
-    """``columns`` of the documents (the id by default), and a column for each of STATS."""
+    """``columns`` of the documents (the id by default), and a column for each of STATS, by the names of :func:`names_beside`."""
     columns = columns or ["doc_id"]
-    kept = docs.select(F.col(text_column).alias("text__"), *columns)
-    schema = T.StructType([*kept.schema.fields[1:], *(T.StructField(c, T.DoubleType()) for c in _COLUMNS)])
+    *names, text = names_beside(columns)
+    kept = docs.select(F.col(text_column).alias(text), *columns)
+    schema = T.StructType([*kept.schema.fields[1:], *(T.StructField(c, T.DoubleType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = K.texts(batch.column(0))
             for a, b in K.slices(t):
                 x = text_statistics(t.part(a, b))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[1:], *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS)))], names=[*batch.schema.names[1:], *_COLUMNS])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[1:], *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS)))], names=[*batch.schema.names[1:], *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -172,21 +177,24 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     return b, [(float(a), rule) for a, (rule, _) in zip(w, rules) if abs(a) > 1e-4]
 
 
-def compile_score(model: tuple[float, list[tuple[float, tuple]]]) -> Column:
-    """The ensemble as one column expression over STATS."""
+def compile_score(model: tuple[float, list[tuple[float, tuple]]], columns: list[str] | None = None) -> Column:
+    """The ensemble as one column expression over STATS, for :func:`with_statistics` with the same ``columns``."""
     intercept, rules = model
+    names = names_beside(columns or [])
     total = F.lit(float(intercept))
     for weight, rule in rules:
         test = F.lit(True)
         for k, below, at in rule:
-            c = F.col(_COLUMNS[k])
+            c = F.col(names[k])
             test = test & (c <= F.lit(at) if below else c > F.lit(at))
         total = total + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", sample: int = SAMPLE) -> tuple[float, list[tuple[float, tuple]]]:
+def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", sample: int = SAMPLE, text_column: str = "text") -> tuple[float, list[tuple[float, tuple]]]:
     """Fits on at most ``sample`` labelled rows."""
     chosen = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column), F.col(label_column).cast("int").alias("y__")).orderBy(F.xxhash64(id_column), id_column).limit(sample)
-    rows = with_statistics(docs.join(F.broadcast(chosen.select(id_column)), id_column, "left_semi"), [id_column]).join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), *_COLUMNS[:2]).limit(sample).toPandas()
-    return fit(rows[list(_COLUMNS)].to_numpy(float), rows["y__"].to_numpy(float))
+    names = names_beside([id_column])[:-1]
+    texts = docs.select(id_column, text_column).join(F.broadcast(chosen.select(id_column)), id_column, "left_semi")
+    rows = with_statistics(texts, [id_column], text_column).join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), *names[:2]).limit(sample).toPandas()
+    return fit(rows[list(names)].to_numpy(float), rows["y__"].to_numpy(float))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: The most labelled rows that are fitted on, and the longest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
+#: The most labelled rows that are fitted on, whatever the length of their texts.
+SAMPLE = 4000
 TABLE = 1 << 18
 #: Bytes of texts whose chains are run together, as each step serves all of them.
 TOGETHER = 24 << 20
@@ -175,7 +175,7 @@ def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled rows: those whose ids hash lowest."""
     chosen = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column), F.col(label_column).cast("int").alias("y__")).orderBy(F.xxhash64(id_column), id_column).limit(sample)
-    rows = docs.select(id_column, text_column).where(F.octet_length(F.coalesce(text_column, F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), text_column).limit(sample).toArrow()
+    rows = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), text_column).limit(sample).toArrow()
     return fit(rows.column(text_column), np.asarray(rows.column("y__").to_numpy(), float) == 1)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, join_checked, written
+from .runtime import is_small, join_checked, written
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -53,8 +53,7 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     slim = p.select("id", "digest", "size")
     heads = slim.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("head"))
     again = written(slim.join(heads, "digest").where(F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))).select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "head").distinct(), "revisits")
-    small = again.count() <= BROADCAST_ROWS
-    p = p.join(F.broadcast(again) if small else again.hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    p = p.join(F.broadcast(again) if is_small(again) else again.hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     revisit = F.col("head").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -280,8 +279,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         spark.conf.set(key, spark.sparkContext.defaultParallelism)
     links = chain(spark, path)
     schema = lambda fields: ", ".join(f"{n} {t}" for n, t, _ in fields)
-    few = links.count() <= BROADCAST_ROWS
     base = links.select("file", "block", "base", "entry")
+    few = is_small(base)
 
     def ranged(rows: DataFrame) -> DataFrame:
         if few:
