@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simulate as simulators
+
 
 def miss_ratios(trace: DataFrame, labels: list[str], hit: str = "hit") -> DataFrame:
     """(labels, n, misses) for the total, each label and all of them: grouping sets; null stands for all."""
@@ -214,57 +216,26 @@ def _arc(keys, capacity):
     return hits
 
 
-def _sampled(arms):
-    """A policy that draws between evicting the least recent and the least frequent, by what past evictions cost."""
-
-    def run(keys, capacity):
-        last, used, hits = {}, Counter(), 0
-        good, bad, blamed = [1.0, 1.0], [1.0, 1.0], {}
-        state = 12345
-        for i, k in enumerate(keys):
-            if k in last:
-                hits += 1
-                used[k] += 1
-                last[k] = i
-                continue
-            if k in blamed:
-                bad[blamed.pop(k)] += 1
-            if len(last) >= capacity:
-                state = (1103515245 * state + 12345) % (1 << 31)
-                noise = state / (1 << 31)
-                arm = arms(good, bad, noise, i)
-                out = min(last, key=(lambda x: last[x]) if arm == 0 else (lambda x: (used[x], last[x])))
-                blamed[out] = arm
-                good[arm] += 0.5
-                del last[out], used[out]
-            last[k] = i
-            used[k] += 1
-        return hits
-
-    return run
-
-
-def _thompson(good, bad, noise, i):
-    mean = [g / (g + b) for g, b in zip(good, bad)]
-    return 0 if mean[0] + 0.3 * (noise - 0.5) >= mean[1] else 1
-
+POLICIES = {"lru": _lru, "mru": _mru, "lfu": _lfu, "fifo": _fifo, "opt": _opt, "hyperbolic": _hyperbolic, "gdsize": _greedy_dual, "arc": _arc}
 
-def _upper(good, bad, noise, i):
-    bound = [g / (g + b) + (2 / (g + b)) ** 0.5 for g, b in zip(good, bad)]
-    return 0 if bound[0] >= bound[1] else 1
 
+def simulate(trace: DataFrame, policies: list[str], capacities: list[int], one_of: int = 1) -> DataFrame:
+    """(policy, capacity, n, hits). Policies over entries of one size count them; those of ``simulate.SIZED`` count bytes, and read
+    size, access_time and type, too.
 
-POLICIES = {"lru": _lru, "mru": _mru, "lfu": _lfu, "fifo": _fifo, "opt": _opt, "hyperbolic": _hyperbolic, "gdsize": _greedy_dual, "arc": _arc, "thompson": _sampled(_thompson), "bandit": _sampled(_upper)}
-
-
-def simulate(trace: DataFrame, policies: list[str], capacities: list[int]) -> DataFrame:
-    """(policy, capacity, n, hits). A simulation reads the whole trace in order, so each configuration is one group."""
-    config = trace.sparkSession.createDataFrame([(p, c) for p in policies for c in capacities], "policy string, capacity int")
+    A simulation reads its trace in order, so each configuration is one group. Of a long trace, ``one_of`` keys can be chosen
+    by their hash, with capacities as much smaller: the hit ratio stays about the same.
+    """
+    config = trace.sparkSession.createDataFrame([(p, c) for p in policies for c in capacities], "policy string, capacity long")
+    columns = [c for c in ("key", "seq", "size", "access_time", "type") if c in trace.columns]
+    chosen = trace.select(*columns).where(F.pmod(F.xxhash64("key"), F.lit(one_of)) == 0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        keys = pdf["key"].tolist()
         policy, capacity = pdf["policy"].iloc[0], int(pdf["capacity"].iloc[0])
-        return pd.DataFrame({"policy": [policy], "capacity": [capacity], "n": [len(keys)], "hits": [POLICIES[policy](keys, capacity)]})
+        most = max(1, capacity // one_of)
+        keys = pdf["key"].tolist()
+        hits = POLICIES[policy](keys, most) if policy in POLICIES else simulators.run(policy, most, keys, pdf["size"].tolist(), pdf["access_time"].tolist(), pdf["type"].tolist())
+        return pd.DataFrame({"policy": [policy], "capacity": [capacity], "n": [len(keys)], "hits": [hits]})
 
-    return trace.select("key", "seq").crossJoin(F.broadcast(config)).groupBy("policy", "capacity").applyInPandas(run, "policy string, capacity int, n bigint, hits bigint")
+    return chosen.crossJoin(F.broadcast(config)).groupBy("policy", "capacity").applyInPandas(run, "policy string, capacity long, n bigint, hits bigint")

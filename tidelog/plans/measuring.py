@@ -145,8 +145,11 @@ def lru_sim(spark, sf):
 
 @query()
 def cache_policies(spark, sf):
-    """Simulators of ten policies at three capacities; SQL has no such loops, and tests hold them to direct ones."""
-    return cache.simulate(L.trace(spark, sf), sorted(cache.POLICIES), [10, 50, 100])
+    """Simulators of policies at three capacities, of entries and of bytes; SQL has no such loops, and tests hold them to direct ones."""
+    from ..operators import simulate
+
+    t = L.trace(spark, sf).withColumn("size", F.col("key") % 13 * 8 + 16)
+    return cache.simulate(t, sorted(cache.POLICIES), [10, 50, 100]).unionByName(cache.simulate(t, sorted(simulate.SIZED), [1000, 4000, 8000]))
 
 
 @query("WITH b AS (SELECT event_type AS op, CAST(floor(value) AS BIGINT) AS latency FROM events) SELECT op, count(*) AS n, min(latency) AS fastest, max(latency) AS slowest, CAST(sum(latency) AS BIGINT) AS total FROM b GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import oplog as L
 from ..shared import shared_folder
 from ..streaming import streams
-from .registry import EV, query, resolved
+from .registry import EV, TR, query, resolved
 
 
 def _folder(spark) -> str:
@@ -130,3 +130,22 @@ def tailing_state(spark, sf):
 
     streams.replica(streams.tail(spark, f"{folder}/log", log.schema, 1), f"{folder}/out", f"{folder}/offsets", note)
     return spark.read.parquet(f"{folder}/seen").select("batch", "n_keys", "total")
+
+
+@query(
+    f"""WITH {TR}, w AS (SELECT key, seq, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nxt FROM tr),
+c AS (SELECT w.seq, count(*) AS n FROM w JOIN w o ON o.seq > w.prev AND o.seq < w.seq AND coalesce(o.nxt, 9223372036854775807) > w.seq GROUP BY w.seq),
+d AS (SELECT w.seq, CASE WHEN w.prev IS NOT NULL THEN coalesce(c.n, 0) END AS distance FROM w LEFT JOIN c ON c.seq = w.seq)
+SELECT CAST(c.c AS BIGINT) AS capacity, count(*) AS n, count(*) FILTER (distance < c.c) AS hits FROM d, (VALUES (20), (60), (120)) c(c) GROUP BY 1"""
+)
+def online_cache(spark, sf):
+    """A simulated cache of several capacities beside a stream of accesses, with its keys kept between batches."""
+    folder = _folder(spark)
+    t = L.trace(spark, sf).select("key", "seq")
+    lo, hi = t.agg(F.min("seq"), F.max("seq")).first()
+    for k in range(3):
+        a, b = (lo + (hi + 1 - lo) * x // 3 for x in (k, k + 1))
+        t.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(f"{folder}/trace")
+    stream = streams.tail(spark, f"{folder}/trace", t.schema, 1)
+    streams.run_to_end(streams.online_lru(stream, [20, 60, 120]), lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets", "update")
+    return spark.read.parquet(f"{folder}/out").groupBy("capacity").agg(F.max("n").alias("n"), F.max("hits").alias("hits"))

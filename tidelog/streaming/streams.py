@@ -144,6 +144,39 @@ def expiring_lists(stream: DataFrame, ttl: int) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(ExpiringList(ttl), "key bigint, n bigint, oldest bigint, total bigint", "update", "none")
 
 
+class OnlineLru(StatefulProcessor):
+    """A simulated cache beside live traffic: its keys, the least recent first, are the state of its capacity."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.keys = handle.getListState("keys", "key long")
+        self.counts = handle.getValueState("counts", "n long, hits long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        cache = dict.fromkeys(k for (k,) in self.keys.get()) if self.keys.exists() else {}
+        n, hits = self.counts.get() if self.counts.exists() else (0, 0)
+        seen = sorted(x for p in rows for x in zip(p["seq"].tolist(), p["key"].tolist()))
+        for _, k in seen:
+            n += 1
+            if k in cache:
+                hits += 1
+                del cache[k]
+            elif len(cache) >= key[0]:
+                del cache[next(iter(cache))]
+            cache[k] = None
+        self.keys.put([(k,) for k in cache])
+        self.counts.update((n, hits))
+        yield pd.DataFrame({"capacity": [key[0]], "n": [n], "hits": [hits]})
+
+    def close(self) -> None:
+        pass
+
+
+def online_lru(stream: DataFrame, capacities: list[int]) -> DataFrame:
+    """(capacity, n, hits) so far after each batch, of rows (key, seq) that come in order of seq from batch to batch. The state store must be the RocksDB one."""
+    each = stream.select("key", "seq", F.explode(F.lit(capacities).cast("array<bigint>")).alias("capacity"))
+    return each.groupBy("capacity").transformWithStateInPandas(OnlineLru(), "capacity bigint, n bigint, hits bigint", "update", "none")
+
+
 class ExpiringCounter(StatefulProcessor):
     """Counts a key's rows in state that is dropped ``ttl_millis`` after its last update."""
 
