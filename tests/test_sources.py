@@ -128,3 +128,38 @@ def test_command_line(spark, tmp_path):
     assert run("dump", "--count-delim", ":")[0].n == 3 and run("get_property")[0].num_range_deletes == 1
     assert run("checkpoint", str(tmp_path / "cp"))[0].seq == 6
     assert len(run("list_file_range_deletes")) == 1 and run("idump")[0].key == "k:1" and run("approxsize", "--from", "k:4", "--to", "k:6")[0].n == 2
+
+
+def test_command_line_batches_and_dumps(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "cf string, key string, seq bigint, op string, value string, end_key string, ts bigint, write_time bigint"
+    spark.createDataFrame([("c", f"k{i}", i, "PUT", str(i), None, i * 10, i * 100) for i in range(1, 6)], schema).write.parquet(path)
+    run = lambda *a, log=path: cli.run(spark, ["--log", log, *a]).collect()
+    assert len(run("batchput", "a", "1", "b", "2")) == 2
+    run("merge", "a", "x")
+    assert [(r.key, r.value, r.status) for r in sorted(run("multiget", "a", "k2", "zz"))] == [("a", "1,x", "OK"), ("k2", "2", "OK"), ("zz", None, "NotFound")]
+    with pytest.raises(ValueError):
+        run("batchput", "a")
+    assert [r.key for r in run("scan", "--start-time", "200", "--end-time", "400")] == ["k2", "k3"]
+    assert run("get", "k3", "--read-timestamp", "20") == [] and run("get", "k3", "--read-timestamp", "30")[0].value == "3"
+    out, other = str(tmp_path / "dump"), str(tmp_path / "other")
+    assert run("export", out)[0].n == 7
+    spark.createDataFrame([], schema).write.parquet(other)
+    run("import", out, log=other)
+    assert {(r.key, r.value) for r in run("scan", log=other)} == {(r.key, r.value) for r in run("scan")}
+
+
+def test_comparators(spark):
+    from tidelog.functions import comparators
+
+    keys = [b"", b"a", b"ab", b"b", b"\x00", b"\xff", b"a\xff", b"a\x00"]
+    df = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+    order = lambda name: [bytes(r.key) for r in df.orderBy(comparators.get(name)(F.col("key"))).collect()]
+    assert order("bytewise") == sorted(keys) and order("reverse_bytewise") == sorted(keys, reverse=True)
+    numbers = [0, 1, 255, 256, 1 << 40, (1 << 64) - 1]
+    df = spark.createDataFrame([(bytearray(n.to_bytes(8, "little")),) for n in reversed(numbers)], "key binary")
+    assert [int.from_bytes(k, "little") for k in order("uint64")] == numbers
+    keys = [k + t.to_bytes(8, "big") for k in (b"a", b"ab", b"b") for t in (9, 300, 2)]
+    df = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+    assert order("with_timestamp") == sorted(keys, key=lambda k: (k[:-8], -int.from_bytes(k[-8:], "big")))
+    with pytest.raises(ValueError):
+        comparators.get("none")

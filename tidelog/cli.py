@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import merges
 from .operators import scan, stats
-from .operators.resolve import resolve
+from .operators.resolve import of_keys, resolve
 from .sources import files
 
 
@@ -41,28 +41,49 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     p.add_argument("--snapshot", type=int)
     p.add_argument("--merge", help="a registered merge operator")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("get", "approxsize", "scan", "delete", "singledelete", "put", "deleterange", "dump", "idump", "get_property", "checkpoint", "list_file_range_deletes", "dump_wal"):
+    for name in ("get", "multiget", "approxsize", "scan", "delete", "singledelete", "put", "batchput", "merge", "deleterange", "dump", "idump", "get_property", "checkpoint", "list_file_range_deletes", "dump_wal", "export", "import"):
         c = sub.add_parser(name)
-        if name in ("get", "delete", "singledelete", "put"):
+        if name in ("get", "delete", "singledelete", "put", "merge"):
             c.add_argument("key")
-        if name == "put":
+        if name in ("put", "merge"):
             c.add_argument("value")
+        if name == "multiget":
+            c.add_argument("keys", nargs="+")
+        if name == "batchput":
+            c.add_argument("pairs", nargs="+", help="key value key value ...")
+        if name in ("get", "multiget", "scan"):
+            c.add_argument("--read-timestamp", type=int)
         if name in ("scan", "approxsize", "deleterange"):
             c.add_argument("--from", dest="lo")
             c.add_argument("--to", dest="hi")
         if name == "scan":
             c.add_argument("--max-keys", type=int)
             c.add_argument("--hex", action="store_true")
+            c.add_argument("--start-time", type=int, help="only records written from this second on")
+            c.add_argument("--end-time", type=int, help="and before this one")
         if name == "dump":
             c.add_argument("--count-delim")
             c.add_argument("--bucket", type=int)
             c.add_argument("--start", type=int, default=0)
             c.add_argument("--end", type=int, default=0)
-        if name == "checkpoint":
+        if name in ("checkpoint", "export", "import"):
             c.add_argument("path")
     a = p.parse_args(argv)
     log = spark.read.parquet(a.log)
-    state = lambda: _state(log, a.snapshot, a.merge)
+    seen = log
+    if getattr(a, "start_time", None) is not None:
+        seen = seen.where(F.col("write_time") >= a.start_time)
+    if getattr(a, "end_time", None) is not None:
+        seen = seen.where(F.col("write_time") < a.end_time)
+    if getattr(a, "read_timestamp", None) is not None:
+        seen = seen.where(F.col("ts") <= a.read_timestamp)
+    state = lambda: _state(seen, a.snapshot, a.merge)
+    if a.command == "multiget":
+        keys = spark.createDataFrame([(k,) for k in a.keys], "key string").select(F.col("key").cast(log.schema["key"].dataType))
+        return scan.multi_get(_state(of_keys(seen, keys), a.snapshot, a.merge).select("key", "value"), keys)
+    if a.command == "export":
+        files.dump(state(), a.path)
+        return spark.createDataFrame([(state().count(),)], "n bigint")
     if a.command == "get":
         return state().where(F.col("key") == _typed(spark, log, a.key)).select("key", "value")
     if a.command == "scan":
@@ -82,17 +103,24 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         return stats.properties(log)
     if a.command == "checkpoint":
         return spark.createDataFrame([(files.checkpoint(state(), a.path),)], "seq bigint")
-    # writes append one record above the newest
+    # writes append records above the newest, all in one file's commit
     top = log.agg(F.max("seq")).first()[0] or 0
-    op = {"put": "PUT", "delete": "DELETE", "singledelete": "SINGLE_DELETE", "deleterange": "RANGE_DELETE"}[a.command]
-    given = {"seq": F.lit(top + 1), "op": F.lit(op), "cf": F.lit(log.select("cf").first()[0]), "key": _typed(spark, log, a.lo if a.command == "deleterange" else a.key)}
-    if a.command == "put":
-        given["value"] = F.lit(a.value)
-    if a.command == "deleterange":
-        given["end_key"] = F.lit(a.hi)
-    row = spark.range(1).select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema.fields))
-    row.write.mode("append").parquet(a.log)
-    return row
+    cf = log.select("cf").first()
+    if a.command == "import":
+        new = files.undump(spark, a.path).withColumn("seq", F.lit(top + 1))
+    else:
+        op = {"put": "PUT", "batchput": "PUT", "merge": "MERGE", "delete": "DELETE", "singledelete": "SINGLE_DELETE", "deleterange": "RANGE_DELETE"}[a.command]
+        if a.command == "batchput":
+            if len(a.pairs) % 2:
+                raise ValueError("batchput takes a value for each key")
+            pairs = list(zip(a.pairs[::2], a.pairs[1::2]))
+        else:
+            pairs = [(a.lo if a.command == "deleterange" else a.key, getattr(a, "value", None))]
+        rows = [(top + 1 + n, op, cf[0] if cf else "default", k, v, getattr(a, "hi", None)) for n, (k, v) in enumerate(pairs)]
+        new = spark.createDataFrame(rows, "seq bigint, op string, cf string, key string, value string, end_key string")
+    new = new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema.fields))
+    new.coalesce(1).write.mode("append").parquet(a.log)
+    return new
 
 
 def main() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oplog import DELETIONS, MERGE, RANGE_DELETE, VALUES
@@ -118,3 +118,8 @@ def advise(properties_: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Each row with the names of the rules, SQL conditions over its columns, that it triggers."""
     names = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items())))
     return properties_.withColumn("rule", F.explode(names))
+
+
+def collected(rows: DataFrame, collectors: dict[str, Column], by: str = "file") -> DataFrame:
+    """(file, n, …): each file's number of records and what the collectors, aggregates by name, say of them."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *(c.alias(name) for name, c in collectors.items()))

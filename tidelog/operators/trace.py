@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,11 @@ def sampled(trace: DataFrame, frequency: int, without: list[str]) -> DataFrame:
 def as_log(trace: DataFrame) -> DataFrame:
     """The writes of a trace as a log, so that a replay is a read of it, by ``resolve`` as there are merges."""
     return trace.where(F.col("type").isin("PUT", "DELETE", "MERGE")).select(F.lit("trace").alias("cf"), "key", "seq", F.col("type").alias("op"), F.col("value_size").alias("value"), F.col("access_time").alias("ts"))
+
+
+def handled(trace: DataFrame, handlers: dict[str, Column]) -> DataFrame:
+    """Records whose type has a handler, each with its ``answer``; handlers are expressions over a record's columns."""
+    answer = None
+    for kind, handler in handlers.items():
+        answer = F.when(F.col("type") == kind, handler) if answer is None else answer.when(F.col("type") == kind, handler)
+    return trace.where(F.col("type").isin(*handlers)).withColumn("answer", answer)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, measuring, merging, more, reads, rewriting, streams, tables  # noqa: F401
+from . import changes, extensions, measuring, merging, more, reads, rewriting, streams, tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CODECS = {"none": "uncompressed", "snappy": "snappy", "zlib": "gzip", "lz4": "lz4", "zstd": "zstd"}
+#: Names of codecs and what they are called in Parquet files; bzip2, which those don't know, makes JSON files.
+CODECS = {"none": "uncompressed", "snappy": "snappy", "zlib": "gzip", "lz4": "lz4_raw", "lz4hc": "lz4_raw", "zstd": "zstd", "bzip2": None}
 
 
 def write_sorted(rows: DataFrame, path: str, key: str = "key", files: int | None = None, codec: str = "zstd", bloom: bool = False, prefix: int | None = None) -> None:
@@ -17,12 +18,36 @@ def write_sorted(rows: DataFrame, path: str, key: str = "key", files: int | None
     if prefix:
         rows = rows.withColumn("prefix", F.substring(F.col(key).cast("string"), 1, prefix))
     out = (rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)).sortWithinPartitions(*order)
+    if codec not in CODECS:
+        raise ValueError(f"there is no codec of the name {codec!r}")
+    if CODECS[codec] is None:
+        out.write.option("compression", codec).json(path)
+        return
     writer = out.write.option("compression", CODECS[codec])
     if bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
     (writer.partitionBy("prefix") if prefix else writer).parquet(path)
 
 
+def read_sorted(spark: SparkSession, path: str, codec: str = "zstd", schema=None) -> DataFrame:
+    """A table of :func:`write_sorted`; ``schema`` is needed for codecs whose files don't keep it."""
+    return spark.read.parquet(path) if CODECS[codec] else spark.read.schema(schema).json(path)
+
+
+def dump(rows: DataFrame, path: str) -> None:
+    """Rows (cf, key, value) as lines of text that any version reads, with their types in a line of its own file."""
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("cf", "key", "value")}
+    rows.select("cf", "key", "value").write.option("compression", "gzip").json(f"{path}/rows")
+    _put(rows.sparkSession, f"{path}/TYPES.json", json.dumps(types))
+
+
+def undump(spark: SparkSession, path: str) -> DataFrame:
+    """A log whose puts are the dumped rows."""
+    types = _get(spark, f"{path}/TYPES.json")
+    rows = spark.read.schema(", ".join(f"{c} {k}" for c, k in types.items())).json(f"{path}/rows")
+    return rows.select("*", F.lit(0).cast("bigint").alias("seq"), F.lit("PUT").alias("op"), F.lit(None).cast("bigint").alias("ts"))
+
+
 def ingest(log: DataFrame, rows: DataFrame, keep_seq: bool = False) -> DataFrame:
     """External rows become newer than the log: all get one number above its newest, unless they have their own."""
     if not keep_seq:
