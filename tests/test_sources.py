@@ -163,3 +163,21 @@ def test_comparators(spark):
     assert order("with_timestamp") == sorted(keys, key=lambda k: (k[:-8], -int.from_bytes(k[-8:], "big")))
     with pytest.raises(ValueError):
         comparators.get("none")
+
+
+def test_extensions_by_id(spark):
+    from tidelog.functions import merges, registry
+
+    assert registry.create("merge", "max") is merges.largest
+    assert spark.range(1).select(registry.create("prefix", "capped:2")(F.lit("abc"))).first()[0] == "ab"
+    for kind, name in (("merge", "none"), ("comparator", "none"), ("kind", "x")):
+        with pytest.raises(ValueError):
+            registry.create(kind, name)
+
+
+def test_lookups_open_their_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "hashed")
+    files.write_hashed(spark.range(1000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value")), path, 50)
+    got = files.read_hashed(spark, path, spark.createDataFrame([(5,), (7,), (5000,), (None,)], "key bigint"), 50)
+    assert sorted(((r.key, r.value) for r in got.collect()), key=str) == [(5, 10), (5000, None), (7, 14), (None, None)]
+    assert "PartitionFilters: [" in got._jdf.queryExecution().toString() and len(got.inputFiles()) <= 50

@@ -7,6 +7,8 @@ that every snapshot sees become 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,14 @@ def live_list_suffix(elements: Column, ttl: int, now: int, ts: str = "ts") -> Co
     return F.when(first > 0, F.slice(elements, first.cast("int"), F.size(elements)))
 
 
+def live_fixed_list(value: Column, width: int, expired: Callable[[Column], Column]) -> Column:
+    """A list stored as elements of ``width`` characters or bytes, without its expired beginning; what doesn't fill an element is kept. Null if none is left."""
+    n = F.floor(F.length(value) / width).cast("int")
+    elements = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(value, i * width + 1, F.lit(width)))
+    first = F.array_position(F.transform(elements, lambda e: ~expired(e)), F.lit(True)).cast("int")
+    return F.when(n == 0, value).when(first > 0, F.substring(value, (first - 1) * width + 1, F.length(value)))
+
+
 # --- rows of timestamped columns, with tombstones of rows and columns
 
 def merge_rows(versions: DataFrame, by: str = "key") -> DataFrame:
@@ -191,6 +201,14 @@ def fifo_ttl(files: DataFrame, ttl: int, now: int) -> DataFrame:
     return files.where((F.col("create_time") == 0) | (F.col("create_time") >= now - ttl))
 
 
+def temperatures(files: DataFrame, now: int, older: dict[str, int]) -> DataFrame:
+    """Files with their temperature: that of the greatest age that they are beyond; hot if none."""
+    out = F.lit("hot")
+    for name, age in sorted(older.items(), key=lambda x: x[1]):
+        out = F.when(F.col("create_time") < now - age, name).otherwise(out)
+    return files.withColumn("temperature", out)
+
+
 def fifo_size(files: DataFrame, most: int) -> DataFrame:
     """The newest files whose sizes add up to ``most`` at most. A catalog of files is small: one task orders it."""
     w = Window.orderBy(F.col("create_time").desc(), F.col("file").desc())

@@ -99,3 +99,87 @@ def dump_undump(spark, sf):
     path = f"{_folder(spark)}/dump"
     files.dump(latest(L.op_orders(spark, sf)).select("cf", "key", "value"), path)
     return latest(files.undump(spark, path)).select("key", "value")
+
+
+@query(f"WITH {ORD} SELECT key, seq, array_to_string(list_transform(list_filter(range(10), lambda i: i = 0 OR (value >> (7 * i)) > 0), lambda i: printf('%02X', ((value >> (7 * i)) & 127) + CASE WHEN (value >> (7 * (i + 1))) > 0 THEN 128 ELSE 0 END)), '') AS packed, value AS back FROM (SELECT key, seq, value * 100000007 + seq AS value FROM o)")
+def varint_round_trip(spark, sf):
+    """Numbers beyond 53 bits packed seven bits a byte, and read back."""
+    from ..functions.codecs import decode_varint, encode_varint
+
+    o = L.op_orders(spark, sf).select("key", "seq", (F.col("value") * 100_000_007 + F.col("seq")).alias("value"))
+    as_bytes = o.withColumn("b", encode_varint(F.col("value")))
+    return as_bytes.select("key", "seq", F.hex("b").alias("packed"), decode_varint(F.col("b")).alias("back"))
+
+
+@query("SELECT user_id AS key, max(props) AS value FROM events GROUP BY 1")
+def merge_max_bytes(spark, sf):
+    """The largest of binary operands, byte by byte."""
+    from ..functions import merges
+
+    e = L.table(spark, sf, "events").select("user_id", F.struct(F.col("event_id").alias("seq"), F.col("props").cast("binary").alias("value")).alias("o"))
+    # operands of one key are put together in spans first, as the operator is associative
+    spans = e.groupBy("user_id", F.expr("o.seq div 4096").alias("span")).agg(merges.get("max")(F.lit(None).cast("binary"), F.collect_list("o")).alias("value"))
+    whole = spans.groupBy("user_id").agg(merges.get("max")(F.lit(None).cast("binary"), F.collect_list(F.struct(F.col("span").alias("seq"), "value"))).alias("value"))
+    return whole.select(F.col("user_id").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(f"WITH {EV}, l AS (SELECT key, ts, max(ts) OVER (PARTITION BY key) AS now FROM ev WHERE op = 'PUT'), f AS (SELECT key, min(ts) FILTER (ts + 864000000000 > now) AS first FROM l GROUP BY key) SELECT l.key, string_agg(lpad(CAST(ts AS VARCHAR), 18, '0'), '' ORDER BY ts) AS value FROM l JOIN f ON l.key = f.key AND l.ts >= f.first GROUP BY l.key")
+def ttl_list_fixed(spark, sf):
+    """Lists stored as strings of elements of one width, each a time: those at the beginning that have expired are cut off."""
+    from ..operators.compact import live_fixed_list
+
+    log = L.op_events(spark, sf).where(F.col("op") == L.PUT)
+    lists = log.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("ts")), lambda t: F.lpad(t.cast("string"), 18, "0")), "").alias("value"), F.max("ts").alias("now"))
+    ttl = F.lit(864_000_000_000)
+    return lists.select("key", live_fixed_list(F.col("value"), 18, lambda e: e.cast("bigint") + ttl <= F.col("now")).alias("value"))
+
+
+@query("WITH f AS (SELECT CAST(date_diff('month', TIMESTAMP '1970-01-01', l_shipdate) AS BIGINT) AS create_time, count(*) AS size FROM lineitem GROUP BY 1) SELECT create_time, size, CASE WHEN create_time < (SELECT max(create_time) FROM f) - 60 THEN 'cold' WHEN create_time < (SELECT max(create_time) FROM f) - 24 THEN 'warm' ELSE 'hot' END AS temperature FROM f")
+def fifo_temperature(spark, sf):
+    """Files that move to colder storage by their age."""
+    from ..operators.compact import temperatures
+    from .rewriting import _files
+
+    f = _files(spark, sf)
+    return temperatures(f, f.agg(F.max("create_time")).first()[0], {"warm": 24, "cold": 60}).select("create_time", "size", "temperature")
+
+
+@query(f"WITH {EV}, p AS (SELECT * FROM ev WHERE op = 'PUT'), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM p) SELECT 'manual' AS context, key, seq, value FROM r WHERE NOT (n = 1 AND value % 5 = 0) UNION ALL SELECT 'automatic', key, seq, value FROM r WHERE NOT (n = 1 AND value % 5 IN (1, 2))")
+def filter_factory(spark, sf):
+    """Filters that a factory makes for each compaction by its context."""
+    from ..operators.compact import filtered
+
+    def factory(context: dict):
+        rest = F.col("value") % 5
+        return F.when(rest == 0 if context["is_manual"] else rest.isin(1, 2), "PURGE").otherwise("KEEP")
+
+    log, out = L.op_events(spark, sf).where(F.col("op") == L.PUT), None
+    for name, manual in (("manual", True), ("automatic", False)):
+        one = filtered(log, factory({"is_manual": manual, "is_full": True}), F.col("value")).select(F.lit(name).alias("context"), "key", "seq", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {ORD}, s AS (SELECT key, max_by(value, seq) AS value FROM o GROUP BY key), p AS (SELECT CAST(n_nationkey * 7 AS BIGINT) AS key FROM nation) SELECT p.key, s.value FROM p LEFT JOIN s USING (key)")
+def hashed_table_lookup(spark, sf):
+    """A table of hash buckets: a lookup opens the buckets of its keys alone."""
+    path = f"{_folder(spark)}/hashed"
+    files.write_hashed(latest(L.op_orders(spark, sf)).select("key", "value"), path, 16)
+    return files.read_hashed(spark, path, L.probe_keys(spark, sf), 16)
+
+
+@query(f"WITH {EV}, p AS (SELECT * FROM ev WHERE op = 'PUT'), m AS (SELECT max(ts) - 432000000000 AS mark FROM p), a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS n FROM p, m WHERE seq % 4 <> 0 AND ts < mark) SELECT key, seq FROM a WHERE n = 1 UNION ALL SELECT key, seq FROM p, m WHERE seq % 4 = 0 OR ts >= mark")
+def late_data(spark, sf):
+    """Writes that come late, from before the low watermark, stay until the next collection."""
+    from ..streaming import streams
+
+    folder = _folder(spark)
+    log = L.op_events(spark, sf).where(F.col("op") == L.PUT).select("cf", "key", "seq", "op", "value", "ts")
+    top = log.agg(F.max("ts")).first()[0]
+    # every fourth record but the newest comes in the second batch, after which nothing is collected
+    second = (F.col("seq") % 4 == 0) & (F.col("ts") != top)
+    log.where(~second).coalesce(1).write.parquet(f"{folder}/log")
+    log.where(second).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    streams.trimmed(streams.tail(spark, f"{folder}/log", log.schema, 1), f"{folder}/out", f"{folder}/offsets", 432_000_000_000, every=2)
+    out = spark.read.parquet(f"{folder}/out")
+    return out.where(F.col("version") == out.agg(F.max("version")).first()[0]).select("key", "seq")

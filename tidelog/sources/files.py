@@ -34,6 +34,22 @@ def read_sorted(spark: SparkSession, path: str, codec: str = "zstd", schema=None
     return spark.read.parquet(path) if CODECS[codec] else spark.read.schema(schema).json(path)
 
 
+def write_hashed(rows: DataFrame, path: str, buckets: int, key: str = "key") -> None:
+    """A table for lookups: a folder for each bucket of keys' hashes, in key order. A bucket is one task's, unless it is too large for a file."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(path)
+
+
+def read_hashed(spark: SparkSession, path: str, keys: DataFrame, buckets: int, key: str = "key", few: int = 10_000) -> DataFrame:
+    """Every key with its value, null if it has none. The buckets of few keys are known when the plan is made, and no others are opened."""
+    rows = spark.read.parquet(path)
+    asked = keys.select(F.col(key), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"))
+    wanted = [r[0] for r in asked.select("bucket").distinct().limit(few + 1).collect()]
+    if len(wanted) <= few:
+        rows = rows.where(F.col("bucket").isin(*wanted)) if wanted else rows.limit(0)
+    return asked.join(rows.withColumn("bucket", F.col("bucket").cast("bigint")), [key, "bucket"], "left").drop("bucket")
+
+
 def dump(rows: DataFrame, path: str) -> None:
     """Rows (cf, key, value) as lines of text that any version reads, with their types in a line of its own file."""
     types = {c: rows.schema[c].dataType.simpleString() for c in ("cf", "key", "value")}

@@ -99,18 +99,18 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, by: list[str])
     return stream.withWatermark(time, delay).groupBy(*by, F.session_window(time, gap)).agg(F.count("*").alias("n"))
 
 
-def trimmed(stream: DataFrame, out: str, checkpoint: str, lag: int, by: str = "ts") -> None:
+def trimmed(stream: DataFrame, out: str, checkpoint: str, lag: int, by: str = "ts", every: int = 1) -> None:
     """Versions with garbage collection behind a low watermark: the latest time seen less ``lag``.
 
-    After each batch the mark rises, and of a key's versions before it only the newest stays. A late write, from before the mark, is
-    kept until the next collection finds a newer one of its key that is before the mark, too.
+    The mark rises with each batch; at the first and then ``every`` so many, only the newest of a key's versions before it stays. A late
+    write, from before the mark, is kept until a collection finds a newer one of its key that is before the mark, too.
     """
 
     def apply(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         log = df if n == 0 else spark.read.parquet(f"{out}/version={n - 1}").unionByName(df)
         top = log.agg(F.max(by)).first()[0]
-        (log if top is None else collect_history(log, top - lag)).write.mode("overwrite").parquet(f"{out}/version={n}")
+        (log if top is None or n % every else collect_history(log, top - lag)).write.mode("overwrite").parquet(f"{out}/version={n}")
 
     run_to_end(stream, apply, checkpoint)
 
