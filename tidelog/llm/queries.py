@@ -31,6 +31,21 @@ def op4_suffix_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir), keep_bytes=False)
 
 
+#: Every window of 100 bytes, by a 128-bit digest.
+OP4_SQL = '''
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+rep AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, s) > 1),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM rep),
+i AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM g),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, k),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, a AS upto FROM r UNION ALL SELECT doc_id, coalesce(max(b), 0), max(n) FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, unhex(string_agg(substr(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since)) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(kept) AS kept_sha256 FROM d JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+'''
+
+
 def op5_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold("doc_id", 4) == 2
@@ -50,6 +65,17 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4)
 
 
+#: Links by counting shared shingles, and what can be reached over them.
+OP7_SQL = r'''
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(list_slice(v, i, i + 3), ' ')) AS x FROM (SELECT doc_id, v, unnest(range(1, greatest(len(v) - 3, 1) + 1)) AS i FROM w WHERE len(v) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a WHERE r.c < l.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id, min(r.c) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
+'''
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "warc")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -92,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op4_suffix_index_dedup": OP4_SQL, "op7_minhash": OP7_SQL, "op8_warc": OP8_SQL}
