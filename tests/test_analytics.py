@@ -223,3 +223,26 @@ def test_reuse_distances_of_any_runs(spark):
     for width in (8, 100, 1 << 16):
         assert {r.seq: r.distance for r in cache.reuse_distances(df, width).collect()} == want
     assert cache.reuse_distances(df.limit(0)).count() == 0
+
+
+def test_running_values_of_hot_keys(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidelog.operators.skew import running
+
+    rng = random.Random(8)
+    rows = [(0 if rng.random() < 0.8 else rng.randrange(4), rng.randrange(300), i, rng.randrange(50) if rng.random() < 0.4 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, t bigint, seq bigint, v int")
+    for strictly in (True, False):
+        want, last = {}, {}
+        for k, t, seq, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            if not strictly and v is not None:
+                last[k] = v
+            want[seq] = last.get(k)
+            if v is not None:
+                last[k] = v
+        for spans in (1, 7, 1000):
+            assert {r.seq: r.found for r in running(df, "k", ["t", "seq"], {"found": F.col("v")}, strictly, spans).collect()} == want
+    assert running(df.limit(0), "k", ["t", "seq"], {"found": F.col("v")}).count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simulate as simulators
+from .skew import running
 
 
 def miss_ratios(trace: DataFrame, labels: list[str], hit: str = "hit") -> DataFrame:
@@ -20,7 +21,8 @@ def miss_ratios(trace: DataFrame, labels: list[str], hit: str = "hit") -> DataFr
 
 def reuse_intervals(trace: DataFrame) -> DataFrame:
     """(key, seq, interval) between successive accesses of a block."""
-    return trace.withColumn("interval", F.col("access_time") - F.lag("access_time").over(Window.partitionBy("key").orderBy("access_time", "seq"))).where("interval IS NOT NULL").select("key", "seq", "interval")
+    rows = running(trace, "key", ["access_time", "seq"], {"last": F.col("access_time")})
+    return rows.withColumn("interval", F.col("access_time") - F.col("last")).where("interval IS NOT NULL").select("key", "seq", "interval")
 
 
 def lifetimes(trace: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def reuse_distances(trace: DataFrame, width: int = 1 << 16) -> DataFrame:
     block of each size, and in a block a running count in the order of the second number answers all its queries.
     Blocks are cut into runs of about ``width`` numbers, whose totals are added up apart, so that no task holds a large block.
     """
-    w = Window.partitionBy("key").orderBy("seq")
-    rows = trace.select("key", "seq").withColumn("prev", F.lag("seq").over(w)).withColumn("next", F.lead("seq").over(w))
+    rows = running(trace.select("key", "seq"), "key", ["seq"], {"prev": F.col("seq")})
+    rows = rows.join(rows.where("prev IS NOT NULL").select("key", F.col("seq").alias("next"), F.col("prev").alias("seq")), ["key", "seq"], "left")
     least, most = trace.agg(F.min("seq"), F.max("seq")).first()
     if most is None:
         return rows.select("key", "seq", F.lit(None).cast("bigint").alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import cut_points, place
+from .skew import running
 
 #: Probe tables of more rows are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -98,15 +99,16 @@ def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "
 
 
 def as_of(events: DataFrame, versions: DataFrame, by: str, event_time: str, version_time: str, value: str, strict: bool = False) -> DataFrame:
-    """Each event with the latest version of its key at or before (``strict``: before) its time.
+    """Each event with the latest version of its key at or before (``strict``: before) its time, a whole number.
 
-    One union and a window by key: no pairs are made. ``versions`` should have one row for a key and time.
+    One union, ordered by key in spans of time: no pairs are made, and no task has all of a hot key. ``versions`` should have one
+    row for a key and time.
     """
     e = events.withColumn("t__", F.col(event_time)).withColumn("v__", F.lit(None).cast(versions.schema[value].dataType)).withColumn("side__", F.lit(0 if strict else 1))
     v = versions.select(F.col(by), F.col(version_time).alias("t__"), F.col(value).alias("v__"), F.lit(1 if strict else 0).alias("side__"))
     both = e.unionByName(v, allowMissingColumns=True).withColumn("event__", F.col("side__") == (0 if strict else 1))
-    w = Window.partitionBy(by).orderBy("t__", "side__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("v__", ignorenulls=True).over(w)).where("event__").drop("t__", "v__", "side__", "event__")
+    found = running(both, by, ["t__", "side__"], {"found__": F.col("v__")}, strictly=False).where("event__").drop("v__", "t__", "side__", "event__")
+    return found.drop(value).withColumnRenamed("found__", value) if value in events.columns else found.withColumnRenamed("found__", value)
 
 
 def history(log: DataFrame, lo: int, hi: int) -> DataFrame:

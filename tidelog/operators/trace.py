@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import running
+
 
 def key_stats(trace: DataFrame) -> DataFrame:
     """Accesses and successes of each key by type: a GET succeeds iff its value isn't empty, others always."""
@@ -48,10 +50,7 @@ def hottest(trace: DataFrame, k: int, by: str = "key") -> DataFrame:
 def correlation(trace: DataFrame) -> DataFrame:
     """(first_type, second_type, n, total_gap): each access with the latest earlier one of every other type on its key."""
     kinds = ["GET", "SEEK", "PUT", "DELETE", "MERGE"]
-    w = Window.partitionBy("key").orderBy("access_time", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = trace
-    for k in kinds:
-        rows = rows.withColumn(f"last_{k}", F.max(F.when(F.col("type") == k, F.col("access_time"))).over(w))
+    rows = running(trace, "key", ["access_time", "seq"], {f"last_{k}": F.when(F.col("type") == k, F.col("access_time")) for k in kinds})
     pairs = rows.select("type", "access_time", F.explode(F.array(*(F.struct(F.lit(k).alias("first_type"), F.col(f"last_{k}").alias("t")) for k in kinds))).alias("p")).where("p.t IS NOT NULL")
     return pairs.groupBy(F.col("p.first_type").alias("first_type"), F.col("type").alias("second_type")).agg(F.count("*").alias("n"), F.sum(F.col("access_time") - F.col("p.t")).alias("total_gap"))
 
@@ -82,8 +81,7 @@ def locality(trace: DataFrame, width: int) -> DataFrame:
 
 
 def reuse_timeline(trace: DataFrame, unit: int) -> DataFrame:
-    slot = F.floor(F.col("access_time") / unit)
-    rows = trace.select(slot.alias("to_day"), F.lag(slot).over(Window.partitionBy("key").orderBy("access_time", "seq")).alias("from_day"))
+    rows = running(trace, "key", ["access_time", "seq"], {"last": F.col("access_time")}).select(F.floor(F.col("access_time") / unit).alias("to_day"), F.floor(F.col("last") / unit).alias("from_day"))
     return rows.where("from_day IS NOT NULL").groupBy("from_day", "to_day").agg(F.count("*").alias("n"))
 
 
