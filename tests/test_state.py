@@ -10,7 +10,7 @@ from tidelog import oplog as L
 from tidelog.functions import codecs, merges, prefixes
 from tidelog.operators import scan
 from tidelog.operators.ranges import fragments, range_join
-from tidelog.operators.resolve import latest, live_records, operands, resolve
+from tidelog.operators.resolve import latest, live_records, operands, resolve, uncovered
 from tidelog.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -181,3 +181,33 @@ def test_timestamp_queries_read_whole_tables(spark):
     assert {(r.key, r.value) for r in got} == {(r.key, r.value) for r in QUERIES["timestamp_asof_read"](spark, SF).collect()} and max(r.key for r in got) > 100
     stamped = QUERIES["batch_timestamps"](spark, SF)
     assert stamped.count() == L.op_events(spark, SF).count() and stamped.groupBy(F.floor(F.col("seq") / 100)).agg(F.countDistinct("ts").alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_plans_have_no_pairs_and_narrow_early(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("get_resolved_full", "delete_range_anti", "merge_with_base", "compact_bottommost", "seek_ge", "seek_for_prev", "reuse_distance", "seq_to_time", "time_to_seq"):
+        text = plan(QUERIES[name](spark, SF))
+        assert "NestedLoop" not in text and "CartesianProduct" not in text, name
+    text = plan(QUERIES["multiget_status"](spark, SF))
+    # children are printed below their parents: the log meets the probed keys before any window
+    assert "NestedLoop" not in text and text.rindex("asked__") > text.rindex("Window")
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,42)]" in plan(QUERIES["get_point"](spark, SF))
+
+
+def test_many_range_deletions_and_families_agree(spark):
+    rows = golden.random_log(77, 300)
+    log = spark.createDataFrame([(f"cf{r[0]}{r[2] % 3}", *r[1:]) for r in rows], golden.SCHEMA)
+    one = sorted((r.cf, r.key, r.seq) for r in uncovered(log).collect())
+    assert one == sorted((r.cf, r.key, r.seq) for r in uncovered(log, few=0).collect())
+    tombs = [(r[0] + str(r[2] % 3), r[1], r[5], r[2]) for r in rows if r[3] == "RANGE_DELETE"]
+    assert one == sorted((f"cf{r[0]}{r[2] % 3}", r[1], r[2]) for r in rows if r[3] != "RANGE_DELETE" and not any(f"cf{c}" == f"cf{r[0]}{r[2] % 3}" and b <= r[1] < e and s > r[2] for c, b, e, s in tombs))
+
+
+def test_strings_and_bytes_as_keys_of_range_deletions(spark):
+    rows = [("c", "a", 1, "PUT", 1, None), ("c", "ab", 2, "PUT", 2, None), ("c", "b", 3, "PUT", 3, None), ("c", "ab", 4, "RANGE_DELETE", None, "b"), ("c", "ab", 5, "MERGE", 7, None)]
+    for kind in ("string", "binary"):
+        cast = (lambda x: x) if kind == "string" else (lambda x: None if x is None else bytearray(x.encode()))
+        log = spark.createDataFrame([(c, cast(k), s, o, v, cast(e)) for c, k, s, o, v, e in rows], f"cf string, key {kind}, seq bigint, op string, value bigint, end_key {kind}")
+        got = {(r.key if kind == "string" else bytes(r.key).decode()): r.value for r in resolve(log).collect()}
+        assert got == {"a": 1, "ab": 7, "b": 3}
