@@ -18,12 +18,21 @@ FEW = 20_000
 BUCKET = 400
 
 
+def array_of(values: list) -> Column:
+    """An array literal. Whole numbers and texts go as one text that is split when the plan is made, as each value would take a call of its own."""
+    if values and all(type(v) is int and -(1 << 63) <= v < 1 << 63 for v in values):
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    if values and all(type(v) is str and "\x00" not in v for v in values):
+        return F.split(F.lit("\x00".join(values)), "\x00", -1)
+    return F.lit(values)
+
+
 def place(x: Column, cuts: list) -> Column:
     """How many of the ascending ``cuts`` are at or before ``x``: a binary search, none of whose steps leaves the JVM."""
     if not cuts:
         return F.lit(0)
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    bounds = F.lit(cuts)
+    bounds = array_of(cuts)
     # beyond the last bound there is null, and null is not at or before anything
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= x, at + step).otherwise(at))
 
@@ -63,7 +72,7 @@ def cover(key: Column, pieces: list[tuple]) -> Column:
             tops.append(top)
         cuts.append(end)
         tops.append(None)
-    return F.get(F.lit([-1 if t is None else t for t in tops]).cast("array<bigint>"), place(key, cuts) - 1)
+    return F.get(array_of([-1 if t is None else t for t in tops]), place(key, cuts) - 1)
 
 
 def cut_points(rows: DataFrame, key: str, buckets: int) -> list:

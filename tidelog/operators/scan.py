@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import cut_points, place
+from .ranges import array_of, cut_points, place
 from .skew import running
 
 #: Probe tables of more rows are joined by a shuffle.
@@ -78,7 +78,7 @@ def seek(state: DataFrame, probes: DataFrame, forward: bool = True, key: str = "
     if len(cuts) <= few and asked.count() <= few:
         slot = place(F.col(key), cuts)
         if not forward:  # a key that equals a probe lies before it
-            slot = F.when(F.get(F.lit(cuts), slot - 1) == F.col(key), slot - 1).otherwise(slot) if cuts else slot
+            slot = F.when(F.get(array_of(cuts), slot - 1) == F.col(key), slot - 1).otherwise(slot) if cuts else slot
         edge = state.where(F.col(key).isNotNull()).groupBy(slot.alias("b")).agg((F.min(key) if forward else F.max(key)).alias("edge"))
         all_slots = asked.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("b")).coalesce(1)
         frame = rows.rowsBetween(Window.currentRow, Window.unboundedFollowing) if forward else rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
