@@ -76,14 +76,14 @@ def sliding_windows(spark, sf):
 s AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT key, min(t) AS started, max(t) + 3600000000 * 6 AS ended, count(*) AS n FROM s GROUP BY key, session"""
 )
 def session_windows(spark, sf):
-    """Sessions of each user, ended by six hours without an event. A mark far ahead closes them all."""
+    """Sessions of each user, ended by six hours without an event. Files may come in any order; a mark far ahead closes all."""
     from datetime import datetime, timedelta
 
     folder, stream = _timed(spark, sf)
     last = spark.read.parquet(f"{folder}/in").agg(F.max("t")).first()[0]
     for k in (1, 2):  # a late row of its own, and one more batch in which the mark counts
-        spark.createDataFrame([(-k, -1, (last or datetime(2024, 1, 1)) + timedelta(days=30 * k), 0)], "event_id bigint, key bigint, t timestamp, value bigint").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    found = streams.sessions(stream, "t", "6 hours", "10 days", ["key"]).select("key", F.unix_micros("session_window.start").alias("started"), F.unix_micros("session_window.end").alias("ended"), "n")
+        spark.createDataFrame([(-k, -1, (last or datetime(2024, 1, 1)) + timedelta(days=100 * k), 0)], "event_id bigint, key bigint, t timestamp, value bigint").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    found = streams.sessions(stream, "t", "6 hours", "60 days", ["key"]).select("key", F.unix_micros("session_window.start").alias("started"), F.unix_micros("session_window.end").alias("ended"), "n")
     streams.run_to_end(found, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets", "append")
     return spark.read.parquet(f"{folder}/out").where("key >= 0").select("key", "started", "ended", "n")
 
