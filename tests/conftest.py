@@ -22,7 +22,6 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", str(home / "shared"))
         .config("spark.sql.warehouse.dir", str(home / "warehouse"))
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -111,7 +111,7 @@ def test_event_time_windows_and_expiring_state(spark, tmp_path):
     streams.run_to_end(streams.windowed_rates(stream, "t", "10 seconds", "5 seconds"), lambda df, n: out.extend(df.collect()), str(tmp_path / "o1"), "update")
     assert sorted(r.n for r in out) == [10, 10, 10]
     got = []
-    streams.run_to_end(streams.expiring_counts(stream, 3_600_000), lambda df, n: got.extend(df.collect()), str(tmp_path / "o2"), "update", timers=True)
+    streams.run_to_end(streams.expiring_counts(stream, 3_600_000), lambda df, n: got.extend(df.collect()), str(tmp_path / "o2"), "update", timers=True, processors=True)
     assert {(r.key, r.n) for r in got} == {(0, 10), (1, 10), (2, 10)}
 
 

@@ -108,7 +108,7 @@ def list_state_ttl(spark, sf):
     log = L.op_events(spark, sf).where(F.col("op") == L.PUT).select("key", "ts", "value")
     log.repartitionByRange(3, "ts").write.parquet(f"{folder}/log")
     stream = streams.tail(spark, f"{folder}/log", log.schema, 1)
-    streams.run_to_end(streams.expiring_lists(stream, 864_000_000_000), lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets", "update")
+    streams.run_to_end(streams.expiring_lists(stream, 864_000_000_000), lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets", "update", processors=True)
     out = spark.read.parquet(f"{folder}/out")
     newest = lambda c: F.max_by(c, "batch").alias(c)
     return out.groupBy("key").agg(newest("n"), newest("oldest"), newest("total"))
@@ -147,5 +147,5 @@ def online_cache(spark, sf):
         a, b = (lo + (hi + 1 - lo) * x // 3 for x in (k, k + 1))
         t.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(f"{folder}/trace")
     stream = streams.tail(spark, f"{folder}/trace", t.schema, 1)
-    streams.run_to_end(streams.online_lru(stream, [20, 60, 120]), lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets", "update")
+    streams.run_to_end(streams.online_lru(stream, [20, 60, 120]), lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/offsets", "update", processors=True)
     return spark.read.parquet(f"{folder}/out").groupBy("capacity").agg(F.max("n").alias("n"), F.max("hits").alias("hits"))

@@ -20,20 +20,28 @@ def tail(spark: SparkSession, path: str, schema, files_per_batch: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timers: bool = False) -> None:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timers: bool = False, processors: bool = False) -> None:
     """Feeds all that is there to ``each`` batch by batch, and stops; a rerun goes on where this ended.
 
     State with timers of processing time asks for batches without data for ever, so that such a query (``timers``)
-    is started with those switched off.
+    is started with those switched off. State of a user's processors (``processors``) needs the RocksDB store.
     """
-    conf, switch = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(switch)
+    conf, own = stream.sparkSession.conf, {}
     if timers:
-        conf.set(switch, "false")
+        own["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    if processors:
+        own["spark.sql.streaming.stateStore.providerClass"] = ROCKS
+    before = {k: conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            conf.set(k, v)
         query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        conf.set(switch, before)
+        for k, v in before.items():
+            conf.set(k, v)
     query.awaitTermination()
 
 
@@ -140,7 +148,7 @@ class ExpiringList(StatefulProcessor):
 
 
 def expiring_lists(stream: DataFrame, ttl: int) -> DataFrame:
-    """(key, n, oldest, total) of each key's list after each batch, of rows (key, ts, value). The state store must be the RocksDB one."""
+    """(key, n, oldest, total) of each key's list after each batch, of rows (key, ts, value). ``run_to_end`` needs ``processors``."""
     return stream.groupBy("key").transformWithStateInPandas(ExpiringList(ttl), "key bigint, n bigint, oldest bigint, total bigint", "update", "none")
 
 
@@ -172,7 +180,7 @@ class OnlineLru(StatefulProcessor):
 
 
 def online_lru(stream: DataFrame, capacities: list[int]) -> DataFrame:
-    """(capacity, n, hits) so far after each batch, of rows (key, seq) that come in order of seq from batch to batch. The state store must be the RocksDB one."""
+    """(capacity, n, hits) so far after each batch, of rows (key, seq) that come in order of seq from batch to batch. ``run_to_end`` needs ``processors``."""
     each = stream.select("key", "seq", F.explode(F.lit(capacities).cast("array<bigint>")).alias("capacity"))
     return each.groupBy("capacity").transformWithStateInPandas(OnlineLru(), "capacity bigint, n bigint, hits bigint", "update", "none")
 
@@ -196,5 +204,5 @@ class ExpiringCounter(StatefulProcessor):
 
 
 def expiring_counts(stream: DataFrame, ttl_millis: int) -> DataFrame:
-    """(key, n) after each batch. The state store must be the RocksDB one."""
+    """(key, n) after each batch. ``run_to_end`` needs ``processors``."""
     return stream.groupBy("key").transformWithStateInPandas(ExpiringCounter(ttl_millis), "key bigint, n bigint", "update", "processingTime")
