@@ -268,7 +268,8 @@ def test_toxic_spans_and_scores(spark, odd, empty):
 def test_added_spans_touch_no_pattern_and_are_not_refuted():
     mark = lambda text, kind: pii._added(np.full(len(text), pii.KINDS.index(kind) + 1), pii.base_spans(text), text)
     assert mark(" joe@localhost ", "email") == [("email", 1, 14)]
-    assert mark("los.klan", "email") == []  # no at sign
+    assert mark("los.klan", "email") == mark("was there at", "email") == []  # no at sign
+    assert mark("joe (AT) host.org", "email") == [("email", 0, 17)] and mark("joe at host dot org", "email") == [("email", 0, 19)]
     assert mark("1234567812345678", "card") == []  # a card's form without its check digit
     assert mark("300.1.1.1", "ip") == [] and mark("a@b.cd", "email") == []  # failed, and a pattern's own
     assert mark("call 555 0101", "phone") == [("phone", 0, 13)]

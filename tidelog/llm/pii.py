@@ -43,7 +43,7 @@ WINDOW, STRIDE = 448, 400
 SHORTEST = 7
 HIDDEN = 10
 #: Characters that are labelled at once.
-TOGETHER = 2_000_000
+TOGETHER = 800_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -52,7 +52,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SOME_DIGIT = re.compile(r"[0-9]")
 _SOME_DIGITS = re.compile(r"[0-9]+")
-_AT = re.compile(r"\b(?:at|AT)\b")
+_AT = re.compile(r"[\[({]\s*at\s*[\])}]|\bat\b.*\bdot\b", re.IGNORECASE | re.DOTALL)
 
 
 def luhn(digits: str) -> bool:
@@ -531,7 +531,7 @@ def _digits(piece: str) -> str:
 def _refuted(kind: str, piece: str) -> bool:
     """Whether the text itself speaks against a label.
 
-    An address needs its at sign, or the word. Four parts of a network address are at most 255. A card has 12 to 19 digits, and
+    An address needs its at sign, or the word in brackets, or that word and "dot". Four parts of a network address are at most 255. A card has 12 to 19 digits, and
     its check digit, however they are set apart. A phone number has 7 to 15, and is refuted, too, if one match of the pattern holds
     all its digits and their number is wrong.
     """
