@@ -48,7 +48,7 @@ SLACK = 0.18
 #: Bits of the parity row.
 PARITIES = 2048
 _LONGS, _ODD = PERMUTATIONS * B // 64, PARITIES // 64
-_SIG = ["n_shingles", *(f"s{k}" for k in range(_LONGS)), *(f"o{k}" for k in range(_ODD))]
+_SIG = ["n_shingles", "sig", "odd"]
 _MULTIPLY = np.random.default_rng(20240611).integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(K.U64) * K.U64(2) + K.U64(1)
 _FIELD = 0x5555555555555555
 
@@ -86,7 +86,7 @@ def _minima(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, fp_a, fp_b, keys array<bigint>, s0.., o0.. bigint); keys are empty and longs null for empty sets."""
+    """(id, n_shingles, fp_a, fp_b, keys, sig, odd array<bigint>): of band keys, packed minima and parities; all empty for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,18 +104,16 @@ def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) ->
                 bits = (K.mix(minima) & K.U64((1 << B) - 1)).reshape(len(some), _LONGS, 64 // B)
                 packed = (bits << (np.arange(64 // B, dtype=K.U64) * K.U64(B))).sum(2, dtype=K.U64)
                 valid = n > 0
-                row_of = np.cumsum(valid) - 1
-                offsets = np.concatenate([[0], np.cumsum(np.where(valid, BANDS, 0))]).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(valid, x.shape[1], 0))]).astype(np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))  # noqa: B023, E731
                 cells = (h >> K.U64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
                 odd = np.bincount(np.repeat(np.arange(b - a), n) * PARITIES + cells, minlength=(b - a) * PARITIES).reshape(b - a, PARITIES) & 1
                 odd = np.packbits(odd.astype(bool), axis=1, bitorder="little").view(np.int64)
-                longs = [pa.array(packed[np.maximum(row_of, 0), k].view(np.int64) if len(some) else np.zeros(b - a, np.int64), mask=~valid) for k in range(_LONGS)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), *longs, *(pa.array(np.ascontiguousarray(odd[:, k]), mask=~valid) for k in range(_ODD))],
-                    names=["id", "n_shingles", "fp_a", "fp_b", "keys", *_SIG[1:]],
+                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), lists(keys), lists(packed), lists(odd[valid])],
+                    names=["id", "n_shingles", "fp_a", "fp_b", "keys", "sig", "odd"],
                 )
 
-    schema = "id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, keys array<bigint>, " + ", ".join(f"{k} bigint" for k in _SIG[1:])
+    schema = "id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, keys array<bigint>, sig array<bigint>, odd array<bigint>"
     return docs.select(F.col(id_column).cast("bigint").alias("id"), text_column).mapInArrow(run, schema)
 
 
@@ -147,7 +145,7 @@ def estimate(left: str, right: str) -> Column:
     """Collision-corrected similarity of packed signatures, from counts of equal fields."""
     equal = None
     for k in range(_LONGS):
-        x = F.col(f"{left}s{k}").bitwiseXOR(F.col(f"{right}s{k}"))
+        x = F.get(f"{left}sig", F.lit(k)).bitwiseXOR(F.get(f"{right}sig", F.lit(k)))
         for _ in range(1, B):
             x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         n = F.lit(64 // B) - F.bit_count(x.bitwiseAND(F.lit(_FIELD)))
@@ -160,7 +158,7 @@ def possible(left: str, right: str, percent: int) -> Column:
     """Whether the estimate is near the threshold or above, and parities don't exclude that the pair reaches it."""
     differ = None
     for k in range(_ODD):
-        n = F.bit_count(F.col(f"{left}o{k}").bitwiseXOR(F.col(f"{right}o{k}")))
+        n = F.bit_count(F.get(f"{left}odd", F.lit(k)).bitwiseXOR(F.get(f"{right}odd", F.lit(k))))
         differ = n if differ is None else differ + n
     sizes = F.col(f"{left}n_shingles") + F.col(f"{right}n_shingles")
     return (estimate(left, right) >= F.lit(percent / 100 - SLACK)) & (differ * F.lit(100 + percent) <= sizes * F.lit(100 - percent))
