@@ -49,6 +49,8 @@ SLACK = 0.18
 PARITIES = 2048
 _LONGS, _ODD = PERMUTATIONS * B // 64, PARITIES // 64
 _SIG = ["n_shingles", "sig", "odd"]
+#: Bytes and texts that a Python worker handles at once: what it once held it keeps, beside the JVM's own memory.
+_SLICE = (1 << 19, 512)
 _MULTIPLY = np.random.default_rng(20240611).integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(K.U64) * K.U64(2) + K.U64(1)
 _FIELD = 0x5555555555555555
 
@@ -91,7 +93,7 @@ def signatures(docs: DataFrame, words: int, id_column: str, text_column: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = K.texts(batch.column(1))
-            for a, b in K.slices(t):
+            for a, b in K.slices(t, *_SLICE):
                 h, first = shingles(t.part(a, b), words)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
@@ -133,7 +135,7 @@ def shingle_sets(docs: DataFrame, words: int, id_column: str, text_column: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = K.texts(batch.column(1))
-            for a, b in K.slices(t):
+            for a, b in K.slices(t, *_SLICE):
                 h, first = shingles(t.part(a, b), words)
                 fp = _fingerprints(h, first).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp[0]), pa.array(fp[1]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "fp_a", "fp_b", "set"])
