@@ -20,20 +20,21 @@ def tail(spark: SparkSession, path: str, schema, files_per_batch: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Spark's own state store class that holds processors' state, by the name that its configuration takes.
+PROCESSOR_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timers: bool = False, processors: bool = False) -> None:
     """Feeds all that is there to ``each`` batch by batch, and stops; a rerun goes on where this ended.
 
     State with timers of processing time asks for batches without data for ever, so that such a query (``timers``)
-    is started with those switched off. State of a user's processors (``processors``) needs the RocksDB store.
+    is started with those switched off. State of a user's processors (``processors``) needs the one store of Spark that holds it.
     """
     conf, own = stream.sparkSession.conf, {}
     if timers:
         own["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
     if processors:
-        own["spark.sql.streaming.stateStore.providerClass"] = ROCKS
+        own["spark.sql.streaming.stateStore.providerClass"] = PROCESSOR_STORE
     before = {k: conf.get(k) for k in own}
     try:
         for k, v in own.items():
