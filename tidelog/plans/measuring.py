@@ -149,7 +149,7 @@ def cache_policies(spark, sf):
     from ..operators import simulate
 
     t = L.trace(spark, sf).withColumn("size", F.col("key") % 13 * 8 + 16)
-    return cache.simulate(t, sorted(cache.POLICIES), [10, 50, 100]).unionByName(cache.simulate(t, sorted(simulate.SIZED), [1000, 4000, 8000]))
+    return cache.simulate_all(t, [(p, c) for p in sorted(cache.POLICIES) for c in (10, 50, 100)] + [(p, c) for p in sorted(simulate.SIZED) for c in (1000, 4000, 8000)])
 
 
 @query("WITH b AS (SELECT event_type AS op, CAST(floor(value) AS BIGINT) AS latency FROM events) SELECT op, count(*) AS n, min(latency) AS fastest, max(latency) AS slowest, CAST(sum(latency) AS BIGINT) AS total FROM b GROUP BY 1")
